@@ -65,7 +65,7 @@ def numeric_value(c: Column | str) -> Column:
 def strict_date(c: Column | str) -> Column:
     """A ``YYYY-MM-DD`` text that names a real day, as DATE; otherwise NULL."""
     t = col(c)
-    return F.when(t.rlike(DATE_SHAPE), F.try_to_date(t, F.lit("yyyy-MM-dd")))
+    return F.when(t.rlike(DATE_SHAPE), F.try_to_date(t, "yyyy-MM-dd"))
 
 
 def date_or_null(c: Column | str) -> Column:
