@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ci
+from ..session import checkpoint_dir
 
 # Largest dimension that is broadcast on purpose (rows).  Above it the join is
 # left to the planner (AQE picks broadcast or sort-merge from runtime sizes).
@@ -54,7 +55,8 @@ def number_rows(df: DataFrame, order_by: list[str], group_by: list[str] | None =
                 out: str = "row_no", num_partitions: int | None = None) -> DataFrame:
     """Exact 1-based ``row_number()`` in ``order_by`` order within ``group_by``.
 
-    ``order_by`` (ascending, NULLs first) must be unique within a group.  Unlike a
+    ``order_by`` (ascending, NULLs first) must be unique within a group, so
+    that positions are repeatable.  Unlike a
     window, no task ever holds a whole group: rows are range-partitioned on
     (group, order) so a large group spans many partitions, each row takes its
     position inside its partition after a local sort, and one count per
@@ -65,10 +67,15 @@ def number_rows(df: DataFrame, order_by: list[str], group_by: list[str] | None =
     keys = group_by + list(order_by)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(spark)
+    # Materialized once (reliable checkpoint in the shared folder): the piece
+    # counts and the rows must see the same partition of every row, and range
+    # bounds drawn from a sample are not repeatable when input order varies.
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_part", F.shiftright("_mid", 33))
-              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))))
+              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+              .checkpoint(eager=True))
     before = Window.partitionBy(*group_by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (tagged.groupBy(*group_by, "_part")
               .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
