@@ -150,6 +150,7 @@ class StatusBatch:
     statuses: DataFrame   # W8: the whole new status table
     replay: DataFrame     # G2: seq, claim_id, old_status, new_status
     history: DataFrame    # W9: new log rows
+    changes: DataFrame    # claim_id, status, updated_at of the claims this batch changed
 
 
 def canonical_order(name: Column) -> Column:
@@ -262,4 +263,9 @@ def apply_status_updates(updates: DataFrame, claims: DataFrame, statuses: DataFr
         F.col("new_status_id").cast("int").alias("new_status_id"))
 
     new_claims = _apply_last(claims, res, {"status": "new_status"})
-    return StatusBatch(outcomes, new_claims, new_statuses, all_statuses, replay, new_history)
+    changes = (res.groupBy(F.col("_cid").alias("claim_id"))
+               .agg(F.max_by(F.struct(F.col("new_status").alias("status"),
+                                      F.col("ts").cast("timestamp_ntz").alias("updated_at")),
+                             F.struct("ts", "seq")).alias("_c"))
+               .select("claim_id", "_c.status", "_c.updated_at"))
+    return StatusBatch(outcomes, new_claims, new_statuses, all_statuses, replay, new_history, changes)

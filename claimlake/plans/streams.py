@@ -1 +1,106 @@
-"""Queries registered by this module."""
+"""Source, sink and streaming queries.
+
+The sink and stream queries write under a fresh folder below the session's
+checkpoint folder and return what they read back, so the written result is
+what gets checked.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import dashboard as D
+from ..operators import updates as W
+from ..session import scratch_path
+from ..sources import requests as R
+from ..sources import sinks as K
+from ..streaming import jobs as T
+from .dashboard import STATUS_COUNTS_SQL
+from .registry import query
+from .submissions import INGEST_FX, _ingested
+from .updates import DOCUMENT_C, _state_sql
+
+DOCUMENT_FIELDS = ["claim_id", "is_document_received", "document_received_date", "invoice_number"]
+DOCUMENT_ALIASES = {"is_document_received": ["physical_document_received"],
+                    "invoice_number": ["physical_file_no"]}
+
+
+def _scratch(t, kind: str) -> str:
+    return scratch_path(t.spark, "claimlake", kind, uuid.uuid4().hex)
+
+
+@query("parse_requests", "S2", """
+SELECT seq,
+  CASE WHEN json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE '0' END) IN ('OBJECT', 'ARRAY')
+       THEN 'ok' ELSE 'invalid_body' END AS outcome,
+  CASE WHEN json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE '0' END) = 'OBJECT' THEN
+    json_extract_string(CASE WHEN json_valid(body) THEN body ELSE '{}' END, '$.claim_id') END AS claim_id,
+  CASE WHEN json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE '0' END) = 'OBJECT' THEN
+    COALESCE(json_extract_string(CASE WHEN json_valid(body) THEN body ELSE '{}' END, '$.is_document_received'),
+             json_extract_string(CASE WHEN json_valid(body) THEN body ELSE '{}' END, '$.physical_document_received'))
+    END AS is_document_received,
+  CASE WHEN json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE '0' END) = 'OBJECT' THEN
+    json_extract_string(CASE WHEN json_valid(body) THEN body ELSE '{}' END, '$.document_received_date')
+    END AS document_received_date,
+  CASE WHEN json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE '0' END) = 'OBJECT' THEN
+    COALESCE(json_extract_string(CASE WHEN json_valid(body) THEN body ELSE '{}' END, '$.invoice_number'),
+             json_extract_string(CASE WHEN json_valid(body) THEN body ELSE '{}' END, '$.physical_file_no'))
+    END AS invoice_number
+FROM fx_document_bodies""", ("document_bodies",))
+def _parse_requests(t):
+    return R.parse_requests(t["document_bodies"], "body", DOCUMENT_FIELDS, DOCUMENT_ALIASES, keep=["seq"])
+
+
+@query("publish_claims", "S3", DOCUMENT_C + _state_sql(
+    {"is_document_received": "received", "document_received_date": "dt", "invoice_number": "invoice"}),
+    ("document_updates", "claims"))
+def _publish_claims(t):
+    """W4's new claims table published as a version, then read back as the current version."""
+    root = _scratch(t, "published")
+    batch = W.apply_document_updates(t["document_updates"], t["claims"])
+    K.publish(t.spark, {"claims": t["claims"]}, root, version=1)
+    K.publish(t.spark, {"claims": batch.claims, "outcomes": batch.outcomes}, root, version=2)
+    return K.read_published(t.spark, root, "claims")
+
+
+@query("export_json", "S4", STATUS_COUNTS_SQL, ("statuses", "claims"))
+def _export_json(t):
+    """A2 written as JSON lines and read back with its schema."""
+    path = _scratch(t, "json")
+    result = D.status_counts(t["statuses"], t["claims"])
+    K.export_json(result, path)
+    return t.spark.read.schema(result.schema).json(path)
+
+
+@query("stream_submissions", "T1", f"""
+WITH {_ingested()}
+SELECT o.seq, o.final AS outcome, CAST((SELECT max(r_id) FROM fx_claims) + a.accept_no AS INTEGER) AS claim_id
+FROM o LEFT JOIN a ON a.seq = o.seq""", INGEST_FX)
+def _stream_submissions(t):
+    """The submissions fed as four JSON files in ``seq`` order; one file per micro-batch."""
+    root = _scratch(t, "stream-submissions")
+    feed = os.path.join(root, "feed")
+    T.write_feed(t["submissions"], feed, "seq", chunks=4)
+    state = os.path.join(root, "state")
+    T.stream_submissions(t.spark, feed, state, os.path.join(root, "checkpoint"),
+                         t["claims"], t["employees"], t["history"])
+    return T.read_state(t.spark, state, "outcomes").select("seq", "outcome", "claim_id")
+
+
+@query("stream_status_updates", "T2")
+def _stream_status_updates(t):
+    """Status updates fed as four JSON files in ``seq`` order (no SQL oracle: ids created by
+    one micro-batch are valid in the next, which a single SQL statement does not model)."""
+    root = _scratch(t, "stream-status")
+    feed = os.path.join(root, "feed")
+    T.write_feed(t["status_updates"], feed, "seq", chunks=4)
+    state = os.path.join(root, "state")
+    T.stream_status_updates(t.spark, feed, state, os.path.join(root, "checkpoint"),
+                            t["claims"], t["statuses"], t["history"])
+    return T.read_state(t.spark, state, "outcomes").select("seq", "claim_id", "outcome")
+
+
+_ = F

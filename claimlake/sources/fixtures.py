@@ -118,6 +118,17 @@ SELECT event_id AS seq, ts, CAST(user_id * 101 + 1 AS INT) AS claim_id,
   CASE WHEN event_id % 4 = 0 THEN '' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS payment_approved_date,
   CASE WHEN event_id % 2 = 0 THEN '' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS paid_date
 FROM events WHERE event_type = 'purchase'""",
+    # Not in FIXTURES.md: JSON request bodies for the document-update endpoint,
+    # built from fx_document_updates with the alias keys and non-object bodies.
+    "fx_document_bodies": """
+SELECT seq, ts,
+  CASE WHEN seq % 13 = 0 THEN '[1, 2]' WHEN seq % 17 = 0 THEN 'null' WHEN seq % 19 = 0 THEN 'not json'
+    ELSE '{"claim_id": ' || CAST(claim_id AS STRING)
+      || ', "physical_document_received": ' || COALESCE('"' || physical_document_received || '"', 'null')
+      || ', "is_document_received": ' || COALESCE('"' || is_document_received || '"', 'null')
+      || ', "document_received_date": "' || document_received_date || '"'
+      || ', "physical_file_no": "' || invoice_number || '"}' END AS body
+FROM fx_document_updates""",
 }
 
 # base tables each fixture view reads
@@ -134,8 +145,12 @@ FIXTURE_SOURCES: dict[str, tuple[str, ...]] = {
     "fx_document_updates": ("events",),
     "fx_medical_updates": ("events",),
     "fx_payment_updates": ("events",),
+    "fx_document_bodies": ("events",),
 }
 
+# fixture views read by other fixture views
+FIXTURE_DEPENDS: dict[str, tuple[str, ...]] = {"fx_document_bodies": ("fx_document_updates",)}
+
 # short names used by operators and the query registry
 SHORT_NAMES = {
     "divisions": "fx_divisions", "employees": "fx_employees", "statuses": "fx_statuses",
@@ -143,6 +158,7 @@ SHORT_NAMES = {
     "access_requests": "fx_access_requests", "submissions": "fx_submissions",
     "status_updates": "fx_status_updates", "document_updates": "fx_document_updates",
     "medical_updates": "fx_medical_updates", "payment_updates": "fx_payment_updates",
+    "document_bodies": "fx_document_bodies",
 }
 
 
@@ -172,6 +188,8 @@ class FixtureTables:
         if view not in self._frames:
             for src in FIXTURE_SOURCES[view]:
                 self.base(src)
+            for dep in FIXTURE_DEPENDS.get(view, ()):
+                self[dep].createOrReplaceTempView(dep)
             self._frames[view] = self.spark.sql(FIXTURE_SQL[view])
         return self._frames[view]
 
@@ -182,7 +200,12 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> FixtureTables:
 
 def with_fixtures(body: str, *names: str) -> str:
     """Prefix ``body`` with the ``WITH fx_… AS (…)`` clauses it needs (for DuckDB)."""
-    views = [SHORT_NAMES.get(n, n) for n in names]
+    views = []
+    for n in names:
+        v = SHORT_NAMES.get(n, n)
+        views += [d for d in FIXTURE_DEPENDS.get(v, ()) if d not in views and d not in names]
+        if v not in views:
+            views.append(v)
     ctes = ",\n".join(f"{v} AS ({FIXTURE_SQL[v].strip()})" for v in views)
     body = body.strip()
     if body[:5].upper() == "WITH ":  # the body's own CTEs follow the fixtures
