@@ -82,16 +82,18 @@ def status_kpis(statuses: DataFrame, claims: DataFrame) -> DataFrame:
     per_key = summary.groupBy("status_key").agg(F.sum("n_ids").alias("_n"))
     sts = statuses.select("s_id", "status_name", "status_order")
     counted = (sts.join(broadcast_if_small(per_key), ci(sts["status_name"]) == per_key["status_key"], "left")
-               .select("s_id", "status_name", "status_order", F.coalesce("_n", F.lit(0)).alias("total")))
-    order = F.struct("status_order", "s_id")
-    kpis = counted.agg(*[
-        F.coalesce(F.max_by("total", F.when(F.col("status_name") == name, order)), F.lit(0))
-        .cast("long").alias(_kpi_name(name)) for name in KPI_STATUSES])
-    totals = summary.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).cast("long").alias("total_claims"),
-                         _sum_where((PAID,)).alias("total_paid_amount"))
-    # two one-row results side by side: a join on a constant key, not a product
-    return (totals.withColumn("_one", F.lit(1))
-            .join(F.broadcast(kpis.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+               .select("s_id", "status_name", "status_order",
+                       F.coalesce("_n", F.lit(0)).alias("total"), F.lit(True).alias("_is_status_row")))
+    # status rows and summary rows side by side in one aggregation (no join of one-row results)
+    rows = counted.unionByName(summary.withColumn("_is_status_row", F.lit(False)), allowMissingColumns=True)
+    order = F.when(F.col("_is_status_row"), F.struct("status_order", "s_id"))
+    paid = F.when(~F.col("_is_status_row") & (F.col("status_key") == PAID.lower()), F.col("payable"))
+    return rows.agg(
+        F.coalesce(F.sum(F.when(~F.col("_is_status_row"), F.col("n_rows"))), F.lit(0)).cast("long")
+        .alias("total_claims"),
+        F.coalesce(F.sum(paid), F.lit(0).cast("decimal(18,2)")).cast("double").alias("total_paid_amount"),
+        *[F.coalesce(F.max_by("total", F.when(F.col("status_name") == name, order)), F.lit(0))
+          .cast("long").alias(_kpi_name(name)) for name in KPI_STATUSES])
 
 
 def status_bars(statuses: DataFrame, claims: DataFrame) -> DataFrame:
