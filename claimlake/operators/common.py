@@ -25,6 +25,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
+def restrict_to_keys(big: DataFrame, big_key: Column, keys: DataFrame, key_col: str,
+                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Rows of ``big`` whose ``big_key`` occurs in ``keys[key_col]``.
+
+    Used to cut a large table down to the keys a (small) request batch asks
+    for before any shuffle: with a key set proven to hold at most ``max_rows``
+    distinct keys the semi join is broadcast, so the large table is only
+    scanned and filtered; a larger key set falls back to a shuffled semi join.
+    """
+    wanted = keys.select(F.col(key_col).alias("_want")).where(F.col("_want").isNotNull()).distinct()
+    return big.join(broadcast_if_small(wanted, max_rows), big_key == F.col("_want"), "left_semi")
+
+
 def first_employee_per_key(employees: DataFrame, keys: dict[str, Column],
                            columns: list[str]) -> DataFrame:
     """One employee per key (smallest ``e_id``), built by partial aggregation.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, js_trim, text_or_empty
-from .common import broadcast_if_small, first_employee_per_key
+from .common import broadcast_if_small, first_employee_per_key, restrict_to_keys
 
 DETAIL_COLUMNS = [
     "claim_id", "reference_no", "opd_date", "amount_requested", "claim_type", "patient_name",
@@ -31,6 +31,8 @@ def claim_detail(requests: DataFrame, claims: DataFrame, employees: DataFrame,
         employees, {"_emp_key": ci("computer_number")},
         ["e_id", "nic", "initials", "surname", "division_code"])
     div = broadcast_if_small(divisions.select("div_code", "division_name"))
+    asked = requests.select(F.col(id_col).alias("_asked"))
+    claims = restrict_to_keys(claims, F.col("r_id"), asked, "_asked")
     detail = (claims.withColumn("_emp_key", ci("emp_computer_number"))
               .join(emp, "_emp_key", "left")
               .join(div, F.col("division_code") == F.col("div_code"), "left")
@@ -127,6 +129,7 @@ def authorized_claim(requests: DataFrame, employees: DataFrame, divisions: DataF
     """
     ver = verified_requests(requests, employees, divisions,
                             ["e_id", "computer_number", "nic", "initials", "surname", "division_code"])
+    claims = restrict_to_keys(claims, F.col("r_id"), requests.select(F.col("claim_id").alias("_asked")), "_asked")
     cl = claims.select(F.col("r_id").alias("_rid"), ci("emp_computer_number").alias("_ckey"),
                        *[F.col(c) for c in claims.columns])
     missing = (F.col("cn") == "") | (F.col("nic_in") == "") | (F.coalesce(F.col("claim_id"), F.lit(0)) <= 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, text_or_empty
+from .common import restrict_to_keys
 from .details import verified_requests
 
 VERIFY_COLUMNS = [
@@ -75,11 +76,15 @@ def employee_claim_counts(requests: DataFrame, employees: DataFrame, claims: Dat
                           page_col: str = "page", limit_col: str = "page_limit") -> DataFrame:
     """Claims per verified requester, with page figures (no claims → 1 page).
 
-    Claims are counted per computer number with a partial aggregation, then
-    joined to the requests, so a requester with very many claims costs one row.
+    Claims are first cut down to the verified requesters' computer numbers
+    (broadcast semi join when that set is small), counted per number with a
+    partial aggregation, then joined to the requests, so a requester with very
+    many claims costs one row.
     """
     req = _employee_requests(requests, employees, page_col, limit_col)
-    counts = claims.groupBy(ci("emp_computer_number").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    asked = req.where(F.col("outcome") == "ok").select(ci(F.col("cn")).alias("_asked"))
+    mine = restrict_to_keys(claims.select(ci("emp_computer_number").alias("_k")), F.col("_k"), asked, "_asked")
+    counts = mine.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     ok = F.col("outcome") == "ok"
     joined = req.join(counts, ok & (ci(F.col("cn")) == F.col("_k")), "left")
     total = F.when(ok, F.coalesce(F.col("_n"), F.lit(0))).cast("long")
@@ -102,8 +107,8 @@ def paged_per_key(requests: DataFrame, claims: DataFrame) -> DataFrame:
     deepest = requests.agg(F.max(F.col("page") * F.col("page_limit")).alias("m")).first()["m"]
     if deepest is None:
         deepest = 0
-    keys = requests.select(ci(F.col("cn")).alias("_k")).distinct()
-    mine = claims.withColumn("_k", ci("emp_computer_number")).join(keys, "_k", "left_semi")
+    asked = requests.select(ci(F.col("cn")).alias("_asked"))
+    mine = restrict_to_keys(claims.withColumn("_k", ci("emp_computer_number")), F.col("_k"), asked, "_asked")
     order = Window.partitionBy("_k").orderBy(F.col("created_at").desc_nulls_last(), F.col("r_id").desc())
     ranked = mine.withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= F.lit(int(deepest)))
     req = requests.select("request_id", ci(F.col("cn")).alias("_rk"), "page", "page_limit")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, is_numeric_text, strict_date, text_or_empty
-from .common import broadcast_if_small, first_employee_per_key, number_rows
+from .common import broadcast_if_small, first_employee_per_key, number_rows, restrict_to_keys
 
 # Accepted claim types and beneficiaries.
 CLAIM_TYPES = ("opd", "specs")
@@ -97,10 +97,14 @@ def validate_submissions(submissions: DataFrame, employees: DataFrame,
 def reference_exists(requests: DataFrame, claims: DataFrame, ref_col: str = "reference") -> DataFrame:
     """Flag rows whose reference is already on a claim (case-insensitive).
 
-    The claims side is reduced to its distinct reference keys (no fan-out when
-    the table holds a reference twice).
+    The claims side is first cut down to the references the batch asks about
+    (broadcast semi join when that key set is small), then made distinct (no
+    fan-out when the table holds a reference twice).
     """
-    known = claims.select(ci("reference").alias("_ref_key")).where(F.col("_ref_key").isNotNull()).distinct()
+    asked = requests.select(ci(ref_col).alias("_asked"))
+    known = (restrict_to_keys(claims.select(ci("reference").alias("_ref_key")), F.col("_ref_key"),
+                              asked, "_asked")
+             .distinct())
     out = requests.join(known, ci(requests[ref_col]) == known["_ref_key"], "left")
     return out.withColumn("reference_exists", F.col("_ref_key").isNotNull()).drop("_ref_key")
 

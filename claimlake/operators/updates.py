@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, ci, is_numeric_text, php_trim, text_or_empty
 from ..sources.tables import CLAIM_COLUMNS
-from .common import broadcast_if_small, number_rows
+from .common import broadcast_if_small, number_rows, restrict_to_keys
 from .facets import CANONICAL_STATUSES, UNLISTED_ORDER
 
 # Accepted document flags and medical recommendations.
@@ -36,7 +36,7 @@ def _claim_id(df: DataFrame) -> Column:
 
 
 def _with_existence(upd: DataFrame, claims: DataFrame) -> DataFrame:
-    ids = claims.select(F.col("r_id").alias("_rid")).distinct()
+    ids = restrict_to_keys(claims.select(F.col("r_id").alias("_rid")), F.col("_rid"), upd, "_cid").distinct()
     return upd.join(ids, upd["_cid"] == ids["_rid"], "left")
 
 
@@ -45,7 +45,8 @@ def _apply_last(claims: DataFrame, accepted: DataFrame, fields: dict[str, str])
     payload = F.struct(*[F.col(src).alias(dst) for dst, src in fields.items()], F.col("ts").alias("_ts"))
     last = (accepted.groupBy(F.col("_cid").alias("_lc"))
             .agg(F.max_by(payload, F.struct("ts", "seq")).alias("_last")))
-    joined = claims.join(last, claims["r_id"] == last["_lc"], "left")
+    # one row per changed claim: broadcast when proven small, so the claims table is not shuffled
+    joined = claims.join(broadcast_if_small(last), claims["r_id"] == last["_lc"], "left")
     hit = F.col("_lc").isNotNull()
     cols = []
     for c in CLAIM_COLUMNS:
@@ -185,7 +186,8 @@ def apply_status_updates(updates: DataFrame, claims: DataFrame, statuses: DataFr
         F.coalesce(F.col("new_status_id").cast("int"), F.lit(0)).alias("_nid"),
         text_or_empty("new_status_name").alias("_nname"), text_or_empty("remarks").alias("_rem"),
         F.col("updated_by").cast("int").alias("updated_by"))
-    cl = claims.select(F.col("r_id").alias("_rid"), F.col("status").alias("_claim_status"))
+    cl = restrict_to_keys(claims.select(F.col("r_id").alias("_rid"), F.col("status").alias("_claim_status")),
+                          F.col("_rid"), u, "_cid")
     ids = broadcast_if_small(statuses.select(F.col("s_id").alias("_sid"), F.col("status_name").alias("_id_name")))
     v = (u.join(cl, u["_cid"] == cl["_rid"], "left")
          .join(ids, (F.col("_nid") > 0) & (F.col("_nid") == F.col("_sid")), "left"))
