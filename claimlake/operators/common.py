@@ -15,27 +15,36 @@ from ..session import checkpoint_dir
 BROADCAST_MAX_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` holds at most ``max_rows`` rows (reads at most ``max_rows + 1``)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       known_small: bool | None = None) -> DataFrame:
     """Broadcast hint only for a side proven to hold at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows; a larger side keeps a plain
-    (shuffled, AQE-managed) join.
+    The proof is either ``known_small`` — the caller knows an upper bound, e.g.
+    a set derived from a request batch is never larger than the batch — or a
+    check that reads at most ``max_rows + 1`` rows.  A larger side keeps a
+    plain (shuffled, AQE-managed) join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    small = is_small(df, max_rows) if known_small is None else known_small
+    return F.broadcast(df) if small else df
 
 
 def restrict_to_keys(big: DataFrame, big_key: Column, keys: DataFrame, key_col: str,
-                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                     keys_small: bool | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Rows of ``big`` whose ``big_key`` occurs in ``keys[key_col]``.
 
     Used to cut a large table down to the keys a (small) request batch asks
     for before any shuffle: with a key set proven to hold at most ``max_rows``
-    distinct keys the semi join is broadcast, so the large table is only
-    scanned and filtered; a larger key set falls back to a shuffled semi join.
+    keys (``keys_small``, or checked) the semi join is broadcast, so the large
+    table is only scanned and filtered; a larger key set falls back to a
+    shuffled semi join.
     """
     wanted = keys.select(F.col(key_col).alias("_want")).where(F.col("_want").isNotNull()).distinct()
-    return big.join(broadcast_if_small(wanted, max_rows), big_key == F.col("_want"), "left_semi")
+    return big.join(broadcast_if_small(wanted, max_rows, keys_small), big_key == F.col("_want"), "left_semi")
 
 
 def first_employee_per_key(employees: DataFrame, keys: dict[str, Column],
@@ -96,18 +105,10 @@ def number_rows(df: DataFrame, order_by: list[str], group_by: list[str] | None =
               .drop("_cnt"))
     pieces = pieces.select(*[F.col(g).alias(f"_pg{i}") for i, g in enumerate(group_by)],
                            F.col("_part").alias("_pp"), "_first", "_before")
-    if not group_by:
-        pieces = F.broadcast(pieces)  # one row per partition: bounded by n
+    # without groups: one row per partition, bounded by n; with groups: size-checked
+    pieces = F.broadcast(pieces) if not group_by else broadcast_if_small(pieces)
     cond = [F.col("_part") == F.col("_pp")]
     cond += [F.col(g).eqNullSafe(F.col(f"_pg{i}")) for i, g in enumerate(group_by)]
     numbered = tagged.join(pieces, cond, "inner")
     pos = (F.col("_pos") - F.col("_first") + F.col("_before") + 1).cast("long")
     return numbered.select(*[F.col(c) for c in df.columns], pos.alias(out))
-
-
-def ordered_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*columns)
-
-
-def ci_key(c) -> Column:
-    return ci(c)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, money
-from .common import broadcast_if_small
 from .facets import CANONICAL_STATUSES
 from .search import NEEDS_ACTION_STATUSES
 
@@ -40,7 +39,8 @@ def status_counts(statuses: DataFrame, claims: DataFrame) -> DataFrame:
     """A2: claims per status-table row, zero included, in display order."""
     per_key = claims_summary(claims).groupBy("status_key").agg(F.sum("n_ids").alias("_n"))
     sts = statuses.select("s_id", "status_name", "status_order")
-    joined = sts.join(broadcast_if_small(per_key), ci(sts["status_name"]) == per_key["status_key"], "left")
+    # per_key is one row per status spelling; AQE broadcasts it from its runtime size
+    joined = sts.join(per_key, ci(sts["status_name"]) == per_key["status_key"], "left")
     return (joined.select(F.col("s_id").alias("status_id"), "status_name", "status_order",
                           F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("total"))
             .orderBy("status_order", "status_id"))
@@ -81,7 +81,7 @@ def status_kpis(statuses: DataFrame, claims: DataFrame) -> DataFrame:
     summary = claims_summary(claims)
     per_key = summary.groupBy("status_key").agg(F.sum("n_ids").alias("_n"))
     sts = statuses.select("s_id", "status_name", "status_order")
-    counted = (sts.join(broadcast_if_small(per_key), ci(sts["status_name"]) == per_key["status_key"], "left")
+    counted = (sts.join(per_key, ci(sts["status_name"]) == per_key["status_key"], "left")
                .select("s_id", "status_name", "status_order",
                        F.coalesce("_n", F.lit(0)).alias("total"), F.lit(True).alias("_is_status_row")))
     # status rows and summary rows side by side in one aggregation (no join of one-row results)

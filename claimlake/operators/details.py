@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, js_trim, text_or_empty
-from .common import broadcast_if_small, first_employee_per_key, restrict_to_keys
+from .common import broadcast_if_small, first_employee_per_key, is_small, restrict_to_keys
 
 DETAIL_COLUMNS = [
     "claim_id", "reference_no", "opd_date", "amount_requested", "claim_type", "patient_name",
@@ -32,7 +32,7 @@ def claim_detail(requests: DataFrame, claims: DataFrame, employees: DataFrame,
         ["e_id", "nic", "initials", "surname", "division_code"])
     div = broadcast_if_small(divisions.select("div_code", "division_name"))
     asked = requests.select(F.col(id_col).alias("_asked"))
-    claims = restrict_to_keys(claims, F.col("r_id"), asked, "_asked")
+    claims = restrict_to_keys(claims, F.col("r_id"), asked, "_asked", keys_small=is_small(requests))
     detail = (claims.withColumn("_emp_key", ci("emp_computer_number"))
               .join(emp, "_emp_key", "left")
               .join(div, F.col("division_code") == F.col("div_code"), "left")
@@ -96,7 +96,7 @@ AUTHORIZED_EMPLOYEE_COLUMNS = ["employee_id", "employee_computer_number", "emplo
 
 
 def verified_requests(requests: DataFrame, employees: DataFrame, divisions: DataFrame | None = None,
-                      profile: list[str] | None = None) -> DataFrame:
+                      profile: list[str] | None = None, batch_small: bool | None = None) -> DataFrame:
     """Trimmed request credentials matched to one employee (smallest ``e_id``).
 
     Adds ``cn`` / ``nic_in`` (trimmed input) and the employee ``profile``
@@ -106,6 +106,9 @@ def verified_requests(requests: DataFrame, employees: DataFrame, divisions: Data
     profile = profile or ["e_id"]
     req = (requests.withColumn("cn", text_or_empty("computer_number"))
            .withColumn("nic_in", text_or_empty("nic")))
+    # only the employees the batch names, before the per-key reduction
+    employees = restrict_to_keys(employees, ci("computer_number"), req.select(ci("cn").alias("_asked")), "_asked",
+                                 keys_small=batch_small)
     emp = first_employee_per_key(
         employees, {"_k_cn": ci("computer_number"), "_k_nic": ci("nic")},
         list(dict.fromkeys(["e_id", *profile])))
@@ -127,9 +130,12 @@ def authorized_claim(requests: DataFrame, employees: DataFrame, divisions: DataF
     ``outcome``: ``missing_input`` (blank number or NIC, id ≤ 0), then
     ``invalid_employee``, then ``not_found``, else ``ok``.
     """
+    batch_small = is_small(requests)
     ver = verified_requests(requests, employees, divisions,
-                            ["e_id", "computer_number", "nic", "initials", "surname", "division_code"])
-    claims = restrict_to_keys(claims, F.col("r_id"), requests.select(F.col("claim_id").alias("_asked")), "_asked")
+                            ["e_id", "computer_number", "nic", "initials", "surname", "division_code"],
+                            batch_small)
+    claims = restrict_to_keys(claims, F.col("r_id"), requests.select(F.col("claim_id").alias("_asked")), "_asked",
+                              keys_small=batch_small)
     cl = claims.select(F.col("r_id").alias("_rid"), ci("emp_computer_number").alias("_ckey"),
                        *[F.col(c) for c in claims.columns])
     missing = (F.col("cn") == "") | (F.col("nic_in") == "") | (F.coalesce(F.col("claim_id"), F.lit(0)) <= 0)

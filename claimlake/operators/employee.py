@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, text_or_empty
-from .common import restrict_to_keys
+from .common import is_small, number_rows, restrict_to_keys
 from .details import verified_requests
 
 VERIFY_COLUMNS = [
@@ -64,9 +64,9 @@ def clamp_employee_paging(page: Column, limit: Column) -> tuple[Column, Column]:
 
 
 def _employee_requests(requests: DataFrame, employees: DataFrame,
-                       page_col: str, limit_col: str) -> DataFrame:
+                       page_col: str, limit_col: str, batch_small: bool | None = None) -> DataFrame:
     p, n = clamp_employee_paging(F.col(page_col), F.col(limit_col))
-    ver = verified_requests(requests, employees)
+    ver = verified_requests(requests, employees, batch_small=batch_small)
     outcome = (F.when((F.col("cn") == "") | (F.col("nic_in") == ""), F.lit("missing_input"))
                .when(F.col("vemp_e_id").isNull(), F.lit("invalid_employee")).otherwise(F.lit("ok")))
     return ver.select("request_id", "cn", outcome.alias("outcome"), p.alias("page"), n.alias("page_limit"))
@@ -81,9 +81,11 @@ def employee_claim_counts(requests: DataFrame, employees: DataFrame, claims: Dat
     partial aggregation, then joined to the requests, so a requester with very
     many claims costs one row.
     """
-    req = _employee_requests(requests, employees, page_col, limit_col)
+    batch_small = is_small(requests)
+    req = _employee_requests(requests, employees, page_col, limit_col, batch_small)
     asked = req.where(F.col("outcome") == "ok").select(ci(F.col("cn")).alias("_asked"))
-    mine = restrict_to_keys(claims.select(ci("emp_computer_number").alias("_k")), F.col("_k"), asked, "_asked")
+    mine = restrict_to_keys(claims.select(ci("emp_computer_number").alias("_k")), F.col("_k"), asked, "_asked",
+                            keys_small=batch_small)
     counts = mine.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     ok = F.col("outcome") == "ok"
     joined = req.join(counts, ok & (ci(F.col("cn")) == F.col("_k")), "left")
@@ -95,7 +97,7 @@ def employee_claim_counts(requests: DataFrame, employees: DataFrame, claims: Dat
                          total.alias("total_claims"), pages.alias("total_pages"))
 
 
-def paged_per_key(requests: DataFrame, claims: DataFrame) -> DataFrame:
+def paged_per_key(requests: DataFrame, claims: DataFrame, batch_small: bool | None = None) -> DataFrame:
     """For each request (``cn``, ``page``, ``page_limit``) its page of claims, newest first.
 
     Claims are ranked per computer number by (created_at DESC, r_id DESC) and
@@ -103,14 +105,27 @@ def paged_per_key(requests: DataFrame, claims: DataFrame) -> DataFrame:
     so Spark plans the ranking as a window group limit that already trims each
     computer number to the bound on the map side, before the shuffle: a
     requester with very many claims ships at most ``bound`` rows per map task.
+    Beyond the planner's group-limit threshold the exact positions come from
+    ``number_rows`` instead, which splits a large group across tasks.
     """
     deepest = requests.agg(F.max(F.col("page") * F.col("page_limit")).alias("m")).first()["m"]
     if deepest is None:
         deepest = 0
     asked = requests.select(ci(F.col("cn")).alias("_asked"))
-    mine = restrict_to_keys(claims.withColumn("_k", ci("emp_computer_number")), F.col("_k"), asked, "_asked")
-    order = Window.partitionBy("_k").orderBy(F.col("created_at").desc_nulls_last(), F.col("r_id").desc())
-    ranked = mine.withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= F.lit(int(deepest)))
+    mine = restrict_to_keys(claims.withColumn("_k", ci("emp_computer_number")), F.col("_k"), asked, "_asked",
+                            keys_small=batch_small)
+    limit_threshold = int(mine.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if deepest <= limit_threshold:
+        order = Window.partitionBy("_k").orderBy(F.col("created_at").desc_nulls_last(), F.col("r_id").desc())
+        ranked = mine.withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= F.lit(int(deepest)))
+    else:
+        # very deep pages: exact positions without a per-employee window (newest first
+        # written as ascending keys: undated last, then later time, then higher id)
+        keyed = (mine.withColumn("_undated", F.col("created_at").isNull())
+                 .withColumn("_neg_ts", -F.unix_micros(F.col("created_at").cast("timestamp")))
+                 .withColumn("_neg_id", -F.col("r_id")))
+        ranked = (number_rows(keyed, ["_undated", "_neg_ts", "_neg_id"], ["_k"], out="row_no")
+                  .where(F.col("row_no") <= F.lit(int(deepest))))
     req = requests.select("request_id", ci(F.col("cn")).alias("_rk"), "page", "page_limit")
     lo = (F.col("page") - 1) * F.col("page_limit")
     joined = req.join(ranked, (F.col("_rk") == F.col("_k")) & (F.col("row_no") > lo)
@@ -125,11 +140,12 @@ def paged_per_employee(requests: DataFrame, claims: DataFrame,
     p, n = clamp_employee_paging(F.col(page_col), F.col(limit_col))
     req = requests.select("request_id", text_or_empty("computer_number").alias("cn"),
                           p.alias("page"), n.alias("page_limit")).where(F.col("cn") != "")
-    return paged_per_key(req, claims)
+    return paged_per_key(req, claims, is_small(requests))
 
 
 def employee_page(requests: DataFrame, employees: DataFrame, claims: DataFrame,
                   page_col: str = "page", limit_col: str = "page_limit") -> DataFrame:
     """L4: G3 for the requests whose (computer number, NIC) verify."""
-    req = _employee_requests(requests, employees, page_col, limit_col).where(F.col("outcome") == "ok")
-    return paged_per_key(req, claims)
+    batch_small = is_small(requests)
+    req = _employee_requests(requests, employees, page_col, limit_col, batch_small).where(F.col("outcome") == "ok")
+    return paged_per_key(req, claims, batch_small)

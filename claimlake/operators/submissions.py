@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, is_numeric_text, strict_date, text_or_empty
-from .common import broadcast_if_small, first_employee_per_key, number_rows, restrict_to_keys
+from .common import first_employee_per_key, is_small, number_rows, restrict_to_keys
 
 # Accepted claim types and beneficiaries.
 CLAIM_TYPES = ("opd", "specs")
@@ -46,7 +46,8 @@ def _employee_keys(employees: DataFrame) -> DataFrame:
 
 
 def validate_submissions(submissions: DataFrame, employees: DataFrame,
-                         client_rules: bool = False, ts_col: str = "submitted_at") -> DataFrame:
+                         client_rules: bool = False, ts_col: str = "submitted_at",
+                         batch_small: bool | None = None) -> DataFrame:
     """The first failing rule names the outcome, else ``ok``.
 
     Order: ``missing_field`` (any of 8 blank after trim) → ``bad_date`` (strict
@@ -59,7 +60,9 @@ def validate_submissions(submissions: DataFrame, employees: DataFrame,
     submission is rejected as ``future_date``.
     """
     s = _normalized(submissions)
-    emp = _employee_keys(employees)
+    asked = s.select(ci("in_computer_number").alias("_asked"))
+    emp = _employee_keys(restrict_to_keys(employees, ci("computer_number"), asked, "_asked",
+                                          keys_small=batch_small))
     s = s.join(emp, (ci(s["in_computer_number"]) == emp["_k_cn"]) & (ci(s["in_nic"]) == emp["_k_nic"]), "left")
     if client_rules:
         own_name = F.coalesce(labels.employee_name_strict("initials", "surname"), F.lit(""))
@@ -94,7 +97,8 @@ def validate_submissions(submissions: DataFrame, employees: DataFrame,
                     F.col("in_patient_name").alias("v_patient_name"))
 
 
-def reference_exists(requests: DataFrame, claims: DataFrame, ref_col: str = "reference") -> DataFrame:
+def reference_exists(requests: DataFrame, claims: DataFrame, ref_col: str = "reference",
+                     keys_small: bool | None = None) -> DataFrame:
     """Flag rows whose reference is already on a claim (case-insensitive).
 
     The claims side is first cut down to the references the batch asks about
@@ -103,7 +107,7 @@ def reference_exists(requests: DataFrame, claims: DataFrame, ref_col: str = "ref
     """
     asked = requests.select(ci(ref_col).alias("_asked"))
     known = (restrict_to_keys(claims.select(ci("reference").alias("_ref_key")), F.col("_ref_key"),
-                              asked, "_asked")
+                              asked, "_asked", keys_small=keys_small)
              .distinct())
     out = requests.join(known, ci(requests[ref_col]) == known["_ref_key"], "left")
     return out.withColumn("reference_exists", F.col("_ref_key").isNotNull()).drop("_ref_key")
@@ -119,12 +123,13 @@ def ingest_submissions(submissions: DataFrame, claims: DataFrame, employees: Dat
     Accepted rows get ids above the table's largest id in ``seq`` order
     (numbered without a global sort on one task, see ``number_rows``).
     """
-    checked = validate_submissions(submissions, employees, client_rules, ts_col)
+    batch_small = is_small(submissions)  # bounds every key set derived from the batch
+    checked = validate_submissions(submissions, employees, client_rules, ts_col, batch_small)
     valid = checked.where(F.col("outcome") == "ok")
     first = (valid.groupBy(ci("v_reference").alias("_fk"))
              .agg(F.min("seq").alias("_first_seq")))
     out = checked.join(first, ci(checked["v_reference"]) == first["_fk"], "left").drop("_fk")
-    out = reference_exists(out, claims, "v_reference")
+    out = reference_exists(out, claims, "v_reference", keys_small=batch_small)
     outcome = (F.when(F.col("outcome") != "ok", F.col("outcome"))
                .when(F.col("reference_exists") | (F.col("seq") != F.col("_first_seq")),
                      F.lit("duplicate_reference"))
@@ -186,7 +191,8 @@ def assign_references(submissions: DataFrame, claims: DataFrame, ts_col: str = "
             .agg(F.max(F.regexp_extract("_r", REFERENCE_PATTERN, 2).try_cast("long")).alias("_top")))
     blanks = (s.where(F.col("_ref") == "").select("seq", F.year(ts_col).alias("_y")))
     numbered = number_rows(blanks, ["seq"], ["_y"], out="_n")
-    numbered = numbered.join(broadcast_if_small(used), "_y", "left")
+    # one row per 4-digit year: at most 10,000 rows
+    numbered = numbered.join(F.broadcast(used), "_y", "left")
     made = numbered.select(F.col("seq").alias("_bseq"), F.format_string(
         f"{REFERENCE_PREFIX}-%d-%05d", F.col("_y"), F.coalesce(F.col("_top"), F.lit(0)) + F.col("_n"))
         .alias("_new"))

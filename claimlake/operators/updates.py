@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, ci, is_numeric_text, php_trim, text_or_empty
 from ..sources.tables import CLAIM_COLUMNS
-from .common import broadcast_if_small, number_rows, restrict_to_keys
+from .common import broadcast_if_small, is_small, number_rows, restrict_to_keys
 from .facets import CANONICAL_STATUSES, UNLISTED_ORDER
 
 # Accepted document flags and medical recommendations.
@@ -35,18 +35,21 @@ def _claim_id(df: DataFrame) -> Column:
     return F.coalesce(F.col("claim_id").cast("int"), F.lit(0))
 
 
-def _with_existence(upd: DataFrame, claims: DataFrame) -> DataFrame:
-    ids = restrict_to_keys(claims.select(F.col("r_id").alias("_rid")), F.col("_rid"), upd, "_cid").distinct()
+def _with_existence(upd: DataFrame, claims: DataFrame, batch_small: bool) -> DataFrame:
+    ids = restrict_to_keys(claims.select(F.col("r_id").alias("_rid")), F.col("_rid"), upd, "_cid",
+                           keys_small=batch_small).distinct()
     return upd.join(ids, upd["_cid"] == ids["_rid"], "left")
 
 
-def _apply_last(claims: DataFrame, accepted: DataFrame, fields: dict[str, str]) -> DataFrame:
+def _apply_last(claims: DataFrame, accepted: DataFrame, fields: dict[str, str],
+                batch_small: bool | None = None) -> DataFrame:
     """New claim state: each claim with accepted updates takes the fields of its last one."""
     payload = F.struct(*[F.col(src).alias(dst) for dst, src in fields.items()], F.col("ts").alias("_ts"))
     last = (accepted.groupBy(F.col("_cid").alias("_lc"))
             .agg(F.max_by(payload, F.struct("ts", "seq")).alias("_last")))
-    # one row per changed claim: broadcast when proven small, so the claims table is not shuffled
-    joined = claims.join(broadcast_if_small(last), claims["r_id"] == last["_lc"], "left")
+    # one row per changed claim (never more than the batch has rows): broadcast when
+    # proven small, so the claims table is not shuffled
+    joined = claims.join(broadcast_if_small(last, known_small=batch_small), claims["r_id"] == last["_lc"], "left")
     hit = F.col("_lc").isNotNull()
     cols = []
     for c in CLAIM_COLUMNS:
@@ -67,12 +70,13 @@ class UpdateBatch:
 
 
 def _finish(checked: DataFrame, claims: DataFrame, fields: dict[str, str], first_rules: Column) -> UpdateBatch:
-    checked = _with_existence(checked, claims)
+    batch_small = is_small(checked)  # bounds every set derived from the batch below
+    checked = _with_existence(checked, claims, batch_small)
     outcome = first_rules.when(F.col("_rid").isNull(), F.lit("not_found")).otherwise(F.lit("accepted"))
     checked = checked.withColumn("outcome", outcome)
     outcomes = checked.select("seq", F.col("_cid").alias("claim_id"), "outcome")
     accepted = checked.where(F.col("outcome") == "accepted")
-    return UpdateBatch(outcomes, _apply_last(claims, accepted, fields))
+    return UpdateBatch(outcomes, _apply_last(claims, accepted, fields, batch_small))
 
 
 def apply_document_updates(updates: DataFrame, claims: DataFrame) -> UpdateBatch:
@@ -186,8 +190,9 @@ def apply_status_updates(updates: DataFrame, claims: DataFrame, statuses: DataFr
         F.coalesce(F.col("new_status_id").cast("int"), F.lit(0)).alias("_nid"),
         text_or_empty("new_status_name").alias("_nname"), text_or_empty("remarks").alias("_rem"),
         F.col("updated_by").cast("int").alias("updated_by"))
+    batch_small = is_small(u)  # bounds every set derived from the batch below
     cl = restrict_to_keys(claims.select(F.col("r_id").alias("_rid"), F.col("status").alias("_claim_status")),
-                          F.col("_rid"), u, "_cid")
+                          F.col("_rid"), u, "_cid", keys_small=batch_small)
     ids = broadcast_if_small(statuses.select(F.col("s_id").alias("_sid"), F.col("status_name").alias("_id_name")))
     v = (u.join(cl, u["_cid"] == cl["_rid"], "left")
          .join(ids, (F.col("_nid") > 0) & (F.col("_nid") == F.col("_sid")), "left"))
@@ -230,7 +235,8 @@ def apply_status_updates(updates: DataFrame, claims: DataFrame, statuses: DataFr
 
     # resolve each accepted update's new status (name and id)
     fresh = broadcast_if_small(new_rows.select(F.col("_nk").alias("_fk"), F.col("s_id").alias("_fresh_sid"),
-                                               F.col("status_name").alias("_fresh_name")))
+                                               F.col("status_name").alias("_fresh_name")),
+                               known_small=batch_small)
     res = acc.join(fresh, (F.col("_nid") <= 0) & F.col("_table_sid").isNull()
                    & (ci(F.col("_nname")) == F.col("_fk")), "left")
     res = res.select(
@@ -264,7 +270,7 @@ def apply_status_updates(updates: DataFrame, claims: DataFrame, statuses: DataFr
         "updated_by", F.col("old_status_id").cast("int").alias("old_status_id"),
         F.col("new_status_id").cast("int").alias("new_status_id"))
 
-    new_claims = _apply_last(claims, res, {"status": "new_status"})
+    new_claims = _apply_last(claims, res, {"status": "new_status"}, batch_small)
     changes = (res.groupBy(F.col("_cid").alias("claim_id"))
                .agg(F.max_by(F.struct(F.col("new_status").alias("status"),
                                       F.col("ts").cast("timestamp_ntz").alias("updated_at")),

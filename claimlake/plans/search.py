@@ -1,9 +1,7 @@
-"""Search queries (J1, J6, F1–F6, A8, L3, L5, U1, U2) and their SQL oracles."""
+"""Search queries (J1, J6, F1–F6, A8, L3, L5, U1) and their SQL oracles."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import enrich as E
 from ..operators import facets as U
 from ..operators import search as S
@@ -149,23 +147,3 @@ SELECT COALESCE(min(CASE WHEN status_id <> 0 THEN status_id END), 0) AS status_i
 FROM u GROUP BY lower(rtrim(status_name))""", ("statuses", "claims"))
 def _status_facets(t):
     return U.status_facets(t["statuses"], t["claims"])
-
-
-def _canonical_values() -> str:
-    return ", ".join(f"(0, '{n}', {o})" for n, o in U.CANONICAL_STATUSES)
-
-
-@query("status_choices", "U2", f"""
-WITH u AS (
-  SELECT s_id AS status_id, status_name, status_order FROM fx_statuses
-  WHERE status_name IS NOT NULL AND rtrim(status_name) <> ''
-  UNION ALL
-  SELECT * FROM (VALUES {_canonical_values()}) AS c(status_id, status_name, status_order))
-SELECT COALESCE(min(CASE WHEN status_id <> 0 THEN status_id END), 0) AS status_id,
-  min(status_name) AS status_name, min(status_order) AS status_order
-FROM u GROUP BY lower(rtrim(status_name))""", ("statuses",))
-def _status_choices(t):
-    return U.status_choices(t["statuses"])
-
-
-_ = F  # keep the functions module import for plan helpers

@@ -10,8 +10,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import functions as F
-
 from ..operators import dashboard as D
 from ..operators import updates as W
 from ..session import scratch_path
@@ -102,5 +100,3 @@ def _stream_status_updates(t):
                             t["claims"], t["statuses"], t["history"])
     return T.read_state(t.spark, state, "outcomes").select("seq", "claim_id", "outcome")
 
-
-_ = F

@@ -193,7 +193,7 @@ def _status_history(t):
     return _status_batch(t).history
 
 
-@query("status_choices_after_updates", "U2", STATUS_CTES + f""",
+@query("status_choices", "U2", STATUS_CTES + f""",
 st AS (SELECT s_id, status_name, status_order FROM fx_statuses UNION ALL SELECT s_id, status_name, status_order FROM newst),
 uu AS (
   SELECT s_id AS status_id, status_name, status_order FROM st
@@ -204,5 +204,6 @@ uu AS (
 SELECT COALESCE(min(CASE WHEN status_id <> 0 THEN status_id END), 0) AS status_id,
   min(status_name) AS status_name, min(status_order) AS status_order
 FROM uu GROUP BY lower(rtrim(status_name))""", STATUS_FX)
-def _status_choices_after_updates(t):
+def _status_choices(t):
+    """U2 over the status table as the status-update batch leaves it."""
     return U.status_choices(_status_batch(t).statuses)

@@ -82,3 +82,19 @@ def test_number_rows_exact_under_a_hot_group(spark):
     assert got.count() == n and bad.count() == 0
     glob = number_rows(df, ["seq"], out="pos", num_partitions=16)
     assert glob.where(F.col("pos") != F.col("seq") + 1).count() == 0
+
+
+def test_deep_pages_use_exact_fallback(spark, tables_small):
+    from claimlake.operators import employee as M
+
+    t = tables_small
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    cols = ["request_id", "position", "claim_id"]
+    want = sorted(tuple(r) for r in M.paged_per_employee(t["access_requests"], t["claims"]).select(*cols).collect())
+    old = spark.conf.get(key)
+    spark.conf.set(key, "5")  # every page bound is now "deep"
+    try:
+        got = sorted(tuple(r) for r in M.paged_per_employee(t["access_requests"], t["claims"]).select(*cols).collect())
+    finally:
+        spark.conf.set(key, old)
+    assert got == want and len(got) > 0
