@@ -124,7 +124,8 @@ def ingest_submissions(submissions: DataFrame, claims: DataFrame, employees: Dat
     (numbered without a global sort on one task, see ``number_rows``).
     """
     batch_small = is_small(submissions)  # bounds every key set derived from the batch
-    checked = validate_submissions(submissions, employees, client_rules, ts_col, batch_small)
+    # validated once and shared by the duplicate check, the numbering and the result
+    checked = validate_submissions(submissions, employees, client_rules, ts_col, batch_small).checkpoint(eager=True)
     valid = checked.where(F.col("outcome") == "ok")
     first = (valid.groupBy(ci("v_reference").alias("_fk"))
              .agg(F.min("seq").alias("_first_seq")))

@@ -11,6 +11,7 @@ instead of landing whole in one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,18 +147,6 @@ def apply_payment_updates(updates: DataFrame, claims: DataFrame) -> UpdateBatch:
 
 # ---------------------------------------------------------------- status updates
 
-@dataclass
-class StatusBatch:
-    """W7–W9 and G2 for one batch of status updates (all lazily planned)."""
-    outcomes: DataFrame   # seq, claim_id, outcome
-    claims: DataFrame     # new claims table
-    new_statuses: DataFrame  # W8: rows added to the status table
-    statuses: DataFrame   # W8: the whole new status table
-    replay: DataFrame     # G2: seq, claim_id, old_status, new_status
-    history: DataFrame    # W9: new log rows
-    changes: DataFrame    # claim_id, status, updated_at of the claims this batch changed
-
-
 def canonical_order(name: Column) -> Column:
     """Display order of a freshly inserted status: canonical only for the exact spelling."""
     expr = None
@@ -167,8 +156,7 @@ def canonical_order(name: Column) -> Column:
     return expr.otherwise(F.lit(UNLISTED_ORDER))
 
 
-def apply_status_updates(updates: DataFrame, claims: DataFrame, statuses: DataFrame,
-                         history: DataFrame) -> StatusBatch:
+class StatusBatch:
     """W7 with W8 (new statuses), G2 (old/new status per update) and W9 (log rows).
 
     Validation: claim id, (status id or name) and a non-blank remark are
@@ -184,96 +172,147 @@ def apply_status_updates(updates: DataFrame, claims: DataFrame, statuses: DataFr
     same name the earliest by (ts, seq, new-before-old) wins.  Unlike the
     source, a name-only update logs the resolved id (not 0), and a NULL old
     status is inserted once, not once per update.
+
+    Outputs are planned on first use, so asking only for ``outcomes`` runs no
+    numbering.  The accepted updates are checkpointed once and shared by W8,
+    G2, W9 and the new claim state.
     """
-    u = updates.select(
-        "seq", "ts", F.coalesce(F.col("claim_id").cast("int"), F.lit(0)).alias("_cid"),
-        F.coalesce(F.col("new_status_id").cast("int"), F.lit(0)).alias("_nid"),
-        text_or_empty("new_status_name").alias("_nname"), text_or_empty("remarks").alias("_rem"),
-        F.col("updated_by").cast("int").alias("updated_by"))
-    batch_small = is_small(u)  # bounds every set derived from the batch below
-    cl = restrict_to_keys(claims.select(F.col("r_id").alias("_rid"), F.col("status").alias("_claim_status")),
-                          F.col("_rid"), u, "_cid", keys_small=batch_small)
-    ids = broadcast_if_small(statuses.select(F.col("s_id").alias("_sid"), F.col("status_name").alias("_id_name")))
-    v = (u.join(cl, u["_cid"] == cl["_rid"], "left")
-         .join(ids, (F.col("_nid") > 0) & (F.col("_nid") == F.col("_sid")), "left"))
-    missing = (F.col("_cid") <= 0) | ((F.col("_nid") <= 0) & (F.col("_nname") == "")) | (F.col("_rem") == "")
-    outcome = (F.when(missing, F.lit("missing_input"))
-               .when(F.col("_rid").isNull(), F.lit("not_found"))
-               .when((F.col("_nid") > 0) & F.col("_sid").isNull(), F.lit("invalid_status"))
-               .otherwise(F.lit("accepted")))
-    v = v.withColumn("outcome", outcome)
-    outcomes = v.select("seq", F.col("_cid").alias("claim_id"), "outcome")
-
-    by_name = broadcast_if_small(
-        statuses.where(F.col("status_name").isNotNull())
-        .groupBy(ci("status_name").alias("_tk"))
-        .agg(F.min_by("status_name", "s_id").alias("_table_name"), F.min("s_id").alias("_table_sid")))
-    acc = v.where(F.col("outcome") == "accepted")
-    acc = acc.join(by_name, (F.col("_nid") <= 0) & (ci(F.col("_nname")) == F.col("_tk")), "left").drop("_tk")
-
-    # Candidate introductions of unknown names, first per case-insensitive name
-    from_new = (acc.where((F.col("_nid") <= 0) & F.col("_table_sid").isNull())
-                .select("ts", "seq", F.lit(0).alias("k"), F.col("_nname").alias("name"),
-                        canonical_order(F.col("_nname")).alias("ord")))
-    first_per_claim = (acc.groupBy("_cid")
-                       .agg(F.min(F.struct("ts", "seq", "_claim_status")).alias("_f"))
-                       .select(F.col("_f.ts").alias("ts"), F.col("_f.seq").alias("seq"),
-                               F.col("_f._claim_status").alias("name")))
-    known = statuses.where(F.col("status_name").isNotNull()).select(ci("status_name").alias("_kk")).distinct()
-    from_old = (first_per_claim.join(known, ci(first_per_claim["name"]) == known["_kk"], "left_anti")
-                .select("ts", "seq", F.lit(1).alias("k"), "name", F.lit(UNLISTED_ORDER).alias("ord")))
-    firsts = (from_new.unionByName(from_old)
-              .groupBy(ci("name").alias("_nk"))
-              .agg(F.min(F.struct("ts", "seq", "k", "name", "ord")).alias("_f"))
-              .select("_nk", "_f.ts", "_f.seq", "_f.k", "_f.name", "_f.ord"))
-    base_sid = statuses.agg(F.max("s_id")).first()[0] or 0
-    numbered = number_rows(firsts, ["ts", "seq", "k"], out="_n")
-    new_rows = numbered.select("_nk", (F.lit(base_sid) + F.col("_n")).cast("int").alias("s_id"),
+
+    def __init__(self, updates: DataFrame, claims: DataFrame, statuses: DataFrame, history: DataFrame):
+        self._claims_in, self._statuses_in, self._history_in = claims, statuses, history
+        u = updates.select(
+            "seq", "ts", F.coalesce(F.col("claim_id").cast("int"), F.lit(0)).alias("_cid"),
+            F.coalesce(F.col("new_status_id").cast("int"), F.lit(0)).alias("_nid"),
+            text_or_empty("new_status_name").alias("_nname"), text_or_empty("remarks").alias("_rem"),
+            F.col("updated_by").cast("int").alias("updated_by"))
+        self._small = is_small(u)  # bounds every set derived from the batch below
+        cl = restrict_to_keys(claims.select(F.col("r_id").alias("_rid"), F.col("status").alias("_claim_status")),
+                              F.col("_rid"), u, "_cid", keys_small=self._small)
+        ids = broadcast_if_small(statuses.select(F.col("s_id").alias("_sid"), F.col("status_name").alias("_id_name")))
+        v = (u.join(cl, u["_cid"] == cl["_rid"], "left")
+             .join(ids, (F.col("_nid") > 0) & (F.col("_nid") == F.col("_sid")), "left"))
+        missing = (F.col("_cid") <= 0) | ((F.col("_nid") <= 0) & (F.col("_nname") == "")) | (F.col("_rem") == "")
+        outcome = (F.when(missing, F.lit("missing_input"))
+                   .when(F.col("_rid").isNull(), F.lit("not_found"))
+                   .when((F.col("_nid") > 0) & F.col("_sid").isNull(), F.lit("invalid_status"))
+                   .otherwise(F.lit("accepted")))
+        self._validated = v.withColumn("outcome", outcome)
+        #: seq, claim_id, outcome
+        self.outcomes = self._validated.select("seq", F.col("_cid").alias("claim_id"), "outcome")
+
+    @cached_property
+    def _by_name(self) -> DataFrame:
+        return broadcast_if_small(
+            self._statuses_in.where(F.col("status_name").isNotNull())
+            .groupBy(ci("status_name").alias("_tk"))
+            .agg(F.min_by("status_name", "s_id").alias("_table_name"), F.min("s_id").alias("_table_sid")))
+
+    @cached_property
+    def _accepted(self) -> DataFrame:
+        acc = self._validated.where(F.col("outcome") == "accepted")
+        acc = acc.join(self._by_name, (F.col("_nid") <= 0) & (ci(F.col("_nname")) == F.col("_tk")), "left")
+        return acc.drop("_tk").checkpoint(eager=True)
+
+    @cached_property
+    def _new_rows(self) -> DataFrame:
+        """Candidate introductions of unknown names, first per case-insensitive name."""
+        acc, statuses = self._accepted, self._statuses_in
+        from_new = (acc.where((F.col("_nid") <= 0) & F.col("_table_sid").isNull())
+                    .select("ts", "seq", F.lit(0).alias("k"), F.col("_nname").alias("name"),
+                            canonical_order(F.col("_nname")).alias("ord")))
+        first_per_claim = (acc.groupBy("_cid")
+                           .agg(F.min(F.struct("ts", "seq", "_claim_status")).alias("_f"))
+                           .select(F.col("_f.ts").alias("ts"), F.col("_f.seq").alias("seq"),
+                                   F.col("_f._claim_status").alias("name")))
+        known = statuses.where(F.col("status_name").isNotNull()).select(ci("status_name").alias("_kk")).distinct()
+        from_old = (first_per_claim.join(known, ci(first_per_claim["name"]) == known["_kk"], "left_anti")
+                    .select("ts", "seq", F.lit(1).alias("k"), "name", F.lit(UNLISTED_ORDER).alias("ord")))
+        firsts = (from_new.unionByName(from_old)
+                  .groupBy(ci("name").alias("_nk"))
+                  .agg(F.min(F.struct("ts", "seq", "k", "name", "ord")).alias("_f"))
+                  .select("_nk", "_f.ts", "_f.seq", "_f.k", "_f.name", "_f.ord"))
+        base_sid = statuses.agg(F.max("s_id")).first()[0] or 0
+        numbered = number_rows(firsts, ["ts", "seq", "k"], out="_n")
+        return numbered.select("_nk", (F.lit(base_sid) + F.col("_n")).cast("int").alias("s_id"),
                                F.col("name").alias("status_name"), F.col("ord").cast("int").alias("status_order"))
-    new_statuses = new_rows.select("s_id", "status_name", "status_order")
-    all_statuses = statuses.select("s_id", "status_name", "status_order").unionByName(new_statuses)
-
-    # resolve each accepted update's new status (name and id)
-    fresh = broadcast_if_small(new_rows.select(F.col("_nk").alias("_fk"), F.col("s_id").alias("_fresh_sid"),
-                                               F.col("status_name").alias("_fresh_name")),
-                               known_small=batch_small)
-    res = acc.join(fresh, (F.col("_nid") <= 0) & F.col("_table_sid").isNull()
-                   & (ci(F.col("_nname")) == F.col("_fk")), "left")
-    res = res.select(
-        "seq", "ts", "_cid", "_rem", "updated_by", "_claim_status",
-        F.when(F.col("_nid") > 0, F.col("_id_name")).when(F.col("_table_sid").isNotNull(), F.col("_table_name"))
-        .otherwise(F.col("_fresh_name")).alias("new_status"),
-        F.when(F.col("_nid") > 0, F.col("_nid")).when(F.col("_table_sid").isNotNull(), F.col("_table_sid"))
-        .otherwise(F.col("_fresh_sid")).alias("new_status_id"))
-
-    # Old status = the previous accepted update's new status (exact positions, no per-claim window)
-    pos = number_rows(res, ["ts", "seq"], ["_cid"], out="_pos")
-    prev = pos.select(F.col("_cid").alias("_pc"), (F.col("_pos") + 1).alias("_pp"),
-                      F.col("new_status").alias("_prev_status"))
-    rep = pos.join(prev, (F.col("_cid") == F.col("_pc")) & (F.col("_pos") == F.col("_pp")), "left")
-    rep = rep.withColumn("old_status", F.when(F.col("_pos") == 1, F.col("_claim_status"))
-                         .otherwise(F.col("_prev_status")))
-    replay = rep.select("seq", F.col("_cid").alias("claim_id"), "old_status", "new_status")
-
-    # Log rows; old status id looked up in the new table (a NULL name maps to the row made for it)
-    old_known = by_name.select(F.col("_tk").alias("_ok"), F.col("_table_sid").alias("_old_table_sid"))
-    old_fresh = fresh.select(F.col("_fk").alias("_of"), F.col("_fresh_sid").alias("_old_fresh_sid"))
-    hist = (rep.join(old_known, ci(F.col("old_status")) == F.col("_ok"), "left")
-            .join(old_fresh, ci(F.col("old_status")).eqNullSafe(F.col("_of")), "left"))
-    hist = hist.withColumn("old_status_id", F.coalesce("_old_table_sid", "_old_fresh_sid"))
-    base_log = history.agg(F.max("log_id")).first()[0] or 0
-    logged = number_rows(hist.select("ts", "seq", "_rem", "_cid", "updated_by", "old_status_id", "new_status_id"),
-                         ["ts", "seq"], out="_ln")
-    new_history = logged.select(
-        (F.lit(base_log) + F.col("_ln")).cast("long").alias("log_id"), F.col("_rem").alias("remarks"),
-        F.col("ts").cast("timestamp_ntz").alias("updated_at"), F.col("_cid").alias("claim_requests_id"),
-        "updated_by", F.col("old_status_id").cast("int").alias("old_status_id"),
-        F.col("new_status_id").cast("int").alias("new_status_id"))
-
-    new_claims = _apply_last(claims, res, {"status": "new_status"}, batch_small)
-    changes = (res.groupBy(F.col("_cid").alias("claim_id"))
-               .agg(F.max_by(F.struct(F.col("new_status").alias("status"),
-                                      F.col("ts").cast("timestamp_ntz").alias("updated_at")),
-                             F.struct("ts", "seq")).alias("_c"))
-               .select("claim_id", "_c.status", "_c.updated_at"))
-    return StatusBatch(outcomes, new_claims, new_statuses, all_statuses, replay, new_history, changes)
+
+    @property
+    def new_statuses(self) -> DataFrame:
+        """Rows added to the status table."""
+        return self._new_rows.select("s_id", "status_name", "status_order")
+
+    @property
+    def statuses(self) -> DataFrame:
+        """The whole new status table."""
+        return self._statuses_in.select("s_id", "status_name", "status_order").unionByName(self.new_statuses)
+
+    @cached_property
+    def _fresh(self) -> DataFrame:
+        return broadcast_if_small(
+            self._new_rows.select(F.col("_nk").alias("_fk"), F.col("s_id").alias("_fresh_sid"),
+                                  F.col("status_name").alias("_fresh_name")),
+            known_small=self._small)
+
+    @cached_property
+    def _resolved(self) -> DataFrame:
+        """Each accepted update with its new status name (stored spelling) and id."""
+        res = self._accepted.join(self._fresh, (F.col("_nid") <= 0) & F.col("_table_sid").isNull()
+                                  & (ci(F.col("_nname")) == F.col("_fk")), "left")
+        return res.select(
+            "seq", "ts", "_cid", "_rem", "updated_by", "_claim_status",
+            F.when(F.col("_nid") > 0, F.col("_id_name")).when(F.col("_table_sid").isNotNull(), F.col("_table_name"))
+            .otherwise(F.col("_fresh_name")).alias("new_status"),
+            F.when(F.col("_nid") > 0, F.col("_nid")).when(F.col("_table_sid").isNotNull(), F.col("_table_sid"))
+            .otherwise(F.col("_fresh_sid")).alias("new_status_id"))
+
+    @cached_property
+    def _replayed(self) -> DataFrame:
+        """Old status = the previous accepted update's new status (exact positions, no per-claim window)."""
+        pos = number_rows(self._resolved, ["ts", "seq"], ["_cid"], out="_pos")
+        prev = pos.select(F.col("_cid").alias("_pc"), (F.col("_pos") + 1).alias("_pp"),
+                          F.col("new_status").alias("_prev_status"))
+        rep = pos.join(prev, (F.col("_cid") == F.col("_pc")) & (F.col("_pos") == F.col("_pp")), "left")
+        return rep.withColumn("old_status", F.when(F.col("_pos") == 1, F.col("_claim_status"))
+                              .otherwise(F.col("_prev_status")))
+
+    @property
+    def replay(self) -> DataFrame:
+        """Seq, claim_id, old_status, new_status."""
+        return self._replayed.select("seq", F.col("_cid").alias("claim_id"), "old_status", "new_status")
+
+    @cached_property
+    def history(self) -> DataFrame:
+        """New log rows; old status id looked up in the new table (a NULL name maps to the row made for it)."""
+        old_known = self._by_name.select(F.col("_tk").alias("_ok"), F.col("_table_sid").alias("_old_table_sid"))
+        old_fresh = self._fresh.select(F.col("_fk").alias("_of"), F.col("_fresh_sid").alias("_old_fresh_sid"))
+        hist = (self._replayed.join(old_known, ci(F.col("old_status")) == F.col("_ok"), "left")
+                .join(old_fresh, ci(F.col("old_status")).eqNullSafe(F.col("_of")), "left"))
+        hist = hist.withColumn("old_status_id", F.coalesce("_old_table_sid", "_old_fresh_sid"))
+        base_log = self._history_in.agg(F.max("log_id")).first()[0] or 0
+        logged = number_rows(hist.select("ts", "seq", "_rem", "_cid", "updated_by", "old_status_id",
+                                         "new_status_id"), ["ts", "seq"], out="_ln")
+        return logged.select(
+            (F.lit(base_log) + F.col("_ln")).cast("long").alias("log_id"), F.col("_rem").alias("remarks"),
+            F.col("ts").cast("timestamp_ntz").alias("updated_at"), F.col("_cid").alias("claim_requests_id"),
+            "updated_by", F.col("old_status_id").cast("int").alias("old_status_id"),
+            F.col("new_status_id").cast("int").alias("new_status_id"))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        """The new claims table: last accepted status per claim, stamped with its event time."""
+        return _apply_last(self._claims_in, self._resolved, {"status": "new_status"}, self._small)
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """claim_id, status, updated_at of the claims this batch changed."""
+        return (self._resolved.groupBy(F.col("_cid").alias("claim_id"))
+                .agg(F.max_by(F.struct(F.col("new_status").alias("status"),
+                                       F.col("ts").cast("timestamp_ntz").alias("updated_at")),
+                              F.struct("ts", "seq")).alias("_c"))
+                .select("claim_id", "_c.status", "_c.updated_at"))
+
+
+def apply_status_updates(updates: DataFrame, claims: DataFrame, statuses: DataFrame,
+                         history: DataFrame) -> StatusBatch:
+    """W7–W9 and G2 for one batch of status updates (see :class:`StatusBatch`)."""
+    return StatusBatch(updates, claims, statuses, history)
