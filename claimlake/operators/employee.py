@@ -97,7 +97,14 @@ def employee_claim_counts(requests: DataFrame, employees: DataFrame, claims: Dat
                          total.alias("total_claims"), pages.alias("total_pages"))
 
 
-def paged_per_key(requests: DataFrame, claims: DataFrame, batch_small: bool | None = None) -> DataFrame:
+def deepest_row(requests: DataFrame, page_col: str = "page", limit_col: str = "page_limit") -> int:
+    """Deepest row any request can ask for (clamped page × limit): the ranking bound."""
+    p, n = clamp_employee_paging(F.col(page_col), F.col(limit_col))
+    return requests.agg(F.max(p * n).alias("m")).first()["m"] or 0
+
+
+def paged_per_key(requests: DataFrame, claims: DataFrame, batch_small: bool | None = None,
+                  deepest: int | None = None) -> DataFrame:
     """For each request (``cn``, ``page``, ``page_limit``) its page of claims, newest first.
 
     Claims are ranked per computer number by (created_at DESC, r_id DESC) and
@@ -108,9 +115,8 @@ def paged_per_key(requests: DataFrame, claims: DataFrame, batch_small: bool | No
     Beyond the planner's group-limit threshold the exact positions come from
     ``number_rows`` instead, which splits a large group across tasks.
     """
-    deepest = requests.agg(F.max(F.col("page") * F.col("page_limit")).alias("m")).first()["m"]
     if deepest is None:
-        deepest = 0
+        deepest = requests.agg(F.max(F.col("page") * F.col("page_limit")).alias("m")).first()["m"] or 0
     asked = requests.select(ci(F.col("cn")).alias("_asked"))
     mine = restrict_to_keys(claims.withColumn("_k", ci("emp_computer_number")), F.col("_k"), asked, "_asked",
                             keys_small=batch_small)
@@ -140,7 +146,7 @@ def paged_per_employee(requests: DataFrame, claims: DataFrame,
     p, n = clamp_employee_paging(F.col(page_col), F.col(limit_col))
     req = requests.select("request_id", text_or_empty("computer_number").alias("cn"),
                           p.alias("page"), n.alias("page_limit")).where(F.col("cn") != "")
-    return paged_per_key(req, claims, is_small(requests))
+    return paged_per_key(req, claims, is_small(requests), deepest_row(requests, page_col, limit_col))
 
 
 def employee_page(requests: DataFrame, employees: DataFrame, claims: DataFrame,
@@ -148,4 +154,5 @@ def employee_page(requests: DataFrame, employees: DataFrame, claims: DataFrame,
     """L4: G3 for the requests whose (computer number, NIC) verify."""
     batch_small = is_small(requests)
     req = _employee_requests(requests, employees, page_col, limit_col, batch_small).where(F.col("outcome") == "ok")
-    return paged_per_key(req, claims, batch_small)
+    # the bound comes from the raw requests (an upper bound; each request is cut to its page later)
+    return paged_per_key(req, claims, batch_small, deepest_row(requests, page_col, limit_col))

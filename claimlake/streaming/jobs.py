@@ -35,6 +35,12 @@ def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     return df.where(F.col("batch_id") < batch_id).drop("batch_id")
 
 
+def _id_floor(spark: SparkSession, df: DataFrame, col: str) -> DataFrame:
+    """One row holding the largest ``col`` of ``df``: all a batch needs of a log table to number new rows."""
+    top = df.agg(F.max(col)).first()[0]
+    return spark.createDataFrame([(top,)], f"{col} long")
+
+
 def _write(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
 
@@ -75,6 +81,7 @@ def stream_submissions(spark: SparkSession, source_dir: str, state_dir: str, che
     src = (spark.readStream.schema(SUBMISSION_SCHEMA)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
     out = {k: os.path.join(state_dir, k) for k in ("outcomes", "claims", "history")}
+    history = _id_floor(spark, history, "log_id")  # new log ids only need the largest one
 
     def process(batch: DataFrame, batch_id: int) -> None:
         cur_claims, cur_history = claims, history
@@ -83,7 +90,7 @@ def stream_submissions(spark: SparkSession, source_dir: str, state_dir: str, che
             cur_claims = claims.unionByName(prev)
         prev = _earlier(spark, out["history"], batch_id)
         if prev is not None:
-            cur_history = history.unionByName(prev)
+            cur_history = history.unionByName(prev.select("log_id"))
         ingested = ingest_submissions(batch, cur_claims, employees).checkpoint(eager=True)
         _write(ingested.select("seq", "outcome", "claim_id"), out["outcomes"], batch_id)
         _write(new_claims(ingested), out["claims"], batch_id)
@@ -104,6 +111,7 @@ def stream_status_updates(spark: SparkSession, source_dir: str, state_dir: str,
     src = (spark.readStream.schema(STATUS_UPDATE_SCHEMA)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
     out = {k: os.path.join(state_dir, k) for k in ("outcomes", "changes", "statuses", "history")}
+    history = _id_floor(spark, history, "log_id")  # new log ids only need the largest one
 
     def process(batch: DataFrame, batch_id: int) -> None:
         cur_claims, cur_statuses, cur_history = claims, statuses, history
@@ -122,7 +130,7 @@ def stream_status_updates(spark: SparkSession, source_dir: str, state_dir: str,
             cur_statuses = statuses.unionByName(prev)
         prev = _earlier(spark, out["history"], batch_id)
         if prev is not None:
-            cur_history = history.unionByName(prev)
+            cur_history = history.unionByName(prev.select("log_id"))
         res = apply_status_updates(batch, cur_claims, cur_statuses, cur_history)
         _write(res.outcomes, out["outcomes"], batch_id)
         _write(res.changes.withColumn("change_seq", F.lit(batch_id).cast("long")), out["changes"], batch_id)
