@@ -73,12 +73,19 @@ def php_int(value, default: int = 0) -> int:
     return int(m.group(1)) if m else 0
 
 
+# Inputs up to this many rows are numbered by a plain window (one task sorts at
+# most this many rows); larger ones take the distributed path below.
+SMALL_NUMBERING_ROWS = 100_000
+
+
 def number_rows(df: DataFrame, order_by: list[str], group_by: list[str] | None = None,
-                out: str = "row_no", num_partitions: int | None = None) -> DataFrame:
+                out: str = "row_no", num_partitions: int | None = None,
+                small_rows: int = SMALL_NUMBERING_ROWS) -> DataFrame:
     """Exact 1-based ``row_number()`` in ``order_by`` order within ``group_by``.
 
     ``order_by`` (ascending, NULLs first) must be unique within a group, so
-    that positions are repeatable.  Unlike a
+    that positions are repeatable.  An input proven to hold at most
+    ``small_rows`` rows is numbered by a plain ``row_number()`` window instead.  Unlike a
     window, no task ever holds a whole group: rows are range-partitioned on
     (group, order) so a large group spans many partitions, each row takes its
     position inside its partition after a local sort, and one count per
@@ -88,6 +95,10 @@ def number_rows(df: DataFrame, order_by: list[str], group_by: list[str] | None =
     group_by = list(group_by or [])
     keys = group_by + list(order_by)
     spark = df.sparkSession
+    if small_rows > 0 and is_small(df, small_rows):
+        # proven small: no group (and no task) can hold more than small_rows rows
+        w = Window.partitionBy(*group_by).orderBy(*order_by) if group_by else Window.orderBy(*order_by)
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     checkpoint_dir(spark)
     # Materialized once (reliable checkpoint in the shared folder): the piece

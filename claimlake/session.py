@@ -31,6 +31,8 @@ def build_session(master: str = "local[8]", app: str = "claimlake",
     """Local session for tests and the bench; clusters pass their own builder."""
     builder = (SparkSession.builder.master(master).appName(app)
                .config("spark.ui.enabled", "false")
+               # checkpoint files of numbering steps are removed once their data is unreferenced
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.driver.memory", "16g")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for key, value in {**SESSION_DEFAULTS, **(extra or {})}.items():
