@@ -50,3 +50,11 @@ def test_per_employee_pages_limit_before_shuffle(spark):
 def test_dimensions_are_broadcast(spark):
     text = plan_text(QUERIES["enrich_claims"](spark, SF_SMALL))
     assert text.count("BroadcastHashJoin") >= 2
+
+
+@pytest.mark.parametrize("name", ["document_update_outcomes", "reference_exists", "claim_detail",
+                                  "employee_claim_counts"])
+def test_batches_cut_claims_down_before_shuffling(spark, name):
+    # a request batch's keys are broadcast into a semi join on the claims scan
+    text = plan_text(QUERIES[name](spark, SF_SMALL))
+    assert "BroadcastHashJoin LeftSemi" in text, name
