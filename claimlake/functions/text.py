@@ -49,18 +49,12 @@ def blank_to_null(c: Column | str) -> Column:
     return F.when(t == "", F.lit(None).cast("string")).otherwise(t)
 
 
-def is_blank(c: Column | str) -> Column:
-    return text_or_empty(c) == ""
-
 
 def is_numeric_text(c: Column | str) -> Column:
     """Server-side numeric test: surrounding whitespace allowed, no NaN/Inf/hex."""
     return F.coalesce(php_trim(col(c)).rlike(NUMERIC_PATTERN), F.lit(False))
 
 
-def numeric_value(c: Column | str) -> Column:
-    return F.when(is_numeric_text(c), php_trim(col(c)).cast("double"))
-
 
 def strict_date(c: Column | str) -> Column:
     """A ``YYYY-MM-DD`` text that names a real day, as DATE; otherwise NULL."""
@@ -68,13 +62,6 @@ def strict_date(c: Column | str) -> Column:
     return F.when(t.rlike(DATE_SHAPE), F.try_to_date(t, "yyyy-MM-dd"))
 
 
-def date_or_null(c: Column | str) -> Column:
-    """Lenient date-time text (date part only) as DATE; NULL when unparseable."""
-    return F.to_date(F.try_to_timestamp(col(c)))
-
-
-def timestamp_or_null(c: Column | str) -> Column:
-    return F.try_to_timestamp(col(c)).cast("timestamp_ntz")
 
 
 def truthy_flag(value) -> bool:
@@ -99,7 +86,3 @@ def like_contains_pattern(term: str) -> str:
 def money(c: Column | str) -> Column:
     """Money value rounded to cents; sums of it do not depend on row order."""
     return col(c).cast("decimal(18,2)")
-
-
-def money_sum(c: Column | str) -> Column:
-    return F.coalesce(F.sum(money(c)), F.lit(0).cast("decimal(18,2)")).cast("double")

@@ -91,8 +91,6 @@ EMPLOYEE_CLAIM_COLUMNS = [
     "doctor_approved_date", "approved_amount", "payment_approved_date", "paid_date",
     "created_at", "updated_at",
 ]
-AUTHORIZED_EMPLOYEE_COLUMNS = ["employee_id", "employee_computer_number", "employee_nic",
-                               "full_name", "division"]
 
 
 def verified_requests(requests: DataFrame, employees: DataFrame, divisions: DataFrame | None = None,

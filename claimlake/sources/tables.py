@@ -44,8 +44,6 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 CLAIM_COLUMNS = [f.name for f in SCHEMAS["claims"].fields]
-HISTORY_COLUMNS = [f.name for f in SCHEMAS["history"].fields]
-STATUS_COLUMNS = [f.name for f in SCHEMAS["statuses"].fields]
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
