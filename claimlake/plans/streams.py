@@ -15,6 +15,7 @@ from ..operators import updates as W
 from ..session import scratch_path
 from ..sources import requests as R
 from ..sources import sinks as K
+from ..sources.tables import SCHEMAS
 from ..streaming import jobs as T
 from .dashboard import STATUS_COUNTS_SQL
 from .registry import query
@@ -64,6 +65,20 @@ def _publish_claims(t):
     return K.read_published(t.spark, root, "claims")
 
 
+@query("publish_claim_partitions", "S3", DOCUMENT_C + _state_sql(
+    {"is_document_received": "received", "document_received_date": "dt", "invoice_number": "invoice"}),
+    ("document_updates", "claims"))
+def _publish_claim_partitions(t):
+    """Claims stored by OPD year; W4's batch rewrites only the years it touched; read back."""
+    path = _scratch(t, "claims-by-year")
+    K.write_claims(t["claims"], path)
+    stored = K.read_claims(t.spark, path, SCHEMAS["claims"])
+    batch = W.apply_document_updates(t["document_updates"], stored)
+    changed = batch.outcomes.where("outcome = 'accepted'")
+    K.rewrite_changed_partitions(batch.claims, changed, path)
+    return K.read_claims(t.spark, path, SCHEMAS["claims"])
+
+
 @query("export_json", "S4", STATUS_COUNTS_SQL, ("statuses", "claims"))
 def _export_json(t):
     """A2 written as JSON lines and read back with its schema."""

@@ -51,6 +51,7 @@ def write_feed(df: DataFrame, folder: str, order_col: str, chunks: int) -> None:
     A file source hands files to micro-batches by modification time, so each
     range is written (as one file) only after the previous one.
     """
+    df = df.checkpoint(eager=True)  # evaluated once, then cut into ranges
     bounds = df.agg(F.min(order_col), F.max(order_col)).first()
     lo, hi = bounds[0], bounds[1]
     if lo is None:

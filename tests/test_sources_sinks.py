@@ -69,3 +69,32 @@ def test_export_json_keeps_nulls_and_unicode(spark):
     assert json.loads(lines[0]) == {"id": 1, "label": "—", "note": None}
     assert "—" in lines[0]
     assert K.as_json_lines(df).first().json == '{"id":1,"label":"—","note":null}'
+
+
+def test_update_batch_rewrites_only_touched_years(spark):
+    import datetime as dt
+
+    from claimlake.operators import updates as UP
+
+    path = os.path.join(tempfile.mkdtemp(prefix="claimlake-years-"), "claims")
+    claims = table(spark, "claims", [claim(1, opd_date=dt.date(2022, 5, 1)),
+                                     claim(2, opd_date=dt.date(2023, 5, 1)),
+                                     claim(3, opd_date=None)])
+    K.write_claims(claims, path)
+
+    def files(year):
+        folder = os.path.join(path, f"opd_year={year}")
+        return sorted(f for f in os.listdir(folder) if f.endswith(".parquet"))
+
+    before_2022, before_null = files(2022), files("__HIVE_DEFAULT_PARTITION__")
+    stored = K.read_claims(spark, path, SCHEMAS["claims"])
+    ups = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), 2, "1", "", "INV-9")],
+                                "seq long, ts timestamp_ntz, claim_id int, is_document_received string, "
+                                "document_received_date string, invoice_number string")
+    batch = UP.apply_document_updates(ups, stored)
+    touched = K.rewrite_changed_partitions(batch.claims, batch.outcomes.where("outcome = 'accepted'"), path)
+    assert touched == [2023]
+    assert files(2022) == before_2022 and files("__HIVE_DEFAULT_PARTITION__") == before_null
+    got = {r.r_id: (r.is_document_received, r.invoice_number)
+           for r in K.read_claims(spark, path, SCHEMAS["claims"]).collect()}
+    assert got == {1: (0, None), 2: (1, "INV-9"), 3: (0, None)}
