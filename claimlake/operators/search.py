@@ -130,9 +130,30 @@ def search_predicate(filters: SearchFilters) -> Column | None:
     return pred
 
 
+def year_partition_predicate(date_from: str = "", date_to: str = "",
+                             partition_col: str = "opd_year") -> Column | None:
+    """F5 restated on the OPD-year partition column, so a year-partitioned table skips folders."""
+    pred = None
+    lo, hi = _date_bound(date_from), _date_bound(date_to)
+    if lo is not None:
+        pred = F.col(partition_col) >= F.lit(lo.year)
+    if hi is not None:
+        p = F.col(partition_col) <= F.lit(hi.year)
+        pred = p if pred is None else (pred & p)
+    return pred
+
+
 def search_claims(enriched: DataFrame, filters: SearchFilters) -> DataFrame:
-    """F1–F6 joined by AND over the enriched claims."""
+    """F1–F6 joined by AND over the enriched claims.
+
+    When the claims carry their ``opd_year`` partition column, the date range is
+    also stated on it (implied by F5, so results do not change) for partition pruning.
+    """
     pred = search_predicate(filters)
+    if pred is not None and "opd_year" in enriched.columns:
+        years = year_partition_predicate(filters.date_from, filters.date_to)
+        if years is not None:
+            pred = pred & years
     return enriched if pred is None else enriched.where(pred)
 
 

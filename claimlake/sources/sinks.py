@@ -75,9 +75,16 @@ def write_claims(claims: DataFrame, path: str) -> None:
     with_claim_partition(claims).write.mode("overwrite").partitionBy(CLAIM_PARTITION).parquet(path)
 
 
-def read_claims(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Claims written by :func:`write_claims`, with the declared columns only."""
-    return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+def read_claims(spark: SparkSession, path: str, schema, keep_partition: bool = False) -> DataFrame:
+    """Claims written by :func:`write_claims`, with the declared columns.
+
+    With ``keep_partition`` the ``opd_year`` column stays, so OPD-date filters
+    (F5) can also prune whole year folders.
+    """
+    cols = [F.col(f.name).cast(f.dataType) for f in schema.fields]
+    if keep_partition:
+        cols.append(F.col(CLAIM_PARTITION))
+    return spark.read.parquet(path).select(*cols)
 
 
 def rewrite_changed_partitions(new_claims: DataFrame, changed_ids: DataFrame, path: str,

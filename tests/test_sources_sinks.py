@@ -98,3 +98,28 @@ def test_update_batch_rewrites_only_touched_years(spark):
     got = {r.r_id: (r.is_document_received, r.invoice_number)
            for r in K.read_claims(spark, path, SCHEMAS["claims"]).collect()}
     assert got == {1: (0, None), 2: (1, "INV-9"), 3: (0, None)}
+
+
+def test_date_range_prunes_year_folders(spark):
+    import contextlib
+    import datetime as dt
+    import io
+
+    from claimlake.operators import enrich as E
+    from claimlake.operators import search as S
+
+    path = os.path.join(tempfile.mkdtemp(prefix="claimlake-prune-"), "claims")
+    K.write_claims(table(spark, "claims", [claim(1, opd_date=dt.date(2022, 5, 1)),
+                                           claim(2, opd_date=dt.date(2023, 5, 1)),
+                                           claim(3, opd_date=dt.date(2024, 5, 1))]), path)
+    stored = K.read_claims(spark, path, SCHEMAS["claims"], keep_partition=True)
+    divisions = table(spark, "divisions", [{"div_code": 1, "division_name": "Ops"}])
+    statuses = table(spark, "statuses", STATUSES)
+    emps = spark.createDataFrame([], SCHEMAS["employees"])
+    enriched = E.enrich_claims(stored, emps, divisions, statuses)
+    found = S.search_claims(enriched, S.SearchFilters(date_from="2023-01-01", date_to="2023-12-31"))
+    assert [r.r_id for r in found.select("r_id").collect()] == [2]
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        found.explain("formatted")
+    assert "PartitionFilters: [isnotnull(opd_year" in buf.getvalue()
