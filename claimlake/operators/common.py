@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ci
 from ..session import checkpoint_dir
 
 # Largest dimension that is broadcast on purpose (rows).  Above it the join is
