@@ -10,6 +10,7 @@ replayed batch see exactly what it saw the first time.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -100,43 +101,71 @@ def stream_submissions(spark: SparkSession, source_dir: str, state_dir: str, che
     return _run(src, process, checkpoint)
 
 
+def _previous_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The state snapshot written by the latest micro-batch before ``batch_id``.
+
+    Only that one folder is read, so the cost does not grow with the number of
+    micro-batches; a replayed batch finds the same snapshot as the first time.
+    """
+    try:
+        files = spark.read.parquet(path).inputFiles()
+    except AnalysisException:  # nothing written yet
+        return None
+    ids = {int(m.group(1)) for f in files for m in [re.search(r"batch_id=(\d+)", f)] if m}
+    earlier = [i for i in ids if i < batch_id]
+    if not earlier:
+        return None
+    return spark.read.parquet(os.path.join(path, f"batch_id={max(earlier)}"))
+
+
 def stream_status_updates(spark: SparkSession, source_dir: str, state_dir: str, checkpoint: str,
                           claims: DataFrame, statuses: DataFrame, history: DataFrame,
                           max_files_per_trigger: int = 1) -> StreamingQuery:
     """JSON status updates → W7–W9 per micro-batch.
 
-    State carried between micro-batches: each changed claim's latest status,
-    the statuses added so far and the log rows written so far.  A status id
-    created by one micro-batch is valid input for the next ones.
+    State carried between micro-batches, as one cumulative snapshot per batch
+    (batch ``n`` reads snapshot ``n-1`` and writes snapshot ``n``): the latest
+    status of every claim changed so far, the statuses added so far and the
+    largest log id.  A status id created by one micro-batch is valid input for
+    the next ones.  Outputs: ``outcomes`` and ``history`` (new log rows) per batch.
     """
     src = (spark.readStream.schema(STATUS_UPDATE_SCHEMA)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
-    out = {k: os.path.join(state_dir, k) for k in ("outcomes", "changes", "statuses", "history")}
-    history = _id_floor(spark, history, "log_id")  # new log ids only need the largest one
+    out = {k: os.path.join(state_dir, k)
+           for k in ("outcomes", "history", "claim_state", "status_state", "log_floor")}
+    base_floor = _id_floor(spark, history, "log_id")  # new log ids only need the largest one
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        cur_claims, cur_statuses, cur_history = claims, statuses, history
-        changes = _earlier(spark, out["changes"], batch_id)
-        if changes is not None:
-            latest = (changes.groupBy(F.col("claim_id").alias("_cc"))
-                      .agg(F.max_by(F.struct("status", "updated_at"), F.col("change_seq"))
-                           .alias("_l")))
-            joined = claims.join(latest, claims["r_id"] == latest["_cc"], "left")
+        cur_claims, cur_statuses, cur_floor = claims, statuses, base_floor
+        state = _previous_snapshot(spark, out["claim_state"], batch_id)
+        if state is not None:
+            joined = claims.join(state.withColumnRenamed("claim_id", "_cc"), claims["r_id"] == F.col("_cc"), "left")
             hit = F.col("_cc").isNotNull()
             cur_claims = joined.select(*[
-                F.when(hit, F.col("_l")[c]).otherwise(F.col(c)).alias(c) if c in ("status", "updated_at")
+                F.when(hit, F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) if c in ("status", "updated_at")
                 else F.col(c) for c in claims.columns])
-        prev = _earlier(spark, out["statuses"], batch_id)
-        if prev is not None:
-            cur_statuses = statuses.unionByName(prev)
-        prev = _earlier(spark, out["history"], batch_id)
-        if prev is not None:
-            cur_history = history.unionByName(prev.select("log_id"))
-        res = apply_status_updates(batch, cur_claims, cur_statuses, cur_history)
+        added = _previous_snapshot(spark, out["status_state"], batch_id)
+        if added is not None:
+            cur_statuses = statuses.unionByName(added)
+        floor = _previous_snapshot(spark, out["log_floor"], batch_id)
+        if floor is not None:
+            cur_floor = floor
+        res = apply_status_updates(batch, cur_claims, cur_statuses, cur_floor)
         _write(res.outcomes, out["outcomes"], batch_id)
-        _write(res.changes.withColumn("change_seq", F.lit(batch_id).cast("long")), out["changes"], batch_id)
-        _write(res.new_statuses, out["statuses"], batch_id)
         _write(res.history, out["history"], batch_id)
+        # next snapshots: this batch's changes win over the previous state
+        changes = res.changes.select("claim_id", F.col("status").alias("_s_status"),
+                                     F.col("updated_at").alias("_s_updated_at"), F.lit(1).alias("_rank"))
+        if state is not None:
+            changes = changes.unionByName(state.withColumn("_rank", F.lit(0)))
+        snapshot = (changes.groupBy("claim_id")
+                    .agg(F.max_by(F.struct("_s_status", "_s_updated_at"), F.col("_rank")).alias("_v"))
+                    .select("claim_id", "_v._s_status", "_v._s_updated_at"))
+        _write(snapshot, out["claim_state"], batch_id)
+        new_statuses = res.new_statuses if added is None else added.unionByName(res.new_statuses)
+        _write(new_statuses, out["status_state"], batch_id)
+        _write(cur_floor.unionByName(res.history.select("log_id")).agg(F.max("log_id").alias("log_id")),
+               out["log_floor"], batch_id)
 
     return _run(src, process, checkpoint)
 

@@ -47,3 +47,16 @@ def test_stream_status_updates_equal_batch_on_known_ids(spark, tables_small):
     known = t["status_updates"].where(F.col("new_status_id") <= 8).select("seq")
     assert _rows(got.join(known, "seq"), ["seq", "outcome"]) == _rows(batch.join(known, "seq"), ["seq", "outcome"])
     assert got.count() == t["status_updates"].count()
+    # log ids continue the table's without gaps or repeats
+    hist = T.read_state(spark, state, "history")
+    base = t["history"].agg(F.max("log_id")).first()[0]
+    ids = sorted(r.log_id for r in hist.select("log_id").collect())
+    assert ids == list(range(base + 1, base + 1 + len(ids)))
+    # the last snapshot holds, per changed claim, the status of its newest log row
+    last = max(r.batch_id for r in T.read_state(spark, state, "claim_state").select("batch_id").distinct().collect())
+    snap = {r.claim_id: r._s_status for r in
+            spark.read.parquet(os.path.join(state, "claim_state", f"batch_id={last}")).collect()}
+    names = t["statuses"].unionByName(T.read_state(spark, state, "status_state").drop("batch_id"))
+    newest = (hist.groupBy("claim_requests_id").agg(F.max_by("new_status_id", "log_id").alias("sid"))
+              .join(names, F.col("sid") == F.col("s_id")).select("claim_requests_id", "status_name").collect())
+    assert snap == {r.claim_requests_id: r.status_name for r in newest}
