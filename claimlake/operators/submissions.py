@@ -124,8 +124,7 @@ def ingest_submissions(submissions: DataFrame, claims: DataFrame, employees: Dat
     (numbered without a global sort on one task, see ``number_rows``).
     """
     batch_small = is_small(submissions)  # bounds every key set derived from the batch
-    # validated once and shared by the duplicate check, the numbering and the result
-    checked = validate_submissions(submissions, employees, client_rules, ts_col, batch_small).checkpoint(eager=True)
+    checked = validate_submissions(submissions, employees, client_rules, ts_col, batch_small)
     valid = checked.where(F.col("outcome") == "ok")
     first = (valid.groupBy(ci("v_reference").alias("_fk"))
              .agg(F.min("seq").alias("_first_seq")))
@@ -135,7 +134,8 @@ def ingest_submissions(submissions: DataFrame, claims: DataFrame, employees: Dat
                .when(F.col("reference_exists") | (F.col("seq") != F.col("_first_seq")),
                      F.lit("duplicate_reference"))
                .otherwise(F.lit("accepted")))
-    out = out.withColumn("outcome", outcome).drop("_first_seq", "reference_exists")
+    # decided once (the duplicate check scans the claims table) and shared by the numbering and the result
+    out = out.withColumn("outcome", outcome).drop("_first_seq", "reference_exists").checkpoint(eager=True)
     accepted = number_rows(out.where(F.col("outcome") == "accepted"), ["seq"], out="_n")
     base_id = claims.agg(F.max("r_id")).first()[0] or 0
     ids = accepted.select(F.col("seq").alias("_aseq"), (F.lit(base_id) + F.col("_n")).cast("int").alias("claim_id"),
