@@ -93,7 +93,7 @@ def stream_submissions(spark: SparkSession, source_dir: str, state_dir: str, che
         prev = _earlier(spark, out["history"], batch_id)
         if prev is not None:
             cur_history = history.unionByName(prev.select("log_id"))
-        ingested = ingest_submissions(batch, cur_claims, employees).checkpoint(eager=True)
+        ingested = ingest_submissions(batch, cur_claims, employees)  # outcomes checkpointed inside
         _write(ingested.select("seq", "outcome", "claim_id"), out["outcomes"], batch_id)
         _write(new_claims(ingested), out["claims"], batch_id)
         _write(submission_history(ingested, cur_history), out["history"], batch_id)
