@@ -75,12 +75,19 @@ def claim_history_admin(history: DataFrame, statuses: DataFrame, users: DataFram
             .orderBy("claim_id", "updated_at", "history_id"))
 
 
+EMPLOYEE_HISTORY_COLUMNS = ["log_id", "remarks", "updated_at", "claim_requests_id", "updated_by",
+                            "updated_by_name", "old_status_id", "old_status_name", "new_status_id",
+                            "new_status_name"]
+
+
+def _employee_history_rows(history: DataFrame, statuses: DataFrame, users: DataFrame) -> DataFrame:
+    rows = _history_names(history, statuses, users, [F.col("fullname").alias("updated_by_name")])
+    return rows.select(*EMPLOYEE_HISTORY_COLUMNS)
+
+
 def claim_history_employee(history: DataFrame, statuses: DataFrame, users: DataFrame) -> DataFrame:
     """J3 (employee form): ids, status names and the acting user's full name, oldest first."""
-    rows = _history_names(history, statuses, users, [F.col("fullname").alias("updated_by_name")])
-    return (rows.select("log_id", "remarks", "updated_at", "claim_requests_id", "updated_by",
-                        "updated_by_name", "old_status_id", "old_status_name", "new_status_id",
-                        "new_status_name")
+    return (_employee_history_rows(history, statuses, users)
             .orderBy("claim_requests_id", "updated_at", "log_id"))
 
 
@@ -159,10 +166,15 @@ def authorized_claim(requests: DataFrame, employees: DataFrame, divisions: DataF
 def authorized_history(requests: DataFrame, employees: DataFrame, divisions: DataFrame,
                        claims: DataFrame, history: DataFrame, statuses: DataFrame,
                        users: DataFrame) -> DataFrame:
-    """J5 + J3: the history rows each authorized request may see."""
+    """J5 + J3: the history rows each authorized request may see.
+
+    The history is first cut down to the authorized claims (a broadcast semi join
+    when the request batch is small), so the log table is scanned, not shuffled.
+    """
     ok = (authorized_claim(requests, employees, divisions, claims)
           .where(F.col("outcome") == "ok").select("request_id", F.col("claim_id").alias("_cid")))
-    hist = claim_history_employee(history, statuses, users)
+    mine = restrict_to_keys(history, F.col("claim_requests_id"), ok, "_cid", keys_small=is_small(requests))
+    hist = _employee_history_rows(mine, statuses, users)
     return (ok.join(hist, ok["_cid"] == hist["claim_requests_id"], "inner").drop("_cid")
             .orderBy("request_id", "updated_at", "log_id"))
 

@@ -14,7 +14,8 @@ QUERIES = entry.queries()
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin",
              "PythonUDF")
 # these run a job (stream / sink) when built; their result is a plain file scan
-SIDE_EFFECT = {"stream_submissions", "stream_status_updates", "publish_claims", "export_json"}
+SIDE_EFFECT = {"stream_submissions", "stream_status_updates", "publish_claims", "publish_claim_partitions",
+               "export_json"}
 
 
 def plan_text(df, mode: str = "formatted") -> str:
