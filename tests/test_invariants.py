@@ -101,3 +101,13 @@ def test_deep_pages_use_exact_fallback(spark, tables_small):
     finally:
         spark.conf.set(key, old)
     assert got == want and len(got) > 0
+
+
+def test_field_update_outcomes_partition_the_input(tables_small):
+    t = tables_small
+    for op, name in [(UP.apply_document_updates, "document_updates"), (UP.apply_medical_updates, "medical_updates"),
+                     (UP.apply_payment_updates, "payment_updates")]:
+        res = op(t[name], t["claims"])
+        n = t[name].count()
+        assert res.outcomes.count() == n == res.outcomes.select("seq").distinct().count(), name
+        assert res.claims.count() == t["claims"].count(), name  # updates never add or drop claims

@@ -59,3 +59,12 @@ def test_batches_cut_claims_down_before_shuffling(spark, name):
     # a request batch's keys are broadcast into a semi join on the claims scan
     text = plan_text(QUERIES[name](spark, SF_SMALL))
     assert "BroadcastHashJoin LeftSemi" in text, name
+
+
+@pytest.mark.parametrize("name,partial", [("latest_remark", "partial_max_by"),
+                                          ("apply_document_updates", "partial_max_by"),
+                                          ("employee_claim_counts", "partial_count")])
+def test_hot_keys_fold_on_the_map_side(spark, name, partial):
+    # per-claim / per-employee reductions are partial aggregates before the shuffle
+    text = plan_text(QUERIES[name](spark, SF_SMALL))
+    assert partial in text, name
