@@ -123,20 +123,3 @@ def test_date_range_prunes_year_folders(spark):
     with contextlib.redirect_stdout(buf):
         found.explain("formatted")
     assert "PartitionFilters: [isnotnull(opd_year" in buf.getvalue()
-
-
-def test_read_jdbc_in_process_database(spark):
-    # embedded in-memory Derby: lives inside this JVM only, no server and no port
-    from claimlake.sources.tables import read_jdbc
-
-    url = "jdbc:derby:memory:claimlake_test;create=true"
-    props = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    users = spark.createDataFrame([(i, f"User {i}", f"admin{i}", "secret", i % 2) for i in range(1, 41)],
-                                  "u_id int, fullname string, username string, paswd string, status int")
-    users.write.mode("overwrite").jdbc(url, "SYSTEM_USERS", properties=props)
-    got = read_jdbc(spark, url, "SYSTEM_USERS", "users", partition_column="u_id", lower_bound=1,
-                    upper_bound=40, num_partitions=4, properties=props)
-    assert got.columns == ["u_id", "fullname", "username", "status"]  # password never selected
-    assert got.rdd.getNumPartitions() == 4
-    assert sorted(tuple(r) for r in got.collect()) == sorted(
-        tuple(r) for r in users.select("u_id", "fullname", "username", "status").collect())
