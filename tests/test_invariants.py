@@ -111,3 +111,16 @@ def test_field_update_outcomes_partition_the_input(tables_small):
         n = t[name].count()
         assert res.outcomes.count() == n == res.outcomes.select("seq").distinct().count(), name
         assert res.claims.count() == t["claims"].count(), name  # updates never add or drop claims
+
+
+def test_assigned_references_are_unique_and_repeatable(tables_small):
+    t = tables_small
+    first = W.assign_references(t["submissions"], t["claims"])
+    assigned = first.where("assigned")
+    n = assigned.count()
+    assert n > 0
+    assert assigned.select(ci("reference")).distinct().count() == n
+    taken = t["claims"].select(ci("reference").alias("k"))
+    assert assigned.join(taken, ci(assigned["reference"]) == taken["k"], "left_semi").count() == 0
+    again = W.assign_references(t["submissions"], t["claims"])
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
