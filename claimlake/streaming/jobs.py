@@ -164,8 +164,10 @@ def stream_status_updates(spark: SparkSession, source_dir: str, state_dir: str,
         _write(snapshot, out["claim_state"], batch_id)
         new_statuses = res.new_statuses if added is None else added.unionByName(res.new_statuses)
         _write(new_statuses, out["status_state"], batch_id)
-        _write(cur_floor.unionByName(res.history.select("log_id")).agg(F.max("log_id").alias("log_id")),
-               out["log_floor"], batch_id)
+        # the floor comes from the log rows just written (a file scan, not a recomputation)
+        written = (spark.read.schema("log_id long")  # a batch with no accepted update may write no file
+                   .parquet(os.path.join(out["history"], f"batch_id={batch_id}")))
+        _write(cur_floor.unionByName(written).agg(F.max("log_id").alias("log_id")), out["log_floor"], batch_id)
 
     return _run(src, process, checkpoint)
 
