@@ -47,3 +47,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip_digests
 
     return round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op3_secrets")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: base spans and linked weak ones."""
+    from .secrets import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from the rows outside the held-out fold."""
+    from .language_id import held_out, predict, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = train(docs.filter(~held_out()))
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model, kept=("doc_id", "held_out"))
