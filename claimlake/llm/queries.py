@@ -65,3 +65,31 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out()))
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model, kept=("doc_id", "held_out"))
+
+
+@query("op2_warc", oracle="""
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, b32 AS payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id,
+                 (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST('0b' || substr(bits, 5 * g + 1, 5) AS INTEGER), 1), '' ORDER BY g)
+                  FROM (SELECT CAST(from_hex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR AS bits) d, range(32) t(g)) AS b32
+          FROM pages)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC transactions, read the archives back and assemble them."""
+    from .warc import assemble, capture_digests, read_warc, write_warc
+
+    manifest = write_warc(read_table(spark, sf_dir, "pages"))
+    return capture_digests(assemble(read_warc(manifest, payload=False)))
+
+
+# fixed values: the rules of the URL query
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+@query("op8_url_filter")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page: the longest rule's, else the word model's."""
+    from .url_filter import judge
+
+    return judge(read_table(spark, sf_dir, "pages"), URL_RULES)
