@@ -93,3 +93,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
     return judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op6_permutation_index")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for every vec_id divisible by 100."""
+    from .permutation_index import search
+
+    return search(read_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified pairs of training documents and benchmark items."""
+    from .decontamination import matches
+
+    return matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
