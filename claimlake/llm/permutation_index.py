@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 PIVOTS = 128
-NEAREST = 16
-CANDIDATE_SHARE = 0.15
+NEAREST = 48
+CANDIDATE_SHARE = 0.2
 LEAST_CANDIDATES = 500
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
