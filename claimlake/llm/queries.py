@@ -109,3 +109,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import matches
 
     return matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by their word shingles."""
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
