@@ -117,3 +117,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that repeat 50-byte strings of documents with smaller ids."""
+    from .substring_dedup import removal_summary
+
+    return removal_summary(read_table(spark, sf_dir, "documents"))
