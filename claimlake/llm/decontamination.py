@@ -30,7 +30,6 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 THRESHOLD = 0.5
 OVERLAP = 0.5
@@ -249,5 +248,5 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFram
                 found = shared.value.match([t or "" for t in batch.column(position).to_pylist()])
                 yield batch.filter(pa.array([not m for m in found], pa.bool_()))
 
-        out = out.mapInArrow(run, T.StructType(docs.schema.fields))
+        out = out.mapInArrow(run, docs.schema)
     return out

@@ -148,6 +148,21 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", kept:
     return rows.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or ambiguous; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x BUCKETS numbers
+    position = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            langs, scores = shared.value.predict([t or "" for t in batch.column(position).to_pylist()])
+            yield batch.filter(pa.array([lang != UND and score >= AMBIGUOUS_BELOW for lang, score in zip(langs, scores.tolist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 0 (a null id is held out)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
