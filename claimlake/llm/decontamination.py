@@ -3,10 +3,13 @@
 Items become the documents of a BM25 index; every passage of every training
 text is a query.  An item's impacts are divided by the score it gives itself,
 so one threshold holds for all: retrieve every item of which a passage has at
-least ``THRESHOLD`` of the score.  Postings are in item order, cut into blocks
-with their largest impact; WAND moves a pivot over them and skips blocks whose
-bounds cannot reach the threshold.  Its first test, the sum of the passage's
-term maxima, is made for all passages of a batch at once.  Retrieved items are
+least ``THRESHOLD`` of the score.  Items are ordered by their own score, so that
+like ones are neighbours; postings are in item order, cut into blocks with
+their largest impact.  WAND moves a pivot over them and skips blocks whose
+bounds cannot reach the threshold.  The test against block maxima is first made
+for all passages of a batch at once: an item block's bound is the sum of the
+maxima of the passage's rare terms and the most that common terms (in more than
+``COMMON`` of the items) give any of its items.  Retrieved items are
 verified: their question (all sentences but the last) and answer (the last)
 must each overlap the passage's word trigrams by ``OVERLAP``.
 
@@ -26,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 OVERLAP = 0.5
 GRAM = 3
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
+COMMON = 0.05
 SHARD_ITEMS = 20_000
 K1, B = 1.2, 0.75
 
@@ -65,6 +70,8 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]):
         kept = [(i, t, words_of(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0], x[1]))]
         kept = [(i, t, w) for i, t, w in kept if w]
+        holders = Counter(t for _, _, w in kept for t in set(w))
+        kept.sort(key=lambda x: sum(self.idf(len(kept), holders[t]) for t in set(x[2])))
         self.ids = [i for i, _, _ in kept]
         parts = [question_and_answer(t) for _, t, _ in kept]
         self.questions = [grams(q) for q, _ in parts]
@@ -72,67 +79,84 @@ class ItemIndex:
         self.longest = max((len(w) for _, _, w in kept), default=1)
         n = len(kept)
         mean = sum(len(w) for _, _, w in kept) / max(n, 1)
-        holders = Counter(t for _, _, w in kept for t in set(w))
         postings: dict[bytes, list[tuple[int, float]]] = {}
         for item, (_, _, words) in enumerate(kept):
             norm = K1 * (1 - B + B * len(words) / mean)
-            impact = {t: math.log(1 + (n - holders[t] + 0.5) / (holders[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(words).items()}
+            impact = {t: self.idf(n, holders[t]) * f * (K1 + 1) / (f + norm) for t, f in Counter(words).items()}
             own = sum(impact.values())
             for term, value in impact.items():
                 postings.setdefault(term, []).append((item, value / own))
         self.terms = {t: k for k, t in enumerate(postings)}
-        self.lists = [(np.array([i for i, _ in p]), np.array([v for _, v in p])) for p in postings.values()]
-        self.maxima = np.array([v.max() for _, v in self.lists])
-        self.block_maxima = []  # of each term: block of items -> largest impact
-        for items_of, values in self.lists:
-            block = {}
-            for i, v in zip((items_of // BLOCK_ITEMS).tolist(), values.tolist()):
-                block[i] = max(block.get(i, 0.0), v)
-            self.block_maxima.append(block)
-
-    def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """(item, score) of all items that score ``threshold`` or more, by block-max WAND."""
-        cursors = [[int(self.lists[t][0][0]), 0, t] for t in terms]  # [item at the cursor, place, term]
+        self.postings = []  # of each term: block of items -> (largest impact, [(item, impact)])
+        for listed in postings.values():
+            cut: dict[int, list] = {}
+            for item, value in listed:
+                cut.setdefault(item // BLOCK_ITEMS, []).append((item, value))
+            self.postings.append({k: (max(v for _, v in p), p) for k, p in cut.items()})
+        # the block test for all passages of a batch: rare terms' (block, maximum) lists, end to end
+        self.blocks = -(-n // BLOCK_ITEMS)
+        common = np.array([len(p) > max(1, COMMON * n) for p in postings.values()], dtype=bool)
+        shared = np.zeros(n)
+        for k in np.flatnonzero(common).tolist():
+            for _, listed in self.postings[k].values():
+                for item, value in listed:
+                    shared[item] += value
+        self.common_share = np.maximum.reduceat(shared, np.arange(0, n, BLOCK_ITEMS)) if n else shared
+        rows = [[] if c else sorted((b, m) for b, (m, _) in p.items()) for p, c in zip(self.postings, common)]
+        self.rare_size = np.array([len(r) for r in rows], dtype=np.int64)
+        self.rare_start = np.cumsum(self.rare_size) - self.rare_size
+        self.rare_block = np.array([b for r in rows for b, _ in r], dtype=np.int64)
+        self.rare_value = np.array([v for r in rows for _, v in r])
+
+    @staticmethod
+    def idf(n: int, holders: int) -> float:
+        return math.log(1 + (n - holders + 0.5) / (holders + 0.5))
+
+    def block_test(self, cell: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
+        """Ascending (cell * blocks + block) that may reach ``threshold``, of distinct pairs (cell, term)."""
+        threshold *= 1 - 1e-9  # rounding must not lose an item
+        size = self.rare_size[term]
+        at = np.repeat(self.rare_start[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        keys, inverse = np.unique(np.repeat(cell, size) * self.blocks + self.rare_block[at], return_inverse=True)
+        bound = np.bincount(inverse, weights=self.rare_value[at], minlength=len(keys)) + self.common_share[keys % self.blocks]
+        alone = np.flatnonzero(self.common_share >= threshold)  # blocks that common terms alone may bring in
+        extra = (np.unique(cell)[:, None] * self.blocks + alone).ravel()
+        return np.unique(np.concatenate([keys[bound >= threshold], extra]))
+
+    def retrieve(self, terms: list[int], threshold: float, blocks: list[int]) -> list[tuple[int, float]]:
+        """(item, score) of the items of ``blocks``, ascending, that score ``threshold`` or more, by WAND.
+
+        Cursors stand on each term's postings in the block.  The pivot is the
+        first item at which the maxima of the lists up to it can reach the
+        threshold: items before it are passed over unscored.
+        """
         found = []
-
-        def seek(cursor: list, item: int) -> bool:
-            items = self.lists[cursor[2]][0]
-            cursor[1] += int(np.searchsorted(items[cursor[1]:], item))
-            if cursor[1] == len(items):
-                return False
-            cursor[0] = int(items[cursor[1]])
-            return True
-
-        while cursors:
-            cursors.sort()
-            bound, pivot = 0.0, None
-            for p, c in enumerate(cursors):
-                bound += self.maxima[c[2]]
-                if bound >= threshold:
-                    pivot = c[0]
+        for block in blocks:
+            lists = [self.postings[t].get(block) for t in terms]
+            # [item at the cursor, place, the block's maximum, postings]
+            cursors = [[p[1][0][0], 0, p[0], p[1]] for p in lists if p]
+            while cursors:
+                cursors.sort(key=lambda c: c[0])
+                bound, pivot = 0.0, None
+                for c in cursors:
+                    bound += c[2]
+                    if bound >= threshold:
+                        pivot = c[0]
+                        break
+                if pivot is None:
                     break
-            if pivot is None:
-                break
-            while p + 1 < len(cursors) and cursors[p + 1][0] == pivot:
-                p += 1
-            block = pivot // BLOCK_ITEMS
-            near = sum(self.block_maxima[c[2]].get(block, 0.0) for c in cursors[:p + 1])
-            if near >= threshold:
-                for c in cursors[:p + 1]:
-                    if c[0] < pivot and not seek(c, pivot):
-                        c[0] = -1
-                cursors = [c for c in cursors if c[0] >= 0]
-                at = [c for c in cursors if c[0] == pivot]
-                score = sum(float(self.lists[c[2]][1][c[1]]) for c in at)
+                score = 0.0
+                for c in cursors:
+                    postings = c[3]
+                    while c[1] < len(postings) and postings[c[1]][0] < pivot:
+                        c[1] += 1
+                    if c[1] < len(postings) and postings[c[1]][0] == pivot:
+                        score += postings[c[1]][1]
+                        c[1] += 1
+                    c[0] = postings[c[1]][0] if c[1] < len(postings) else -1
                 if score >= threshold:
                     found.append((pivot, score))
-                goal = pivot + 1
-            else:  # no item of this block, up to the next list's cursor, can reach the threshold
-                goal = (block + 1) * BLOCK_ITEMS
-                if p + 1 < len(cursors):
-                    goal = min(goal, cursors[p + 1][0])
-                goal = max(goal, pivot + 1)
-            cursors = [c for c in cursors if c[0] >= goal or seek(c, goal)]
+                cursors = [c for c in cursors if c[0] >= 0]
         return found
 
     def verify(self, words: list[bytes], item: int) -> tuple[float, float]:
@@ -151,7 +175,7 @@ class ItemIndex:
         for d, text in enumerate(texts):
             words = words_of(text)
             held.append(words)
-            ids = np.array([get(w, -1) for w in words], dtype=np.int64)
+            ids = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
             at = np.flatnonzero(ids >= 0)
             owner.append(np.full(len(at), d))
             place.append(at)
@@ -166,31 +190,28 @@ class ItemIndex:
         previous[same[1:][chained]] = place[same[:-1][chained]]
         last = np.array([max(0, -(-len(w) // stride) - 2) for w in held])
         first = np.cumsum(last + 1) - (last + 1)
-        bounds = np.zeros(int((last + 1).sum()))
         members = []
         for back in (0, 1):
             passage = place // stride - back
             fits = (passage >= 0) & (passage <= last[owner]) & (previous < passage * stride)
-            cell = first[owner[fits]] + passage[fits]
-            members.append((cell, term[fits]))
-            bounds += np.bincount(cell, weights=self.maxima[term[fits]], minlength=len(bounds))
-        # two more units of rounding than any sum of these terms can have
-        likely = np.flatnonzero(bounds >= threshold * (1 - 1e-9))
+            members.append((first[owner[fits]] + passage[fits], term[fits]))
+        cell, terms = np.concatenate([c for c, _ in members]), np.concatenate([t for _, t in members])
+        likely = self.block_test(cell, terms, threshold)
         if not len(likely):
             return out
-        cell, terms = np.concatenate([c for c, _ in members]), np.concatenate([t for _, t in members])
-        picked = np.isin(cell, likely)
+        passages, ask = np.unique(likely // self.blocks, return_index=True)
+        picked = np.isin(cell, passages)
         cell, terms = cell[picked], terms[picked]
         order = np.argsort(cell, kind="stable")
         cell, terms = cell[order], terms[order]
-        starts = np.searchsorted(cell, likely)
-        ends = np.searchsorted(cell, likely, side="right")
-        texts_of = np.searchsorted(first, likely, side="right") - 1
+        starts = np.searchsorted(cell, passages)
+        ends = np.searchsorted(cell, passages, side="right")
+        texts_of = np.searchsorted(first, passages, side="right") - 1
         best: dict[tuple, tuple] = {}
-        for c, a, b, d in zip(likely.tolist(), starts.tolist(), ends.tolist(), texts_of.tolist()):
+        for c, a, b, d, blocks in zip(passages.tolist(), starts.tolist(), ends.tolist(), texts_of.tolist(), np.split(likely % self.blocks, ask[1:])):
             s = c - int(first[d])
             passage = held[d][s * stride:(s + 2) * stride]
-            for item, score in self.retrieve(sorted(set(terms[a:b].tolist())), threshold):
+            for item, score in self.retrieve(terms[a:b].tolist(), threshold, blocks.tolist()):
                 q, w = self.verify(passage, item)
                 if q >= overlap and w >= overlap:
                     row = (min(q, w), score, -s, q, w)
