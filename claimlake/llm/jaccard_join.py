@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, text_or_empty
 from .components import components
-from .shingles import digest, shingle_sets
+from .shingles import digest, mix, shingle_sets
 
 PERCENT = 80            # link when 100 * intersection >= PERCENT * union
 HEAVY = 20              # a shingle in more windows than this comes last in the order
@@ -72,10 +72,10 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def flush():
             hashes = np.concatenate(held) if held else np.zeros(0, dtype=np.uint64)
-            part = (hashes >> np.uint64(48)).astype(np.int64)
+            part = cell_bucket(hashes, buckets)
             order = np.argsort(part, kind="stable")
             hashes, part = hashes[order], part[order]
-            keys, first = np.unique(part * buckets >> 16, return_index=True)
+            keys, first = np.unique(part, return_index=True)
             blobs = [x.tobytes() for x in np.split(hashes, first[1:])] if len(keys) else []
             n = len(keys)
             return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=names)
@@ -106,6 +106,11 @@ def bucket_count(docs: DataFrame) -> int:
     return min(1 << 16, max(shuffle_partitions(docs.sparkSession), docs.count() // DOCS_PER_BUCKET))
 
 
+def cell_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each shingle; mixed again, as a window holds the smallest hashes of its set."""
+    return ((mix(hashes) >> np.uint64(48)).astype(np.int64) * buckets) >> 16
+
+
 def by_key(batches, key: list[str], finish):
     """Feed the rows of equal ``key``, which come together, to ``finish`` as one list of dicts."""
     now, held = None, []
@@ -164,7 +169,7 @@ def window_entries(docs: DataFrame, heavy: np.ndarray, text_col: str) -> DataFra
 
         def flush():
             entries = np.concatenate(held) if held else np.zeros(0, dtype=ENTRY)
-            part = (entries["shingle"] >> np.uint64(48)).astype(np.int64) * buckets >> 16
+            part = cell_bucket(entries["shingle"], buckets)
             order = np.argsort(part, kind="stable")
             entries, part = entries[order], part[order]
             keys, first = np.unique(part, return_index=True)
@@ -303,27 +308,35 @@ class RegionJoin:
             return
         home = d.argmin(axis=0)
         nearest = d.min(axis=0)
+        cells = []
         for p in range(len(pivots)):
             own = home == p
-            if not own.any():
-                continue
-            reach = (d[p] <= nearest + 2 * RADIUS + self.EPS) & (d[p] <= nearest[own].max() + RADIUS + self.EPS)
-            inside = [m for m, r in zip(members, (own | reach).tolist()) if r]
-            if len(inside) < len(members):
-                self.join(inside)
-            else:  # the pivots don't divide it: every pair of a set that is at home here
-                self.exact([m for m, o in zip(members, own.tolist()) if o], inside, dict(zip(members, d[p].tolist())))
-
-    def exact(self, homes: list[int], others: list[int], d: dict[int, float]) -> None:
-        """Test pairs whose distances to a pivot differ by no more than the threshold."""
-        others = sorted(others, key=d.get)
-        values = np.array([d[o] for o in others])
-        for i in homes:
-            low = np.searchsorted(values, d[i] - RADIUS - self.EPS)
-            high = np.searchsorted(values, d[i] + RADIUS + self.EPS, side="right")
-            for j in others[low:high]:
-                if i != j:
-                    self.test(i, j)
+            if own.any():
+                reach = (d[p] <= nearest + 2 * RADIUS + self.EPS) & (d[p] <= nearest[own].max() + RADIUS + self.EPS)
+                cells.append((p, own, own | reach))
+        # a cut must leave less than half of the pairs, so the work at all depths stays below that of all pairs
+        if sum(int(inside.sum()) ** 2 for _, _, inside in cells) <= len(members) ** 2 / 2:
+            for _, _, inside in cells:
+                self.join([m for m, i in zip(members, inside.tolist()) if i])
+            return
+        everyone = np.array(members)
+        for p, own, inside in cells:  # the pivots hardly divide it: test the sets at home here
+            self.exact(everyone[own], everyone[inside], d[p][own], d[p][inside])
+
+    def exact(self, homes: np.ndarray, others: np.ndarray, home_d: np.ndarray, other_d: np.ndarray) -> None:
+        """Test pairs whose distances to a pivot differ by no more than the threshold, one set against all others at once."""
+        order = np.argsort(other_d, kind="stable")
+        others, other_d = others[order], other_d[order]
+        sizes = np.array([len(self.sets[o]) for o in others.tolist()])
+        for i, at in zip(homes.tolist(), home_d.tolist()):
+            low = np.searchsorted(other_d, at - RADIUS - self.EPS)
+            high = np.searchsorted(other_d, at + RADIUS + self.EPS, side="right")
+            n, m = len(self.sets[i]), sizes[low:high]
+            fits = others[low:high][100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)].tolist()
+            root = self.find(i)
+            left = [j for j in fits if self.find(j) != root]
+            if left:
+                self.around(i, left)
 
 
 def _edge_batch(pairs: list[tuple[bytes, bytes]], outside: list[tuple[bytes, bytes]]):
@@ -366,10 +379,8 @@ def _across(outside: DataFrame, members: DataFrame, sets: DataFrame) -> DataFram
             region = RegionJoin([np.frombuffer(r["shingles"], dtype=np.uint64) for r in rows])
             out = [i for i, r in enumerate(rows) if r["asks"]]
             rest = [i for i, r in enumerate(rows) if not r["asks"]]
-            for i in out:
-                for j in rest:
-                    if names[i] != names[j]:
-                        region.test(i, j)
+            both, flat = np.array(out + rest, dtype=np.int64), np.zeros(len(rows))
+            region.exact(both[:len(out)], both[len(out):], flat[:len(out)], flat[len(out):])
             return _edge_batch([(names[i], names[j]) for i, j in region.edges], [])
 
         yield from by_key(batches, ["pivot", "block", "own"], one)
