@@ -92,7 +92,8 @@ def doc_bucket(doc: np.ndarray, text: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def seed_bucket(seed: np.ndarray, buckets: int) -> np.ndarray:
-    return ((seed >> np.uint64(48)).astype(np.int64) * buckets) >> 16
+    """Mixed again, as anchors have the least hashes of their windows."""
+    return ((mix(seed) >> np.uint64(48)).astype(np.int64) * buckets) >> 16
 
 
 def bucket_count(docs: DataFrame) -> int:
