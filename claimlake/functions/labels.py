@@ -77,8 +77,9 @@ def claim_type_capitalized(claim_type) -> Column:
 
 def amount_lkr(amount) -> Column:
     """P10: ``LKR 1,234.50``; NULL reads as 0.00."""
-    cents = F.coalesce(col(amount), F.lit(0.0)).cast("decimal(18,2)")
-    return F.concat(F.lit(CURRENCY_PREFIX), F.format_number(cents, 2))
+    cents = F.coalesce(col(amount), F.lit(0.0)).try_cast("decimal(18,2)")
+    # beyond decimal(18,2) the number is shown in its own (double) precision
+    return F.concat(F.lit(CURRENCY_PREFIX), F.coalesce(F.format_number(cents, 2), F.format_number(col(amount), 2)))
 
 
 def display_date(opd_date, created_at) -> Column:

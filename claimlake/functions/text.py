@@ -79,10 +79,14 @@ def like_contains_pattern(term: str) -> str:
     A backslash escapes only ``%``, ``_`` and itself; before any other
     character it is dropped, as the source database does.
     """
-    fixed = re.sub(r"\\(?![%_\\])", "", term)
+    fixed = re.sub(r"\\(.?)", lambda m: m[0] if m[1] and m[1] in "%_\\" else m[1], term, flags=re.DOTALL)
     return f"%{fixed}%".lower()
 
 
 def money(c: Column | str) -> Column:
-    """Money value rounded to cents; sums of it do not depend on row order."""
-    return col(c).cast("decimal(18,2)")
+    """Money value rounded to cents; sums of it do not depend on row order.
+
+    An amount beyond ``decimal(18,2)`` has no such value: NULL, which sums pass
+    over while its row still counts.
+    """
+    return col(c).try_cast("decimal(18,2)")

@@ -60,6 +60,18 @@ def first_employee_per_key(employees: DataFrame, keys: dict[str, Column],
             .select(*keys, *[F.col("_emp")[c].alias(c) for c in columns]))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder; cuts its lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def leading_int(c: Column | str) -> Column:
+    """Integer reading of a request value: its leading integer part, else 0; 0 beyond the id type."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.regexp_extract(c.cast("string"), r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
+
+
 def php_int(value, default: int = 0) -> int:
     """Integer reading of a request value: the leading integer part, else 0."""
     if value is None:
@@ -99,15 +111,14 @@ def number_rows(df: DataFrame, order_by: list[str], group_by: list[str] | None =
         w = Window.partitionBy(*group_by).orderBy(*order_by) if group_by else Window.orderBy(*order_by)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checkpoint_dir(spark)
     # Materialized once (reliable checkpoint in the shared folder): the piece
     # counts and the rows must see the same partition of every row, and range
     # bounds drawn from a sample are not repeatable when input order varies.
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_part", F.shiftright("_mid", 33))
-              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-              .checkpoint(eager=True))
+              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))))
+    tagged = checkpointed(tagged)
     before = Window.partitionBy(*group_by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (tagged.groupBy(*group_by, "_part")
               .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))

@@ -100,7 +100,7 @@ def employee_claim_counts(requests: DataFrame, employees: DataFrame, claims: Dat
 def deepest_row(requests: DataFrame, page_col: str = "page", limit_col: str = "page_limit") -> int:
     """Deepest row any request can ask for (clamped page × limit): the ranking bound."""
     p, n = clamp_employee_paging(F.col(page_col), F.col(limit_col))
-    return requests.agg(F.max(p * n).alias("m")).first()["m"] or 0
+    return requests.agg(F.max(p.cast("long") * n).alias("m")).first()["m"] or 0
 
 
 def paged_per_key(requests: DataFrame, claims: DataFrame, batch_small: bool | None = None,
@@ -116,7 +116,7 @@ def paged_per_key(requests: DataFrame, claims: DataFrame, batch_small: bool | No
     ``number_rows`` instead, which splits a large group across tasks.
     """
     if deepest is None:
-        deepest = requests.agg(F.max(F.col("page") * F.col("page_limit")).alias("m")).first()["m"] or 0
+        deepest = requests.agg(F.max(F.col("page").cast("long") * F.col("page_limit")).alias("m")).first()["m"] or 0
     asked = requests.select(ci(F.col("cn")).alias("_asked"))
     mine = restrict_to_keys(claims.withColumn("_k", ci("emp_computer_number")), F.col("_k"), asked, "_asked",
                             keys_small=batch_small)
@@ -133,7 +133,7 @@ def paged_per_key(requests: DataFrame, claims: DataFrame, batch_small: bool | No
         ranked = (number_rows(keyed, ["_undated", "_neg_ts", "_neg_id"], ["_k"], out="row_no")
                   .where(F.col("row_no") <= F.lit(int(deepest))))
     req = requests.select("request_id", ci(F.col("cn")).alias("_rk"), "page", "page_limit")
-    lo = (F.col("page") - 1) * F.col("page_limit")
+    lo = (F.col("page").cast("long") - 1) * F.col("page_limit")
     joined = req.join(ranked, (F.col("_rk") == F.col("_k")) & (F.col("row_no") > lo)
                       & (F.col("row_no") <= lo + F.col("page_limit")), "inner")
     return joined.select("request_id", (F.col("row_no") - lo).cast("int").alias("position"),

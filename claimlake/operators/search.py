@@ -182,11 +182,18 @@ def newest_first(df: DataFrame) -> list[Column]:
             F.col("status_id").asc_nulls_first()]
 
 
+# Rows a page may skip; a deeper page (no one pages there) is empty.
+DEEPEST_OFFSET = 2**31 - 1 - 1000
+
+
 def search_page(enriched: DataFrame, filters: SearchFilters, page=1, limit=ADMIN_DEFAULT_LIMIT) -> DataFrame:
     """L3: one page of the search, newest first (a single top-k with offset)."""
     page, limit = clamp_admin_paging(page, limit)
     rows = search_projection(search_claims(enriched, filters))
-    return (rows.orderBy(*newest_first(rows)).offset((page - 1) * limit).limit(limit)
+    skipped = (page - 1) * limit
+    if skipped > DEEPEST_OFFSET:
+        return rows.limit(0).select(*SEARCH_COLUMNS)
+    return (rows.orderBy(*newest_first(rows)).offset(skipped).limit(limit)
             .select(*SEARCH_COLUMNS))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, is_numeric_text, strict_date, text_or_empty
-from .common import first_employee_per_key, is_small, number_rows, restrict_to_keys
+from .common import checkpointed, first_employee_per_key, is_small, number_rows, restrict_to_keys
 
 # Accepted claim types and beneficiaries.
 CLAIM_TYPES = ("opd", "specs")
@@ -135,7 +135,7 @@ def ingest_submissions(submissions: DataFrame, claims: DataFrame, employees: Dat
                      F.lit("duplicate_reference"))
                .otherwise(F.lit("accepted")))
     # decided once (the duplicate check scans the claims table) and shared by the numbering and the result
-    out = out.withColumn("outcome", outcome).drop("_first_seq", "reference_exists").checkpoint(eager=True)
+    out = checkpointed(out.withColumn("outcome", outcome).drop("_first_seq", "reference_exists"))
     accepted = number_rows(out.where(F.col("outcome") == "accepted"), ["seq"], out="_n")
     base_id = claims.agg(F.max("r_id")).first()[0] or 0
     ids = accepted.select(F.col("seq").alias("_aseq"), (F.lit(base_id) + F.col("_n")).cast("int").alias("claim_id"),
@@ -185,8 +185,9 @@ def assign_references(submissions: DataFrame, claims: DataFrame, ts_col: str = "
     that falls in one year is not numbered by a single task.
     """
     s = submissions.withColumn("_ref", text_or_empty("reference"))
-    used = (claims.select(F.col("reference").alias("_r"))
-            .unionByName(s.select(F.col("_ref").alias("_r")))
+    # references compare without case and trailing blanks, so a lower-case one is taken too
+    used = (claims.select(F.upper(F.rtrim("reference")).alias("_r"))
+            .unionByName(s.select(F.upper(F.rtrim("_ref")).alias("_r")))
             .where(F.col("_r").rlike(REFERENCE_PATTERN))
             .groupBy(F.regexp_extract("_r", REFERENCE_PATTERN, 1).try_cast("int").alias("_y"))
             .agg(F.max(F.regexp_extract("_r", REFERENCE_PATTERN, 2).try_cast("long")).alias("_top")))

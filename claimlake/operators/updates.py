@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, ci, is_numeric_text, php_trim, text_or_empty
 from ..sources.tables import CLAIM_COLUMNS
-from .common import broadcast_if_small, is_small, number_rows, restrict_to_keys
+from .common import broadcast_if_small, checkpointed, is_small, leading_int, number_rows, restrict_to_keys
 from .facets import CANONICAL_STATUSES, UNLISTED_ORDER
 
 # Accepted document flags and medical recommendations.
@@ -33,7 +33,12 @@ def _opt(df: DataFrame, name: str) -> Column:
 
 
 def _claim_id(df: DataFrame) -> Column:
-    return F.coalesce(F.col("claim_id").cast("int"), F.lit(0))
+    return leading_int("claim_id")
+
+
+def whole_date(text: Column) -> Column:
+    """A date, alone or with a time after it; a year, a month or other text is NULL."""
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:.*)?$"), text.try_cast("date"))
 
 
 def _with_existence(upd: DataFrame, claims: DataFrame, batch_small: bool) -> DataFrame:
@@ -115,7 +120,7 @@ def apply_medical_updates(updates: DataFrame, claims: DataFrame) -> UpdateBatch:
     u = updates.select(
         "seq", "ts", _claim_id(updates).alias("_cid"), rec.alias("_rec"),
         blank_to_null(_opt(updates, "medical_remark")).alias("_remark"),
-        date_text.alias("_date_text"), date_text.try_cast("date").alias("_date"))
+        date_text.alias("_date_text"), whole_date(date_text).alias("_date"))
     rules = (F.when((F.col("_cid") <= 0) | (F.col("_rec") == ""), F.lit("missing_input"))
              .when(~F.col("_rec").isin(list(RECOMMENDATIONS)), F.lit("invalid_recommendation"))
              .when(F.col("_date_text").isNotNull() & F.col("_date").isNull(), F.lit("invalid_date")))
@@ -134,8 +139,8 @@ def apply_payment_updates(updates: DataFrame, claims: DataFrame) -> UpdateBatch:
     paid_text = blank_to_null(_opt(updates, "paid_date"))
     u = updates.select(
         "seq", "ts", _claim_id(updates).alias("_cid"), amount.alias("_amount"),
-        pa_text.alias("_pa_text"), pa_text.try_cast("date").alias("_pa"),
-        paid_text.alias("_paid_text"), paid_text.try_cast("date").alias("_paid"))
+        pa_text.alias("_pa_text"), whole_date(pa_text).alias("_pa"),
+        paid_text.alias("_paid_text"), whole_date(paid_text).alias("_paid"))
     bad_date = ((F.col("_pa_text").isNotNull() & F.col("_pa").isNull())
                 | (F.col("_paid_text").isNotNull() & F.col("_paid").isNull()))
     rules = (F.when((F.col("_cid") <= 0) | F.col("_amount").isNull() | (F.col("_amount") < 0),
@@ -181,8 +186,8 @@ class StatusBatch:
     def __init__(self, updates: DataFrame, claims: DataFrame, statuses: DataFrame, history: DataFrame):
         self._claims_in, self._statuses_in, self._history_in = claims, statuses, history
         u = updates.select(
-            "seq", "ts", F.coalesce(F.col("claim_id").cast("int"), F.lit(0)).alias("_cid"),
-            F.coalesce(F.col("new_status_id").cast("int"), F.lit(0)).alias("_nid"),
+            "seq", "ts", leading_int("claim_id").alias("_cid"),
+            leading_int("new_status_id").alias("_nid"),
             text_or_empty("new_status_name").alias("_nname"), text_or_empty("remarks").alias("_rem"),
             F.col("updated_by").cast("int").alias("updated_by"))
         self._small = is_small(u)  # bounds every set derived from the batch below
@@ -211,7 +216,7 @@ class StatusBatch:
     def _accepted(self) -> DataFrame:
         acc = self._validated.where(F.col("outcome") == "accepted")
         acc = acc.join(self._by_name, (F.col("_nid") <= 0) & (ci(F.col("_nname")) == F.col("_tk")), "left")
-        return acc.drop("_tk").checkpoint(eager=True)
+        return checkpointed(acc.drop("_tk"))
 
     @cached_property
     def _new_rows(self) -> DataFrame:

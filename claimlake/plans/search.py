@@ -65,8 +65,8 @@ FILTER_CASES = {
     "filter_status_id": (S.SearchFilters(status="Paid", status_id="7"), "s.s_id = 7", "F2"),
     "filter_claim_type": (S.SearchFilters(claim_type="Spectacles"),
                           "lower(rtrim(r.claim_type)) = 'specs'", "F3"),
-    "filter_division": (S.SearchFilters(division="germany"),
-                        "lower(rtrim(d.division_name)) = 'germany'", "F4"),
+    "filter_division": (S.SearchFilters(division="NATION_7 "),
+                        "lower(rtrim(d.division_name)) = 'nation_7'", "F4"),
     "filter_date_range": (S.SearchFilters(date_from="1995-01-01", date_to="1995-06-30 "),
                           "r.opd_date >= DATE '1995-01-01' AND r.opd_date <= DATE '1995-06-30'", "F5"),
     "filter_needs_action": (S.SearchFilters(needs_action="on"),

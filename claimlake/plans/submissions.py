@@ -113,12 +113,12 @@ def _reference_exists(t):
     return W.reference_exists(t["submissions"].select("seq", "reference"), t["claims"])
 
 
-_PAT = W.REFERENCE_PATTERN
+_PAT = "^MC-([0-9]{4})-([0-9]{1,18})$"
 
 
 @query("assign_references", "W10", f"""
 WITH s AS (SELECT seq, submitted_at, {text_or_empty('reference')} AS ref FROM fx_submissions),
-ex AS (SELECT reference AS r FROM fx_claims UNION ALL SELECT ref FROM s),
+ex AS (SELECT upper(rtrim(reference)) AS r FROM fx_claims UNION ALL SELECT upper(rtrim(ref)) FROM s),
 mx AS (SELECT CAST(regexp_extract(r, '{_PAT}', 1) AS INTEGER) AS y,
          max(CAST(regexp_extract(r, '{_PAT}', 2) AS BIGINT)) AS m
        FROM ex WHERE regexp_matches(r, '{_PAT}') GROUP BY 1),

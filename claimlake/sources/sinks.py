@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from ..operators.common import checkpointed
+
 COMMITS = "_commits"
 
 
@@ -49,8 +51,10 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     try:
         commits = spark.read.schema("version long, tables array<string>").json(path)
         row = commits.agg(F.max("version")).first()
-    except AnalysisException:  # no commit folder yet
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # no commit folder yet
     return None if row is None else row[0]
 
 
@@ -108,7 +112,7 @@ def rewrite_changed_partitions(new_claims: DataFrame, changed_ids: DataFrame, pa
     cond = F.col(CLAIM_PARTITION).isin([y for y in touched if y is not None])
     if None in touched:
         cond = cond | F.col(CLAIM_PARTITION).isNull()
-    part = staged.where(cond).checkpoint(eager=True)
+    part = checkpointed(staged.where(cond))
     (part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(CLAIM_PARTITION).parquet(path))
     return touched

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.common import checkpointed
 from ..operators.submissions import ingest_submissions, new_claims, submission_history
 from ..operators.updates import apply_status_updates
 
@@ -31,8 +32,10 @@ def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """Rows written by micro-batches before ``batch_id`` (None when there are none)."""
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # nothing written yet
     return df.where(F.col("batch_id") < batch_id).drop("batch_id")
 
 
@@ -52,7 +55,7 @@ def write_feed(df: DataFrame, folder: str, order_col: str, chunks: int) -> None:
     A file source hands files to micro-batches by modification time, so each
     range is written (as one file) only after the previous one.
     """
-    df = df.checkpoint(eager=True)  # evaluated once, then cut into ranges
+    df = checkpointed(df)  # evaluated once, then cut into ranges
     bounds = df.agg(F.min(order_col), F.max(order_col)).first()
     lo, hi = bounds[0], bounds[1]
     if lo is None:
@@ -109,8 +112,10 @@ def _previous_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFra
     """
     try:
         files = spark.read.parquet(path).inputFiles()
-    except AnalysisException:  # nothing written yet
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # nothing written yet
     ids = {int(m.group(1)) for f in files for m in [re.search(r"batch_id=(\d+)", f)] if m}
     earlier = [i for i in ids if i < batch_id]
     if not earlier:

@@ -286,3 +286,29 @@ def test_latest_remark_fallbacks(spark):
         {"log_id": 3, "remarks": None, "updated_at": dt.datetime(2024, 1, 3), "claim_requests_id": 3}])
     got = {r.claim_id: r.latest_remark for r in X.latest_remark(history, claims).collect()}
     assert got == {1: " keep ", 2: "No remarks yet.", 3: "m3"}
+
+
+def test_bad_rows_do_not_abort_a_batch(spark):
+    """Ids read by their leading integer, dates must be whole, amounts beyond the money type keep their row."""
+    from claimlake.functions.text import like_contains_pattern, money
+    from claimlake.operators.common import leading_int
+    from claimlake.operators.updates import whole_date
+
+    df = spark.createDataFrame([("2x",), ("3.7",), ("abc",), (None,), ("-4",), ("99999999999",), ("true",)], "v string")
+    assert [r[0] for r in df.select(leading_int("v")).collect()] == [2, 3, 0, 0, -4, 0, 0]
+    dates = spark.createDataFrame([("2024",), ("2024-01",), ("2024-1-5T99",), ("2024-01-05",), ("2024-01-05 10:00:00",)], "v string")
+    assert [r[0] is not None for r in dates.select(whole_date(F.col("v"))).collect()] == [False, False, False, True, True]
+    amounts = spark.createDataFrame([(1e300,), (12.345,)], "v double")
+    assert [r[0] is not None for r in amounts.select(money("v")).collect()] == [False, True]
+    assert like_contains_pattern("a\\\\b") == "%a\\\\b%" and like_contains_pattern("a\\b") == "%ab%"
+
+
+def test_shared_folder_is_required_off_local_masters(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from claimlake import session
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    other = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(other)
