@@ -235,9 +235,14 @@ def _anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _decide(rows: DataFrame, buckets: int) -> DataFrame:
-    """Per seed bucket: marks of anchors whose whole context is repeated, and requests for contexts."""
+    """Per seed bucket: marks of anchors whose whole context is repeated, and requests for contexts.
+
+    Marks among ``rows`` pass through, so the anchors need not be stored.
+    """
     def run(batches):
-        def one(_, found):
+        def one(key, found):
+            if key[1] == "mark":
+                return _batch([(r["kind"], r["bucket"], r["blob"]) for r in found])
             a = unpack([r["blob"] for r in found], ANCHOR)
             by_context = first_of((a["seed"], a["context"]), a["doc"])
             later = a["doc"] > by_context
@@ -250,9 +255,9 @@ def _decide(rows: DataFrame, buckets: int) -> DataFrame:
             return _batch(_rows("mark", blobs_by(doc_bucket(marks["doc"], marks["text"], buckets), marks, MARK))
                           + _rows("ask", blobs_by(doc_bucket(asks["doc"], asks["text"], buckets), asks, ASK)))
 
-        yield from by_key(batches, ["bucket"], one)
+        yield from by_key(batches, ["bucket", "kind"], one)
 
-    return _dealt(rows.filter("kind = 'anchor'")).mapInArrow(run, ROWS)
+    return _dealt(rows, "kind").mapInArrow(run, ROWS)
 
 
 def _dealt(rows: DataFrame, *then: str) -> DataFrame:
@@ -493,10 +498,9 @@ def _kept_text(doc, text: bytes, removed: np.ndarray) -> tuple:
 
 
 def _marks(docs: DataFrame, buckets: int) -> DataFrame:
-    first = materialize(_anchor_rows(docs, buckets), "anchors")
-    decided = materialize(_decide(first, buckets), "anchor-decisions")
+    decided = materialize(_decide(_anchor_rows(docs, buckets), buckets), "anchor-decisions")
     edges = _compare(_contexts(decided, docs, buckets), buckets)
-    return first.filter("kind = 'mark'").unionByName(decided.filter("kind = 'mark'")).unionByName(edges)
+    return decided.filter("kind = 'mark'").unionByName(edges)
 
 
 def removal_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
