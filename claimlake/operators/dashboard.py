@@ -122,6 +122,12 @@ LIST_COLUMNS = ["claim_id", "reference_no", "computer_no", "employee_name", "opd
                 "amount_requested", "claim_type", "status_name", "created_at", "updated_at"]
 
 
+def _first_claims(claims: DataFrame, activity, n: int) -> DataFrame:
+    """The ``n`` claims that lead a list: its order starts with claim columns and the left join
+    only adds rows, so the list's first ``n`` rows belong to them."""
+    return claims.orderBy(activity.desc_nulls_last(), F.col("r_id").desc()).limit(n)
+
+
 def _dashboard_rows(claims: DataFrame, employees: DataFrame) -> DataFrame:
     emp = employees.select(ci("computer_number").alias("_k"), "e_id", "initials", "surname")
     return (claims.join(emp, ci(claims["emp_computer_number"]) == emp["_k"], "left")
@@ -134,7 +140,7 @@ def _dashboard_rows(claims: DataFrame, employees: DataFrame) -> DataFrame:
 
 def recent_claims(claims: DataFrame, employees: DataFrame, n: int = DASHBOARD_LIST_SIZE) -> DataFrame:
     """L1: the newest claims (by creation, else update time); top-k, no full sort."""
-    rows = _dashboard_rows(claims, employees)
+    rows = _dashboard_rows(_first_claims(claims, labels.recent_activity_ts("created_at", "updated_at"), n), employees)
     return (rows.orderBy(labels.recent_activity_ts("created_at", "updated_at").desc_nulls_last(),
                          F.col("claim_id").desc(), F.col("e_id").asc_nulls_first())
             .limit(n).select(*LIST_COLUMNS))
@@ -143,7 +149,7 @@ def recent_claims(claims: DataFrame, employees: DataFrame, n: int = DASHBOARD_LI
 def claims_needing_action(claims: DataFrame, employees: DataFrame, n: int = DASHBOARD_LIST_SIZE) -> DataFrame:
     """L2: claims waiting for an administrator, most recently touched first."""
     waiting = claims.where(ci("status").isin([s.lower() for s in NEEDS_ACTION_STATUSES]))
-    rows = _dashboard_rows(waiting, employees)
+    rows = _dashboard_rows(_first_claims(waiting, labels.action_activity_ts("created_at", "updated_at"), n), employees)
     return (rows.orderBy(labels.action_activity_ts("created_at", "updated_at").desc_nulls_last(),
                          F.col("claim_id").desc(), F.col("e_id").asc_nulls_first())
             .limit(n).select(*LIST_COLUMNS))

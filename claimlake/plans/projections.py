@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as P
 from ..functions.text import ci
 from .registry import query
-from .sqltext import DIVISION_LABEL, EMPLOYEE_NAME, PHP_TRIM_SET
+from .sqltext import PHP_TRIM_SET, SHOWN_NAME, STAFFED
 
 
 def _claims_with_employee(t):
@@ -20,8 +20,9 @@ CLAIM_EMP_FROM = """
 FROM fx_claims r LEFT JOIN fx_employees e ON lower(rtrim(e.computer_number)) = lower(rtrim(r.emp_computer_number))"""
 
 
-@query("employee_name", "P1", f"SELECT r.r_id AS claim_id, e.e_id, {EMPLOYEE_NAME} AS employee_name{CLAIM_EMP_FROM}",
-       ("claims", "employees"))
+@query("employee_name", "P1",
+       f"WITH {STAFFED}\nSELECT r_id AS claim_id, person.e_id AS e_id, {SHOWN_NAME} AS employee_name FROM staffed",
+       ("claims", "employees", "divisions"))
 def _employee_name(t):
     return _claims_with_employee(t).select(
         F.col("r_id").alias("claim_id"), "e_id",
@@ -51,7 +52,7 @@ def _full_name(t):
 
 
 @query("division_label", "P5", f"""
-SELECT e.e_id, {DIVISION_LABEL} AS division
+SELECT e.e_id, CASE WHEN rtrim(d.division_name) <> '' THEN d.division_name ELSE 'Not Assigned' END AS division
 FROM fx_employees e LEFT JOIN fx_divisions d ON d.div_code = e.division_code""", ("employees", "divisions"))
 def _division_label(t):
     emp, div = t["employees"], t["divisions"]

@@ -24,15 +24,34 @@ def ci(x: str) -> str:
     return f"lower(rtrim({x}))"
 
 
-# one employee per computer number (smallest e_id)
-EMP_BY_NUMBER = """emp1 AS (SELECT * FROM (SELECT e.*, row_number() OVER (
-    PARTITION BY lower(rtrim(computer_number)) ORDER BY e_id) AS _rn FROM fx_employees e) WHERE _rn = 1)"""
-
 # one employee per (computer number, NIC) pair (smallest e_id)
 EMP_BY_CREDENTIALS = """emp2 AS (SELECT * FROM (SELECT e.*, row_number() OVER (
     PARTITION BY lower(rtrim(computer_number)), lower(rtrim(nic)) ORDER BY e_id) AS _rn
     FROM fx_employees e) WHERE _rn = 1)"""
 
-EMPLOYEE_NAME = ("COALESCE(NULLIF(trim(concat_ws(' ', e.initials, e.surname)), ''), r.patient_name, "
-                 "'Unknown Employee')")
-DIVISION_LABEL = "COALESCE(CASE WHEN rtrim(d.division_name) <> '' THEN d.division_name END, 'Not Assigned')"
+
+def lookup(table: str, key: str, value: str, at: str) -> str:
+    """One value found by key; DuckDB reports an error where the key is not unique."""
+    return f"(SELECT {value} FROM {table} WHERE {key} = {at})"
+
+
+# all employees of a computer number as one list, smallest e_id first
+PEOPLE = f"""people AS (
+  SELECT {ci('computer_number')} AS person_key, list({{'e_id': e_id, 'nic': nic, 'initials': initials,
+    'surname': surname, 'division_code': division_code,
+    'division_name': {lookup('fx_divisions', 'div_code', 'division_name', 'division_code')},
+    'plain_name': COALESCE(array_to_string([initials, surname], ' '), '')}} ORDER BY e_id) AS found
+  FROM fx_employees WHERE computer_number IS NOT NULL GROUP BY person_key)"""
+
+# claims with one row per employee of their computer number, or one row without
+STAFFED = f"""{PEOPLE},
+staffed AS (SELECT fx_claims.*, unnest(COALESCE(found, [NULL])) AS person
+  FROM fx_claims LEFT JOIN people ON person_key = {ci('emp_computer_number')})"""
+
+SHOWN_NAME = "CASE WHEN trim(person.plain_name) <> '' THEN trim(person.plain_name) ELSE COALESCE(patient_name, 'Unknown Employee') END"
+SHOWN_DIVISION = "CASE WHEN rtrim(person.division_name) <> '' THEN person.division_name ELSE 'Not Assigned' END"
+
+
+def select_list(columns: list[str], computed: dict[str, str]) -> str:
+    """The columns of a result contract: computed ones by their expression, others as they are."""
+    return ", ".join(f"{computed[c]} AS {c}" if c in computed else c for c in columns)
