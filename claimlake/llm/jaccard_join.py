@@ -29,7 +29,8 @@ that are not yet connected.
 links to the pivot in linear time; only pairs of blocks with a set *outside* the
 pivot's threshold are met again, as pairs of blocks (:func:`_across`).  So a
 group of near copies of any size is linear, and no task holds more than two
-blocks.
+blocks.  Sets travel to their regions as deflated text, a quarter of the size of
+their hashes, and are hashed again there.
 
 Defined cases: null, empty and blank texts have an empty set, link to nothing
 and are their own component; repeated rows and ids are members of their
@@ -40,6 +41,8 @@ ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +59,7 @@ FLUSH_ENTRIES = 1 << 19
 BLOCK_SETS = 1024
 LEAF_SETS = 24
 PIVOT_TEXTS = 6
+UNPACK_BYTES = 1 << 20
 ENTRY = np.dtype([("shingle", "<u8"), ("set", "S12"), ("n", "<u4")])
 RADIUS = 1 - PERCENT / 100
 
@@ -247,6 +251,22 @@ def regions(entries: DataFrame) -> DataFrame:
 
 # --- exact join of one region ------------------------------------------------
 
+def pack_text(text: str) -> bytes:
+    return zlib.compress(text.encode("utf-8"), 1)
+
+
+def packed_sets(packed: list[bytes]) -> list[np.ndarray]:
+    """The shingle set of each packed text; some UNPACK_BYTES of text, or one text, at a time."""
+    out, held, size = [], [], 0
+    for blob in packed:
+        held.append(zlib.decompress(blob).decode("utf-8"))
+        size += len(held[-1])
+        if size >= UNPACK_BYTES:
+            out += shingle_sets(held)
+            held, size = [], 0
+    return out + (shingle_sets(held) if held else [])
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether 100 * intersection >= PERCENT * union."""
     small, large = sorted((len(a), len(b)))
@@ -350,13 +370,13 @@ def _edge_batch(pairs: list[tuple[bytes, bytes]], outside: list[tuple[bytes, byt
 def region_edges(members: DataFrame) -> DataFrame:
     """a, b: a forest of the links in each region; rows with ``region``: sets outside the pivot's threshold in divided regions.
 
-    ``members``: pivot, block, blocks, set, shingles (with the pivot in each block).
+    ``members``: pivot, block, blocks, set, packed (with the pivot in each block).
     """
     def run(batches):
         def one(key, rows):
             rows.sort(key=lambda r: (r["set"] != r["pivot"], r["set"]))
             names = [r["set"] for r in rows]
-            region = RegionJoin([np.frombuffer(r["shingles"], dtype=np.uint64) for r in rows])
+            region = RegionJoin(packed_sets([r["packed"] for r in rows]))
             everyone = list(range(len(names)))
             d = region.around(0, everyone)
             if len({region.find(m) for m in everyone}) > 1:
@@ -376,7 +396,7 @@ def _across(outside: DataFrame, members: DataFrame, sets: DataFrame) -> DataFram
     def run(batches):
         def one(_, rows):
             names = [r["set"] for r in rows]
-            region = RegionJoin([np.frombuffer(r["shingles"], dtype=np.uint64) for r in rows])
+            region = RegionJoin(packed_sets([r["packed"] for r in rows]))
             out = [i for i, r in enumerate(rows) if r["asks"]]
             rest = [i for i, r in enumerate(rows) if not r["asks"]]
             both, flat = np.array(out + rest, dtype=np.int64), np.zeros(len(rows))
@@ -398,7 +418,7 @@ def _across(outside: DataFrame, members: DataFrame, sets: DataFrame) -> DataFram
 
 
 def region_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, text_col: str) -> DataFrame:
-    """set, shingles of every set that is in a region, from one document each."""
+    """set, packed (the deflated text) of every set that is in a region, from one document each."""
     wanted = members.select("set").distinct()
     one = rows.filter("n > 0").groupBy("set").agg(F.min("row").alias("row")).join(wanted, "set")
 
@@ -406,11 +426,12 @@ def region_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, text_col:
         import pyarrow as pa
 
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set", "shingles"])
+            packed = [pack_text(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["row", "packed"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
-    return materialize(texts.join(one, "row").select("set", "text").mapInArrow(run, "set binary, shingles binary"), "region-sets")
+    packed = texts.mapInArrow(run, "row long, packed binary")
+    return materialize(packed.join(one, "row").select("set", "packed"), "region-sets")
 
 
 # --- the join ----------------------------------------------------------------
