@@ -45,13 +45,12 @@ def _table_side(statuses: DataFrame) -> DataFrame:
 def status_facets(statuses: DataFrame, claims: DataFrame) -> DataFrame:
     """Status table plus every status seen on claims (id 0, order 999).
 
-    The claims side is reduced to one spelling per case-insensitive name before
-    the union (partial aggregation on the scan), so only a handful of rows meet
-    the status table.
+    The claims side is reduced to its distinct spellings before the union (a hash
+    aggregate on the scan; a least string over all claims would sort them), so
+    only a handful of rows meet the status table.
     """
-    seen = (_named(claims, "status").groupBy(ci("status").alias("_k"))
-            .agg(F.min("status").alias("status_name"))
-            .select(F.lit(0).alias("status_id"), "status_name",
+    seen = (_named(claims, "status").groupBy("status").agg(F.count(F.lit(1)))
+            .select(F.lit(0).alias("status_id"), F.col("status").alias("status_name"),
                     F.lit(UNLISTED_ORDER).alias("status_order")))
     return _facet(_table_side(statuses).unionByName(seen))
 

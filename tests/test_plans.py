@@ -8,6 +8,8 @@ import io
 import pytest
 
 import __spark_entry__ as entry
+from claimlake.operators import dashboard as D
+from claimlake.operators import facets as U
 from conftest import SF_SMALL
 
 QUERIES = entry.queries()
@@ -68,3 +70,16 @@ def test_hot_keys_fold_on_the_map_side(spark, name, partial):
     # per-claim / per-employee reductions are partial aggregates before the shuffle
     text = plan_text(QUERIES[name](spark, SF_SMALL))
     assert partial in text, name
+
+
+def test_status_facets_reduce_claims_by_hash(spark, tables_small):
+    """Claims are grouped by their spelling; only the final few rows meet a least string."""
+    plan = plan_text(U.status_facets(tables_small["statuses"], tables_small["claims"]), "simple")
+    below_union = plan[plan.index("Union"):]
+    assert "HashAggregate" in below_union and "SortAggregate" not in below_union
+
+
+def test_dashboard_lists_take_their_claims_before_the_join(spark, tables_small):
+    for make in (D.recent_claims, D.claims_needing_action):
+        plan = plan_text(make(tables_small["claims"], tables_small["employees"]), "simple")
+        assert "TakeOrderedAndProject" in plan[plan.index("Join"):]
