@@ -447,8 +447,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heavy = heavy_shingles(written.filter("row is null").select("bucket", "blob"))
     members = materialize(regions(window_entries(docs, heavy, text_col)), "regions")
     sets = region_sets(docs, rows, members, text_col)
-    blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("blocks"))
-    members = members.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
+    # written first: the join then splits or broadcasts, and no task needs a whole region for its count
+    large = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("blocks")).filter("blocks > 1")
+    large = materialize(large, "large-regions")
+    members = members.join(large, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    members = members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
     members = materialize(members.select("pivot", "block", "blocks", "set"), "region-blocks")
     heads = members.select("pivot", "blocks").distinct().select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "blocks", F.col("pivot").alias("set"))
     placed = members.filter("set <> pivot").unionByName(heads).join(sets, "set")
