@@ -14,8 +14,10 @@ common order is its cell.  Boundary sets are replicated by a window: two linked
 sets share one of their first n // 5 + 1 shingles in any common order, so each
 set enters the cells of those.  In the order used, shingles of many sets come
 last (found by counting all windows of a first pass), so common passages
-rarely open a cell.  In each cell sets that have no partner of fitting size
-leave; the others form a region around one of them, the cell's pivot text.
+rarely open a cell.  A set whose cell is its shingle number ``at`` can share only
+the ``n - at`` shingles from there on, which bounds the size of its partners
+there (:func:`parts`).  In each cell sets that have no partner within these
+bounds leave; the others form a region around one of them, the cell's pivot text.
 
 *Recursion.*  In a region all distances to the pivot text are computed.  Sets
 within the threshold link to it, and need no more tests among each other.  For
@@ -60,7 +62,7 @@ BLOCK_SETS = 1024
 LEAF_SETS = 24
 PIVOT_TEXTS = 6
 UNPACK_BYTES = 1 << 20
-ENTRY = np.dtype([("shingle", "<u8"), ("set", "S12"), ("n", "<u4")])
+ENTRY = np.dtype([("shingle", "<u8"), ("set", "S12"), ("n", "<u4"), ("at", "<u4")])
 RADIUS = 1 - PERCENT / 100
 
 
@@ -188,7 +190,7 @@ def window_entries(docs: DataFrame, heavy: np.ndarray, text_col: str) -> DataFra
                 seen.add(name)
                 first = window(hashes, shared.value)
                 entry = np.zeros(len(first), dtype=ENTRY)
-                entry["shingle"], entry["set"], entry["n"] = first, name, len(hashes)
+                entry["shingle"], entry["set"], entry["n"], entry["at"] = first, name, len(hashes), np.arange(len(first))
                 held.append(entry)
                 size += len(entry)
             if size >= FLUSH_ENTRIES:
@@ -200,13 +202,32 @@ def window_entries(docs: DataFrame, heavy: np.ndarray, text_col: str) -> DataFra
     return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "bucket long, blob binary")
 
 
-def fitting(sizes: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Which entries, sorted by (cell, size), have a partner in their cell whose size allows a link."""
-    near = np.zeros(len(sizes), dtype=bool)
-    pair = (cell[1:] == cell[:-1]) & (100 * sizes[:-1] >= PERCENT * sizes[1:])
-    near[1:] |= pair
-    near[:-1] |= pair
-    return near
+def parts(cell: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The part of its cell that each entry belongs to, -1 for those without a partner.
+
+    Two sets whose first common shingle has positions i and j share at most
+    min(n - i, m - j) shingles.  A link needs 9 * common >= 4 * (n + m), so
+    m <= reach(n, i) and n <= reach(m, j) with reach(n, i) = (5 * n - 9 * i) // 4.
+    Entries with reach >= n may link when their intervals [n, reach] meet; one
+    with a smaller reach may only link to an entry whose interval holds both its
+    reach and its size.  Parts are the connected ones of these relations.
+    """
+    base = cell.astype(np.int64) << 32
+    size, reach = base + n, base + (5 * n - 9 * at) // 4
+    part = np.full(len(n), -1, dtype=np.int64)
+    wide = np.flatnonzero(reach >= size)
+    if not len(wide):
+        return part
+    wide = wide[np.argsort(size[wide], kind="stable")]
+    starts, far = size[wide], np.maximum.accumulate(reach[wide])
+    number = np.cumsum(np.concatenate([[True], starts[1:] > far[:-1]])) - 1
+    part[wide] = number
+    narrow = np.flatnonzero(reach < size)
+    last = np.searchsorted(starts, reach[narrow], side="right") - 1
+    held = (last >= 0) & (far[last] >= size[narrow])
+    part[narrow[held]] = number[last[held]]
+    part[(np.bincount(part[part >= 0], minlength=len(wide)) == 1)[part] & (part >= 0)] = -1
+    return part
 
 
 def regions(entries: DataFrame) -> DataFrame:
@@ -227,13 +248,10 @@ def regions(entries: DataFrame) -> DataFrame:
             fresh = np.ones(len(e), dtype=bool)
             fresh[1:] = (cell[1:] != cell[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
             e, cell, high, low = e[fresh], cell[fresh], high[fresh], low[fresh]
-            near = fitting(e["n"].astype(np.int64), cell)
-            e, cell, high, low = e[near], cell[near], high[near], low[near]
-            # the cell's sets, cut where sizes part, are regions; the least digest is the pivot
-            cut = np.ones(len(e), dtype=bool)
-            size = e["n"].astype(np.int64)
-            cut[1:] = (cell[1:] != cell[:-1]) | (100 * size[:-1] < PERCENT * size[1:])
-            region = np.cumsum(cut) - 1
+            region = parts(cell, e["n"].astype(np.int64), e["at"].astype(np.int64))
+            near = region >= 0
+            e, high, low, region = e[near], high[near], low[near], region[near]
+            # the least digest of a region is its pivot
             order = np.lexsort((low, high, region))
             region, raw = region[order], np.ascontiguousarray(e["set"][order]).view(np.uint8).reshape(len(e), 12) if len(e) else np.zeros((0, 12), np.uint8)
             head = np.searchsorted(region, region)

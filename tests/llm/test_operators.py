@@ -191,6 +191,44 @@ def test_jaccard_join_divided_regions(spark, tmp_path, monkeypatch):
     assert sorted(rows_of(got), key=str) == brute_components(rows)
 
 
+def test_parts_of_cells_are_the_connected_entries():
+    rng = random.Random(11)
+    for _ in range(200):
+        rows = [(rng.randrange(3), n, rng.randrange(n // 5 + 1)) for n in (rng.randint(1, 60) for _ in range(rng.randrange(40)))]
+        cell, n, at = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+        got = jaccard_join.parts(cell, n, at)
+        group = list(range(len(rows)))
+        for i, (c, n1, a1) in enumerate(rows):
+            for j, (d, n2, a2) in enumerate(rows[:i]):
+                if c == d and 9 * min(n1 - a1, n2 - a2) >= 4 * (n1 + n2):
+                    group = [group[j] if g == group[i] else g for g in group]
+        lonely = [group.count(g) == 1 for g in group]
+        assert [p < 0 for p in got.tolist()] == lonely
+        for i in range(len(rows)):
+            assert all((got[i] == got[j]) == (group[i] == group[j]) for j in range(i) if not (lonely[i] or lonely[j]))
+
+
+def test_linked_sets_meet_in_a_part_of_a_cell():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 62, rng.integers(4, 80)).astype(np.uint64)
+        for _ in range(4):
+            keep = base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, rng.integers(0, 6)).astype(np.uint64)])))
+    heavy = np.sort(rng.choice(np.concatenate(sets), 300))
+    entries = [(h, i, len(s), k) for i, s in enumerate(sets) for k, h in enumerate(jaccard_join.window(s, heavy).tolist())]
+    _, cell = np.unique(np.array([e[0] for e in entries], dtype=np.uint64), return_inverse=True)
+    part = jaccard_join.parts(cell, np.array([e[2] for e in entries]), np.array([e[3] for e in entries]))
+    together = {}
+    for p, e in zip(part.tolist(), entries):
+        if p >= 0:
+            together.setdefault(p, set()).add(e[1])
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i]) and len(sets[j]) and jaccard_join.linked(sets[i], sets[j])]
+    assert len(links) > 40
+    assert all(any({i, j} <= m for m in together.values()) for i, j in links)
+
+
 def test_substring_dedup(stored):
     rows = sorted(((r.doc_id, (r.text or "").encode()) for r in stored.collect()), key=lambda r: (r[0] is None, r[0]))
     want, seen, held, last = [], set(), set(), object()
