@@ -166,9 +166,9 @@ class StatusBatch:
 
     Validation: claim id, (status id or name) and a non-blank remark are
     required (``missing_input``); the claim must exist (``not_found``); a status
-    id must be in the status table as it was at batch start (``invalid_status``;
-    the source would also accept an id inserted earlier in the same batch).
-    Any status may follow any other.
+    id must be in the status table or belong to a status introduced by an earlier
+    update of the batch (else ``invalid_status``), as if the updates came one by
+    one.  Any status may follow any other.
 
     A status name resolves case-insensitively to its stored spelling; an unknown
     name is inserted as typed (canonical order only for the exact canonical
@@ -176,11 +176,17 @@ class StatusBatch:
     order 999 by its first accepted update.  Of several introductions of the
     same name the earliest by (ts, seq, new-before-old) wins.  Unlike the
     source, a name-only update logs the resolved id (not 0), and a NULL old
-    status is inserted once, not once per update.
+    status is inserted once (also over later batches), not once per update.
 
-    Outputs are planned on first use, so asking only for ``outcomes`` runs no
-    numbering.  The accepted updates are checkpointed once and shared by W8,
-    G2, W9 and the new claim state.
+    An update with an id above the table's is accepted when the introduction
+    that got this id comes before it; accepting it may introduce its claim's old
+    status.  So introductions and acceptances are computed in turn until the
+    list of introductions stays the same.  More acceptances only make
+    introductions earlier, and each depends on earlier rows only, so the result
+    is that of one update at a time.
+
+    Later outputs are planned on first use.  The checked updates, the
+    introductions and the accepted updates are checkpointed once and shared.
     """
 
     def __init__(self, updates: DataFrame, claims: DataFrame, statuses: DataFrame, history: DataFrame):
@@ -194,34 +200,62 @@ class StatusBatch:
         cl = restrict_to_keys(claims.select(F.col("r_id").alias("_rid"), F.col("status").alias("_claim_status")),
                               F.col("_rid"), u, "_cid", keys_small=self._small)
         ids = broadcast_if_small(statuses.select(F.col("s_id").alias("_sid"), F.col("status_name").alias("_id_name")))
-        v = (u.join(cl, u["_cid"] == cl["_rid"], "left")
-             .join(ids, (F.col("_nid") > 0) & (F.col("_nid") == F.col("_sid")), "left"))
         missing = (F.col("_cid") <= 0) | ((F.col("_nid") <= 0) & (F.col("_nname") == "")) | (F.col("_rem") == "")
-        outcome = (F.when(missing, F.lit("missing_input"))
-                   .when(F.col("_rid").isNull(), F.lit("not_found"))
-                   .when((F.col("_nid") > 0) & F.col("_sid").isNull(), F.lit("invalid_status"))
-                   .otherwise(F.lit("accepted")))
-        self._validated = v.withColumn("outcome", outcome)
+        self._checked = checkpointed(
+            u.join(cl, u["_cid"] == cl["_rid"], "left")
+            .join(ids, (F.col("_nid") > 0) & (F.col("_nid") == F.col("_sid")), "left")
+            .join(self._by_name, (F.col("_nid") <= 0) & (ci(F.col("_nname")) == F.col("_tk")), "left").drop("_tk")
+            .withColumn("_rejected", F.when(missing, F.lit("missing_input"))
+                        .when(F.col("_rid").isNull(), F.lit("not_found"))))
+        self._top_sid = statuses.agg(F.max("s_id")).first()[0] or 0
+        self._validated, self._introduced = self._in_turn()
         #: seq, claim_id, outcome
         self.outcomes = self._validated.select("seq", F.col("_cid").alias("claim_id"), "outcome")
 
+    def _in_turn(self) -> tuple[DataFrame, DataFrame | None]:
+        """The updates with their outcomes, and the introductions if these had to be found for that."""
+        decided, introduced, state = self._decide(None), None, None
+        late = F.col("_rejected").isNull() & (F.col("_nid") > self._top_sid)
+        if self._checked.where(late).isEmpty():
+            return decided, None
+        while True:
+            introduced = checkpointed(self._introductions(decided.where(F.col("outcome") == "accepted")))
+            mark = F.xxhash64("s_id", "status_name", "ts", "seq").cast("decimal(38,0)")
+            now = tuple(introduced.agg(F.count(F.lit(1)), F.sum(mark)).first())
+            if now == state:
+                return decided, introduced
+            state, decided = now, self._decide(introduced)
+
+    def _decide(self, introduced: DataFrame | None) -> DataFrame:
+        """Outcomes, given the introductions of new statuses (None: an id above the table's fails)."""
+        v = self._checked
+        if introduced is not None:
+            new = broadcast_if_small(introduced.select(
+                F.col("s_id").alias("_new_id"), F.col("status_name").alias("_new_name"),
+                F.struct("ts", "seq").alias("_since")))
+            v = (v.join(new, (F.col("_nid") == F.col("_new_id")) & (F.col("_since") < F.struct("ts", "seq")), "left")
+                 .withColumn("_sid", F.coalesce("_sid", "_new_id"))
+                 .withColumn("_id_name", F.coalesce("_id_name", "_new_name")).drop("_new_id", "_new_name", "_since"))
+        return v.withColumn("outcome", F.coalesce(
+            "_rejected", F.when((F.col("_nid") > 0) & F.col("_sid").isNull(), F.lit("invalid_status"))
+            .otherwise(F.lit("accepted"))))
+
     @cached_property
     def _by_name(self) -> DataFrame:
         return broadcast_if_small(
-            self._statuses_in.where(F.col("status_name").isNotNull())
-            .groupBy(ci("status_name").alias("_tk"))
+            self._statuses_in.groupBy(ci("status_name").alias("_tk"))
             .agg(F.min_by("status_name", "s_id").alias("_table_name"), F.min("s_id").alias("_table_sid")))
 
     @cached_property
     def _accepted(self) -> DataFrame:
-        acc = self._validated.where(F.col("outcome") == "accepted")
-        acc = acc.join(self._by_name, (F.col("_nid") <= 0) & (ci(F.col("_nname")) == F.col("_tk")), "left")
-        return checkpointed(acc.drop("_tk"))
+        return checkpointed(self._validated.where(F.col("outcome") == "accepted"))
 
     @cached_property
     def _new_rows(self) -> DataFrame:
-        """Candidate introductions of unknown names, first per case-insensitive name."""
-        acc, statuses = self._accepted, self._statuses_in
+        return self._introduced if self._introduced is not None else checkpointed(self._introductions(self._accepted))
+
+    def _introductions(self, acc: DataFrame) -> DataFrame:
+        """Introductions of unknown names by accepted updates, first per case-insensitive name."""
         from_new = (acc.where((F.col("_nid") <= 0) & F.col("_table_sid").isNull())
                     .select("ts", "seq", F.lit(0).alias("k"), F.col("_nname").alias("name"),
                             canonical_order(F.col("_nname")).alias("ord")))
@@ -229,16 +263,15 @@ class StatusBatch:
                            .agg(F.min(F.struct("ts", "seq", "_claim_status")).alias("_f"))
                            .select(F.col("_f.ts").alias("ts"), F.col("_f.seq").alias("seq"),
                                    F.col("_f._claim_status").alias("name")))
-        known = statuses.where(F.col("status_name").isNotNull()).select(ci("status_name").alias("_kk")).distinct()
-        from_old = (first_per_claim.join(known, ci(first_per_claim["name"]) == known["_kk"], "left_anti")
+        known = self._by_name.select(F.col("_tk").alias("_kk"))
+        from_old = (first_per_claim.join(known, ci(first_per_claim["name"]).eqNullSafe(known["_kk"]), "left_anti")
                     .select("ts", "seq", F.lit(1).alias("k"), "name", F.lit(UNLISTED_ORDER).alias("ord")))
         firsts = (from_new.unionByName(from_old)
                   .groupBy(ci("name").alias("_nk"))
                   .agg(F.min(F.struct("ts", "seq", "k", "name", "ord")).alias("_f"))
                   .select("_nk", "_f.ts", "_f.seq", "_f.k", "_f.name", "_f.ord"))
-        base_sid = statuses.agg(F.max("s_id")).first()[0] or 0
         numbered = number_rows(firsts, ["ts", "seq", "k"], out="_n")
-        return numbered.select("_nk", (F.lit(base_sid) + F.col("_n")).cast("int").alias("s_id"),
+        return numbered.select("_nk", (F.lit(self._top_sid) + F.col("_n")).cast("int").alias("s_id"), "ts", "seq",
                                F.col("name").alias("status_name"), F.col("ord").cast("int").alias("status_order"))
 
     @property
@@ -255,8 +288,7 @@ class StatusBatch:
     def _fresh(self) -> DataFrame:
         return broadcast_if_small(
             self._new_rows.select(F.col("_nk").alias("_fk"), F.col("s_id").alias("_fresh_sid"),
-                                  F.col("status_name").alias("_fresh_name")),
-            known_small=self._small)
+                                  F.col("status_name").alias("_fresh_name")))
 
     @cached_property
     def _resolved(self) -> DataFrame:
@@ -290,7 +322,7 @@ class StatusBatch:
         """New log rows; old status id looked up in the new table (a NULL name maps to the row made for it)."""
         old_known = self._by_name.select(F.col("_tk").alias("_ok"), F.col("_table_sid").alias("_old_table_sid"))
         old_fresh = self._fresh.select(F.col("_fk").alias("_of"), F.col("_fresh_sid").alias("_old_fresh_sid"))
-        hist = (self._replayed.join(old_known, ci(F.col("old_status")) == F.col("_ok"), "left")
+        hist = (self._replayed.join(old_known, ci(F.col("old_status")).eqNullSafe(F.col("_ok")), "left")
                 .join(old_fresh, ci(F.col("old_status")).eqNullSafe(F.col("_of")), "left"))
         hist = hist.withColumn("old_status_id", F.coalesce("_old_table_sid", "_old_fresh_sid"))
         base_log = self._history_in.agg(F.max("log_id")).first()[0] or 0

@@ -20,7 +20,7 @@ from ..streaming import jobs as T
 from .dashboard import STATUS_COUNTS_SQL
 from .registry import query
 from .submissions import INGEST_FX, _ingested
-from .updates import DOCUMENT_C, _state_sql
+from .updates import DOCUMENT_C, STATUS_CTES, STATUS_FX, _state_sql
 
 DOCUMENT_FIELDS = ["claim_id", "is_document_received", "document_received_date", "invoice_number"]
 DOCUMENT_ALIASES = {"is_document_received": ["physical_document_received"],
@@ -103,10 +103,9 @@ def _stream_submissions(t):
     return T.read_state(t.spark, state, "outcomes").select("seq", "outcome", "claim_id")
 
 
-@query("stream_status_updates", "T2")
+@query("stream_status_updates", "T2", STATUS_CTES + "\nSELECT seq, cid AS claim_id, outcome FROM v", STATUS_FX)
 def _stream_status_updates(t):
-    """Status updates fed as four JSON files in ``seq`` order (no SQL oracle: ids created by
-    one micro-batch are valid in the next, which a single SQL statement does not model)."""
+    """Status updates fed as four JSON files in ``seq`` order; one file per micro-batch."""
     root = _scratch(t, "stream-status")
     feed = os.path.join(root, "feed")
     T.write_feed(t["status_updates"], feed, "seq", chunks=4)

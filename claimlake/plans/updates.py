@@ -118,31 +118,43 @@ def _canonical_case(x: str) -> str:
     return f"CASE {x} {whens} ELSE {U.UNLISTED_ORDER} END"
 
 
+# The introductions are found one at a time: each step takes the earliest update after the
+# last introduction that is valid by then and names a status that nobody named before.
 STATUS_CTES = f"""
-WITH u AS (SELECT seq, ts, COALESCE(claim_id, 0) AS cid, COALESCE(new_status_id, 0) AS nid,
-    {text_or_empty('new_status_name')} AS nname, {text_or_empty('remarks')} AS rem, updated_by
+WITH RECURSIVE u AS (SELECT seq, ts, COALESCE(claim_id, 0) AS cid, COALESCE(new_status_id, 0) AS nid,
+    {text_or_empty('new_status_name')} AS nname, {text_or_empty('remarks')} AS rem, updated_by,
+    row_number() OVER (ORDER BY ts, seq) AS pos
   FROM fx_status_updates),
-v AS (SELECT u.*, r.r_id AS rid, r.status AS claim_status, s.s_id AS sid, s.status_name AS id_name,
-    CASE WHEN u.cid <= 0 OR (u.nid <= 0 AND u.nname = '') OR u.rem = '' THEN 'missing_input'
-         WHEN r.r_id IS NULL THEN 'not_found'
-         WHEN u.nid > 0 AND s.s_id IS NULL THEN 'invalid_status' ELSE 'accepted' END AS outcome
+top AS (SELECT COALESCE(max(s_id), 0) AS m FROM fx_statuses),
+byname AS (SELECT COALESCE(lower(rtrim(status_name)), chr(1)) AS k, arg_min(status_name, s_id) AS tname, min(s_id) AS tsid
+  FROM fx_statuses GROUP BY 1),
+w AS (SELECT u.*, r.r_id AS rid, r.status AS claim_status, s.s_id AS sid, s.status_name AS id_name, b.tname, b.tsid,
+    u.cid <= 0 OR (u.nid <= 0 AND u.nname = '') OR u.rem = '' AS missing
   FROM u LEFT JOIN fx_claims r ON r.r_id = u.cid
-  LEFT JOIN fx_statuses s ON u.nid > 0 AND s.s_id = u.nid),
-byname AS (SELECT lower(rtrim(status_name)) AS k, arg_min(status_name, s_id) AS tname, min(s_id) AS tsid
-  FROM fx_statuses WHERE status_name IS NOT NULL GROUP BY 1),
-a AS (SELECT v.*, b.tname, b.tsid FROM v LEFT JOIN byname b ON v.nid <= 0 AND b.k = lower(rtrim(v.nname))
-  WHERE v.outcome = 'accepted'),
+  LEFT JOIN fx_statuses s ON u.nid > 0 AND s.s_id = u.nid
+  LEFT JOIN byname b ON u.nid <= 0 AND b.k = lower(rtrim(u.nname))),
 cand AS (
-  SELECT ts, seq, 0 AS k, nname AS name, {_canonical_case('nname')} AS ord FROM a WHERE nid <= 0 AND tsid IS NULL
+  SELECT pos, 0 AS k, 0 AS need, nname AS name, {_canonical_case('nname')} AS ord, lower(rtrim(nname)) AS nk
+  FROM w WHERE NOT missing AND rid IS NOT NULL AND nid <= 0 AND tsid IS NULL
   UNION ALL
-  SELECT ts, seq, 1 AS k, claim_status AS name, {U.UNLISTED_ORDER} AS ord
-  FROM (SELECT a.*, row_number() OVER (PARTITION BY cid ORDER BY ts, seq) AS rn FROM a) f
-  WHERE rn = 1 AND (claim_status IS NULL OR NOT EXISTS (
-    SELECT 1 FROM fx_statuses s WHERE lower(rtrim(s.status_name)) = lower(rtrim(f.claim_status))))),
-firsts AS (SELECT * FROM (SELECT cand.*, row_number() OVER (PARTITION BY lower(rtrim(name)) ORDER BY ts, seq, k) AS rn
-  FROM cand) WHERE rn = 1),
-newst AS (SELECT CAST((SELECT max(s_id) FROM fx_statuses) + row_number() OVER (ORDER BY ts, seq, k) AS INTEGER) AS s_id,
-    name AS status_name, CAST(ord AS INTEGER) AS status_order, lower(rtrim(name)) AS nk FROM firsts),
+  SELECT pos, 1, CASE WHEN nid > 0 AND sid IS NULL THEN nid - m ELSE 0 END, claim_status, {U.UNLISTED_ORDER},
+    COALESCE(lower(rtrim(claim_status)), chr(1))
+  FROM w, top WHERE NOT missing AND rid IS NOT NULL AND (nid <= 0 OR sid IS NOT NULL OR nid > m)
+    AND COALESCE(lower(rtrim(claim_status)), chr(1)) NOT IN (SELECT k FROM byname)),
+chain(pos, k, name, ord, nk, named) AS (
+  SELECT CAST(0 AS BIGINT), 0, CAST(NULL AS VARCHAR), 0, CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT * FROM (SELECT c.pos, c.k, c.name, c.ord, c.nk, list_append(chain.named, c.nk)
+    FROM chain JOIN cand c ON (c.pos > chain.pos OR (c.pos = chain.pos AND c.k > chain.k))
+      AND c.need <= len(chain.named) AND NOT list_contains(chain.named, c.nk)
+    ORDER BY c.pos, c.k LIMIT 1)),
+newst AS (SELECT CAST(m + len(named) AS INTEGER) AS s_id, name AS status_name, CAST(ord AS INTEGER) AS status_order,
+    nk, pos AS since FROM chain, top WHERE pos > 0),
+v AS (SELECT w.* REPLACE (COALESCE(w.sid, n.s_id) AS sid, CASE WHEN w.sid IS NULL THEN n.status_name ELSE w.id_name END AS id_name),
+    CASE WHEN missing THEN 'missing_input' WHEN rid IS NULL THEN 'not_found'
+         WHEN nid > 0 AND w.sid IS NULL AND n.s_id IS NULL THEN 'invalid_status' ELSE 'accepted' END AS outcome
+  FROM w LEFT JOIN newst n ON n.s_id = w.nid AND n.since < w.pos),
+a AS (SELECT * FROM v WHERE outcome = 'accepted'),
 res AS (SELECT a.*,
     CASE WHEN a.nid > 0 THEN a.id_name WHEN a.tsid IS NOT NULL THEN a.tname ELSE n.status_name END AS new_status,
     CASE WHEN a.nid > 0 THEN a.nid WHEN a.tsid IS NOT NULL THEN a.tsid ELSE n.s_id END AS new_status_id
@@ -182,13 +194,12 @@ def _status_replay(t):
 
 
 @query("status_history", "W9", STATUS_CTES + """,
-ob AS (SELECT lower(rtrim(status_name)) AS k, min(s_id) AS sid FROM fx_statuses
-       WHERE status_name IS NOT NULL GROUP BY 1)
+ob AS (SELECT k, tsid AS sid FROM byname)
 SELECT CAST((SELECT max(log_id) FROM fx_history) + row_number() OVER (ORDER BY rep.ts, rep.seq) AS BIGINT) AS log_id,
   rep.rem AS remarks, rep.ts AS updated_at, rep.cid AS claim_requests_id, rep.updated_by,
   CAST(COALESCE(ob.sid, n.s_id) AS INTEGER) AS old_status_id, CAST(rep.new_status_id AS INTEGER) AS new_status_id
-FROM rep LEFT JOIN ob ON ob.k = lower(rtrim(rep.old_status))
-LEFT JOIN newst n ON n.nk IS NOT DISTINCT FROM lower(rtrim(rep.old_status))""", STATUS_FX + ("history",))
+FROM rep LEFT JOIN ob ON ob.k = COALESCE(lower(rtrim(rep.old_status)), chr(1))
+LEFT JOIN newst n ON n.nk = COALESCE(lower(rtrim(rep.old_status)), chr(1))""", STATUS_FX + ("history",))
 def _status_history(t):
     return _status_batch(t).history
 

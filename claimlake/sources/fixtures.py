@@ -208,6 +208,8 @@ def with_fixtures(body: str, *names: str) -> str:
             views.append(v)
     ctes = ",\n".join(f"{v} AS ({FIXTURE_SQL[v].strip()})" for v in views)
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":  # the body's own CTEs follow the fixtures
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -259,22 +259,47 @@ def test_status_updates_resolve_insert_and_replay(spark):
         (1, t, 1, 0, "received document", "r1", 5),     # stored spelling, old 'Legacy' inserted
         (2, t, 1, 0, "Rejected by Doctor", "r2", 5),     # new canonical spelling → order 60
         (3, t, 2, 0, "rejected BY doctor", "r3", 5),     # found (inserted by seq 2)
-        (4, t, 2, 9, "", "r4", 5),                       # unknown id
+        (4, t, 2, 9, "", "r4", 5),                       # id of 'Legacy', inserted by seq 1
         (5, t, 1, 8, "", " ", 5),                        # blank remark
         (6, t, 7, 8, "", "r6", 5),                       # no such claim
+        (7, t, 2, 11, "", "r7", 5),                      # id never introduced
     ], schema)
     res = UP.apply_status_updates(ups, claims, statuses, history)
     assert {r.seq: r.outcome for r in res.outcomes.collect()} == {
-        1: "accepted", 2: "accepted", 3: "accepted", 4: "invalid_status", 5: "missing_input", 6: "not_found"}
+        1: "accepted", 2: "accepted", 3: "accepted", 4: "accepted", 5: "missing_input", 6: "not_found", 7: "invalid_status"}
     new = {r.status_name: (r.s_id, r.status_order) for r in res.new_statuses.collect()}
     assert new == {"Legacy": (9, 999), "Rejected by Doctor": (10, 60)}
     replay = {r.seq: (r.old_status, r.new_status) for r in res.replay.collect()}
     assert replay == {1: ("Legacy", "Received Document"), 2: ("Received Document", "Rejected by Doctor"),
-                      3: ("paid", "Rejected by Doctor")}
+                      3: ("paid", "Rejected by Doctor"), 4: ("Rejected by Doctor", "Legacy")}
     hist = {r.log_id: (r.claim_requests_id, r.old_status_id, r.new_status_id) for r in res.history.collect()}
-    assert hist == {101: (1, 9, 2), 102: (1, 2, 10), 103: (2, 8, 10)}
+    assert hist == {101: (1, 9, 2), 102: (1, 2, 10), 103: (2, 8, 10), 104: (2, 10, 9)}
     final = {r.r_id: r.status for r in res.claims.collect()}
-    assert final == {1: "Rejected by Doctor", 2: "Rejected by Doctor"}
+    assert final == {1: "Rejected by Doctor", 2: "Legacy"}
+
+
+def test_status_ids_are_valid_from_their_introduction_on(spark):
+    """An id counts from the update after its introduction; an accepted late id may introduce the next one."""
+    claims = table(spark, "claims", [claim(1, status="Old A"), claim(2, status="Old B"), claim(3, status="paid"),
+                                     claim(4, status=None)])
+    statuses = table(spark, "statuses", STATUSES)
+    history = table(spark, "history", [])
+    t = dt.datetime(2024, 5, 1)
+    ups = _updates(spark, [
+        (1, t, 3, 9, "", "r", 5),        # nothing has id 9 yet
+        (2, t, 1, 0, "paid", "r", 5),    # introduces 'Old A' as 9
+        (3, t, 2, 9, "", "r", 5),        # valid now; introduces 'Old B' as 10
+        (4, t, 3, 10, "", "r", 5),       # valid through seq 3
+        (5, t, 4, 10, "", "r", 5),       # introduces NULL as 11
+        (6, t, 3, 12, "", "r", 5),       # never introduced
+    ], "seq long, ts timestamp_ntz, claim_id int, new_status_id int, new_status_name string, remarks string, updated_by int")
+    res = UP.apply_status_updates(ups, claims, statuses, history)
+    assert [r.outcome for r in res.outcomes.orderBy("seq").collect()] == [
+        "invalid_status", "accepted", "accepted", "accepted", "accepted", "invalid_status"]
+    assert {r.s_id: r.status_name for r in res.new_statuses.collect()} == {9: "Old A", 10: "Old B", 11: None}
+    assert {r.r_id: r.status for r in res.claims.collect()} == {1: "Paid", 2: "Old A", 3: "Old B", 4: "Old B"}
+    assert [(r.old_status_id, r.new_status_id) for r in res.history.orderBy("log_id").collect()] == [
+        (9, 8), (10, 9), (8, 10), (11, 10)]
 
 
 def test_latest_remark_fallbacks(spark):
