@@ -481,7 +481,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = F.col("n") == 0
     key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
     least = joined.filter(~alone).groupBy("label").agg(F.min(key).alias("k"))
-    least = least.select("label", F.col("k.doc_id").alias("component_id"), F.col("k.row").alias("least_row"))
+    # written first, like the large regions: the join with a large component's rows can then be split
+    least = materialize(least.select("label", F.col("k.doc_id").alias("component_id"), F.col("k.row").alias("least_row")), "component-ids")
     full = joined.filter(~alone).join(least, "label").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("least_row")).alias("first"))
     empty = joined.filter(alone).select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return full.unionByName(empty)
