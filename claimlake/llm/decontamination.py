@@ -43,12 +43,17 @@ COMMON = 0.05
 SHARD_ITEMS = 20_000
 K1, B = 1.2, 0.75
 
-_FOLD = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
+_FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
-    """Words: runs of ASCII letters and digits, in lower case, and of non-ASCII bytes."""
-    return text.encode("utf-8").translate(_FOLD).split()
+    """Words: runs of letters and digits (Unicode's), case-folded, as UTF-8."""
+    text = text.casefold()
+    if not text.isascii():
+        for c in set(text):
+            if c > "\x7f" and not c.isalnum():
+                text = text.replace(c, " ")
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
 def grams(words: list) -> set:

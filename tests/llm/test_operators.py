@@ -306,6 +306,18 @@ def test_decontamination(spark, stored):
     assert decontamination.matches(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_ignores_case_and_punctuation_beyond_ascii(spark):
+    rng = random.Random(9)
+    items = [(i, prose(rng, 20).capitalize() + ". " + prose(rng, 12).capitalize() + ".") for i in range(60)]
+    changes = [str.upper, str.title, lambda t: "\u201c" + t.replace(" ", "\u00a0\u2014 ") + "\u201d", lambda t: t.replace(" ", "_")]
+    docs = spark.createDataFrame([(100 * k + i, change(t)) for k, change in enumerate(changes) for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs, bench).collect()}
+    assert got == {(100 * k + i, i) for k in range(len(changes)) for i, _ in items}
+    assert decontamination.clean(docs, bench).count() == 0
+    assert decontamination.words_of("STRASSE \u00c9t\u00c9_\u00ab\u0645\u0663\u00bb") == decontamination.words_of("stra\u00dfe, \u00e9t\u00e9 \u0645\u0663")
+
+
 def test_wand_retrieves_what_full_scoring_does():
     rng = random.Random(6)
     index = decontamination.ItemIndex([(i, prose(rng, 15)) for i in range(80)])
