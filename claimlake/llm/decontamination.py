@@ -16,7 +16,11 @@ must each overlap the passage's word trigrams by ``OVERLAP``.
 A passage is a window of twice the words of the longest item, every window
 beginning at half of the former, so an item of any place lies whole in one.
 Whole texts are read; the corpus is never shuffled.  The items are taken in
-shards of at most ``SHARD_ITEMS``, each collected, indexed and broadcast.
+shards of ``SHARD_ITEMS`` on average (by hash), each collected, indexed and
+broadcast.  What BM25 and the passages take from the items as a whole (their
+number, words, longest one and each term's holders) is counted over all items
+by Spark and given to every shard, so shards change no result.  Repeated item
+rows are counted before that and are one entry of a shard.
 
 Defined cases: null and empty texts hold no passage and match nothing; items
 without words are left out, equal items are each reported; a repeated row gives
@@ -30,17 +34,21 @@ import math
 import re
 from collections import Counter
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 THRESHOLD = 0.5
 OVERLAP = 0.5
 GRAM = 3
 BLOCK_ITEMS = 4
 COMMON = 0.05
 SHARD_ITEMS = 20_000
+FLUSH_TERMS = 1 << 18
 K1, B = 1.2, 0.75
 
 _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -69,25 +77,51 @@ def question_and_answer(text: str) -> tuple[list, list]:
     return [w for s in sentences[:-1] for w in s], sentences[-1]
 
 
+class Totals(NamedTuple):
+    """Figures over all items with words, a repeated row counted each time."""
+
+    items: int
+    words: int
+    longest: int
+    holders: dict[bytes, int]  # items of each term (in a shard: of the shard's terms)
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str, int]]) -> Totals:
+        """Of (id, text, rows)."""
+        words = [(w, n) for w, n in ((words_of(t), n) for _, t, n in items) if w]
+        holders: Counter = Counter()
+        for w, n in words:
+            for term in set(w):
+                holders[term] += n
+        return cls(sum(n for _, n in words), sum(len(w) * n for w, n in words), max((len(w) for w, _ in words), default=1), holders)
+
+
 class ItemIndex:
-    """BM25 impacts of items over their terms, as shares of each item's own score."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        kept = [(i, t, words_of(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0], x[1]))]
-        kept = [(i, t, w) for i, t, w in kept if w]
-        holders = Counter(t for _, _, w in kept for t in set(w))
-        kept.sort(key=lambda x: sum(self.idf(len(kept), holders[t]) for t in set(x[2])))
-        self.ids = [i for i, _, _ in kept]
-        parts = [question_and_answer(t) for _, t, _ in kept]
+    """BM25 impacts of items over their terms, as shares of each item's own score.
+
+    ``items`` are (id, text) or (id, text, rows with these); ``totals`` are those of
+    all items where these are a shard.
+    """
+
+    def __init__(self, items: list[tuple], totals: Totals | None = None):
+        rows = [(*x, 1)[:3] for x in items]
+        totals = totals or Totals.of(rows)
+        holders, every = totals.holders, totals.items
+        kept = [(i, t, words_of(t), r) for i, t, r in sorted(rows, key=lambda x: (x[0] is None, x[0], x[1]))]
+        kept = [x for x in kept if x[2]]
+        kept.sort(key=lambda x: math.fsum(self.idf(every, holders[t]) for t in set(x[2])))
+        self.ids = [i for i, _, _, _ in kept]
+        self.rows = [r for _, _, _, r in kept]
+        parts = [question_and_answer(t) for _, t, _, _ in kept]
         self.questions = [grams(q) for q, _ in parts]
         self.answers = [grams(a) for _, a in parts]
-        self.longest = max((len(w) for _, _, w in kept), default=1)
+        self.longest = totals.longest
         n = len(kept)
-        mean = sum(len(w) for _, _, w in kept) / max(n, 1)
+        mean = totals.words / max(every, 1)
         postings: dict[bytes, list[tuple[int, float]]] = {}
-        for item, (_, _, words) in enumerate(kept):
+        for item, (_, _, words, _) in enumerate(kept):
             norm = K1 * (1 - B + B * len(words) / mean)
-            impact = {t: self.idf(n, holders[t]) * f * (K1 + 1) / (f + norm) for t, f in Counter(words).items()}
+            impact = {t: self.idf(every, holders[t]) * f * (K1 + 1) / (f + norm) for t, f in Counter(words).items()}
             own = sum(impact.values())
             for term, value in impact.items():
                 postings.setdefault(term, []).append((item, value / own))
@@ -135,6 +169,7 @@ class ItemIndex:
         first item at which the maxima of the lists up to it can reach the
         threshold: items before it are passed over unscored.
         """
+        reach = threshold * (1 - 1e-9)  # rounding must not lose an item
         found = []
         for block in blocks:
             lists = [self.postings[t].get(block) for t in terms]
@@ -145,20 +180,21 @@ class ItemIndex:
                 bound, pivot = 0.0, None
                 for c in cursors:
                     bound += c[2]
-                    if bound >= threshold:
+                    if bound >= reach:
                         pivot = c[0]
                         break
                 if pivot is None:
                     break
-                score = 0.0
+                shares = []
                 for c in cursors:
                     postings = c[3]
                     while c[1] < len(postings) and postings[c[1]][0] < pivot:
                         c[1] += 1
                     if c[1] < len(postings) and postings[c[1]][0] == pivot:
-                        score += postings[c[1]][1]
+                        shares.append(postings[c[1]][1])
                         c[1] += 1
                     c[0] = postings[c[1]][0] if c[1] < len(postings) else -1
+                score = math.fsum(shares)  # in any order of the terms
                 if score >= threshold:
                     found.append((pivot, score))
                 cursors = [c for c in cursors if c[0] >= 0]
@@ -172,7 +208,7 @@ class ItemIndex:
         return (a if q is None else q), (q if a is None else a)
 
     def match(self, texts: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[tuple]]:
-        """Per text: (item id, passage, score, question share, answer share), the best passage of each item."""
+        """Per text: (item id, passage, score, question share, answer share, rows of the item), the best passage of each item."""
         out: list[list[tuple]] = [[] for _ in texts]
         stride = self.longest
         get = self.terms.get
@@ -222,17 +258,56 @@ class ItemIndex:
                     row = (min(q, w), score, -s, q, w)
                     best[d, item] = max(best.get((d, item), row), row)
         for (d, item), (_, score, s, q, w) in sorted(best.items()):
-            out[d].append((self.ids[item], -s, score, q, w))
+            out[d].append((self.ids[item], -s, score, q, w, self.rows[item]))
         return out
 
 
+def shard_terms(rows: DataFrame) -> DataFrame:
+    """Partial counts over (i, t, n, shard): shard, term, items with it; without shard and term: items, words, longest."""
+    def run(batches):
+        import pyarrow as pa
+
+        held: Counter = Counter()
+        items = words = longest = 0
+
+        def flush(totals):
+            keys = list(held)
+            shard, term = [s for s, _ in keys] + [None] * len(totals), [t for _, t in keys] + [None] * len(totals)
+            n, w, m = ([held[k] for k in keys] + [t[0] for t in totals], *([None] * len(keys) + [t[k] for t in totals] for k in (1, 2)))
+            columns = [pa.array(shard, pa.int64()), pa.array(term, pa.binary()), *(pa.array(c, pa.int64()) for c in (n, w, m))]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "term", "items", "words", "longest"])
+
+        for batch in batches:
+            for text, n, shard in zip(*(c.to_pylist() for c in batch.columns)):
+                found = words_of(text)
+                items += n if found else 0
+                words += n * len(found)
+                longest = max(longest, len(found))
+                for term in set(found):
+                    held[shard, term] += n
+                if len(held) >= FLUSH_TERMS:
+                    yield flush([])
+                    held.clear()
+        yield flush([(items, words, longest)])
+
+    return rows.select("t", "n", "shard").mapInArrow(run, "shard long, term binary, items long, words long, longest long")
+
+
 def item_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Indexes of the items, at most SHARD_ITEMS (by hash) each on average."""
+    """Indexes of the items, SHARD_ITEMS distinct ones (by hash) each on average, under the totals of all."""
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
+    rows = materialize(rows.groupBy("i", "t").agg(F.count("*").alias("n")), "decontamination-items")
     shards = max(1, -(-rows.count() // SHARD_ITEMS))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
+    counts = materialize(shard_terms(rows), "decontamination-counts")
+    every = counts.filter("term is null").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")).first()
+    known = counts.filter("term is not null")
+    holders = materialize(known.groupBy("term").agg(F.sum("items").alias("n")), "decontamination-terms")
     for shard in range(shards):
-        part = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == shard)
-        yield ItemIndex([(r.i, r.t) for r in part.collect()])
+        terms = known.filter(F.col("shard") == shard).select("term").distinct().join(holders, "term").select("term", "n")
+        totals = Totals(every["items"] or 0, every["words"] or 0, every["longest"] or 1, {bytes(r.term): r.n for r in terms.toLocalIterator()})
+        part = rows.filter(F.col("shard") == shard).select("i", "t", "n").collect()
+        yield ItemIndex([(r.i, r.t, r.n) for r in part], totals)
 
 
 MATCH = "item_id long, passage long, score double, question_overlap double, answer_overlap double"
@@ -251,13 +326,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             for batch in batches:
                 found = shared.value.match(batch.column(1).to_pylist())
                 flat = [(d, *m) for d, ms in zip(batch.column(0).to_pylist(), found) for m in ms]
-                columns = list(zip(*flat)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"])
+                columns = list(zip(*flat)) or [()] * 7
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap", "rows"])
 
-        part = rows.mapInArrow(run, f"doc_id long, {MATCH}")
+        part = rows.mapInArrow(run, f"doc_id long, {MATCH}, rows long")
         out = part if out is None else out.unionByName(part)
-    return out
+    # a repeated item row gives its rows again
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("rows", "copy")
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:

@@ -318,6 +318,31 @@ def test_decontamination_ignores_case_and_punctuation_beyond_ascii(spark):
     assert decontamination.words_of("STRASSE \u00c9t\u00c9_\u00ab\u0645\u0663\u00bb") == decontamination.words_of("stra\u00dfe, \u00e9t\u00e9 \u0645\u0663")
 
 
+def test_decontamination_in_shards_is_that_of_one_index(spark, monkeypatch):
+    """Partly copied items near the bounds, a long item and one that a third of the item rows repeat."""
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(6, 25)).capitalize() + ". " + prose(rng, rng.randint(3, 12)).capitalize() + "." for _ in range(70)]
+    texts[11] = prose(rng, 150) + ". " + prose(rng, 20) + "."
+    items = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5])] * 35 + [(70, None), (71, " "), (None, texts[8]), (None, texts[8])]
+    parts = []
+    for i, t in enumerate(texts):
+        words = t.split()
+        parts += [(i, " ".join(w if rng.random() < keep else "qq" for w in words)) for keep in (1, 0.95, 0.9, 0.8)]
+    docs = spark.createDataFrame(parts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes, build = [], decontamination.ItemIndex.__init__
+    monkeypatch.setattr(decontamination.ItemIndex, "__init__", lambda self, given, *more: (sizes.append(len(given)), build(self, given, *more))[1])
+    one = sorted(rows_of(decontamination.matches(docs, bench)), key=str)
+    assert len(sizes) == 1
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 12)
+    many = sorted(rows_of(decontamination.matches(docs, bench)), key=str)
+    assert many == one and len(sizes) == 1 + 6
+    assert max(sizes[1:]) <= 30 and sum(sizes[1:]) == 72
+    whole = decontamination.ItemIndex([r for r in items if r[1] is not None])
+    want = [(d, *m[:5]) for (d, _), ms in zip(parts, whole.match([t for _, t in parts])) for m in ms]
+    assert one == sorted(want, key=str) and sum(r[1] == 5 for r in one) % 36 == 0 and len({r[1] for r in one}) == 71
+
+
 def test_wand_retrieves_what_full_scoring_does():
     rng = random.Random(6)
     index = decontamination.ItemIndex([(i, prose(rng, 15)) for i in range(80)])
