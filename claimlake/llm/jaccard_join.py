@@ -34,6 +34,9 @@ group of near copies of any size is linear, and no task holds more than two
 blocks.  Sets travel to their regions as deflated text, a quarter of the size of
 their hashes, and are hashed again there.
 
+*Rows* are numbered once: the numbers are written with the texts, and all steps
+read that table, so other splits of a later scan cannot renumber anything.
+
 Defined cases: null, empty and blank texts have an empty set, link to nothing
 and are their own component; repeated rows and ids are members of their
 class; a null doc_id is member of its component but never names it, unless all
@@ -68,7 +71,12 @@ RADIUS = 1 - PERCENT / 100
 
 # --- sets --------------------------------------------------------------------
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` with a number of each row in column ``name``, written once."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
+
+
+def set_rows(docs: DataFrame) -> DataFrame:
     """Two kinds of rows: (row, doc_id, set, n) of each document, and (bucket, blob) of window shingles."""
     def run(batches):
         import pyarrow as pa
@@ -104,8 +112,7 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     names = ["row", "doc_id", "set", "n", "bucket", "blob"]
     buckets = bucket_count(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, set binary, n long, bucket long, blob binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, set binary, n long, bucket long, blob binary")
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -162,7 +169,7 @@ def window(hashes: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 # --- regions -----------------------------------------------------------------
 
-def window_entries(docs: DataFrame, heavy: np.ndarray, text_col: str) -> DataFrame:
+def window_entries(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     """(bucket, blob of ENTRY): each set in the cells of its window, once per task."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY_ROWS numbers
     buckets = bucket_count(docs)
@@ -199,7 +206,7 @@ def window_entries(docs: DataFrame, heavy: np.ndarray, text_col: str) -> DataFra
                 seen = set() if len(seen) > 1 << 18 else seen
         yield flush()
 
-    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "bucket long, blob binary")
+    return docs.select("text").mapInArrow(run, "bucket long, blob binary")
 
 
 def parts(cell: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -435,7 +442,7 @@ def _across(outside: DataFrame, members: DataFrame, sets: DataFrame) -> DataFram
     return dealt.mapInArrow(run, "a binary, b binary, region binary").select("a", "b")
 
 
-def region_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, text_col: str) -> DataFrame:
+def region_sets(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     """set, packed (the deflated text) of every set that is in a region, from one document each."""
     wanted = members.select("set").distinct()
     one = rows.filter("n > 0").groupBy("set").agg(F.min("row").alias("row")).join(wanted, "set")
@@ -447,8 +454,7 @@ def region_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, text_col:
             packed = [pack_text(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["row", "packed"])
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
-    packed = texts.mapInArrow(run, "row long, packed binary")
+    packed = docs.select("row", "text").mapInArrow(run, "row long, packed binary")
     return materialize(packed.join(one, "row").select("set", "packed"), "region-sets")
 
 
@@ -457,14 +463,18 @@ def region_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, text_col:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, n_shingles, component_id, first of every input row.
 
-    ``row`` is the row's number in ``docs``, which must be a scan of files;
-    ``first`` marks one row of each component.
+    ``row`` is a number of the row; ``first`` marks one row of each component.
     """
-    written = materialize(set_rows(docs, id_col, text_col), "shingle-rows")
+    return _components(numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """:func:`near_duplicates` of a written table row, doc_id, text."""
+    written = materialize(set_rows(docs), "shingle-rows")
     rows = written.filter("row is not null").select("row", "doc_id", "set", "n")
     heavy = heavy_shingles(written.filter("row is null").select("bucket", "blob"))
-    members = materialize(regions(window_entries(docs, heavy, text_col)), "regions")
-    sets = region_sets(docs, rows, members, text_col)
+    members = materialize(regions(window_entries(docs, heavy)), "regions")
+    sets = region_sets(docs, rows, members)
     # written first: the join then splits or broadcasts, and no task needs a whole region for its count
     large = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("blocks")).filter("blocks > 1")
     large = materialize(large, "large-regions")
@@ -490,6 +500,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component; texts without words all stay."""
-    kept = materialize(near_duplicates(docs, id_col, text_col).filter("first").select("row"), "kept-rows")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(kept.withColumnRenamed("row", "__row"), "__row", "left_semi").drop("__row")
+    stored = numbered(docs, "__row")
+    rows = stored.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    kept = materialize(_components(rows).filter("first").select(F.col("row").alias("__row")), "kept-rows")
+    return stored.join(kept, "__row", "left_semi").drop("__row")

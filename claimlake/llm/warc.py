@@ -44,13 +44,14 @@ def base32_sha1(data: bytes) -> str:
 def classify(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
     """row, id, url, payload, and of the response that an equal payload has: first_row, first_id.
 
-    The responses of equal payloads come from a partial aggregate over
+    Rows are numbered once and written with their number, so both sides of the
+    join read the same numbers however a scan is split.  The responses of equal payloads come from a partial aggregate over
     (digest, id); the join back is a plain equi-join on the digest, whose hot
     keys adaptive execution splits.
     """
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
                         F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
+    rows = materialize(rows.withColumn("digest", F.sha1("payload")), "warc-rows")
     firsts = (rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest")
               .agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("f"), F.count("*").alias("n"))
               .filter("n > 1").select("digest", F.col("f.id").alias("first_id"), F.col("f.row").alias("first_row")))

@@ -104,6 +104,39 @@ def test_byte_bpe_is_tiktoken(spark, stored):
     assert byte_bpe.round_trip_digests(stored.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.fixture
+def other_splits(spark, monkeypatch):
+    """Files are dealt to partitions of several until an operator has written its first table, then of one each."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+
+    def use(module):
+        write = module.materialize
+
+        def written(*args):
+            out = write(*args)
+            spark.conf.set(name, "128m")
+            return out
+
+        monkeypatch.setattr(module, "materialize", written)
+        spark.conf.set(name, "0")
+
+    yield use
+    spark.conf.set(name, before)
+
+
+def test_warc_numbers_rows_once(spark, tmp_path, other_splits):
+    pages = [(i, f"http://h/{i}", f"<p>{i % 7}</p>" if i % 3 else f"own {i}") for i in range(60)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(8).write.parquet(str(tmp_path / "p"))
+    other_splits(warc)
+    captures = warc.assemble(warc.read_warc(warc.write_warc(spark.read.parquet(str(tmp_path / "p")))))
+    first: dict = {}
+    for i, _, html in pages:
+        first.setdefault(html, i)
+    got = sorted(rows_of(warc.capture_digests(captures).select("page_id", "record_type", "refers_to")))
+    assert got == [(i, "response", None) if first[h] == i else (i, "revisit", first[h]) for i, _, h in pages]
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://a/", "<p>x</p>", 1), (1, None, "<p>x</p>", 1), (2, "http://b\r\nc", None, 1), (4, "u", "", 1), (None, "u", "é" * 50_000, 1), (1, None, "<p>x</p>", 1)],
                                   "page_id long, url string, html string, row int")
@@ -176,6 +209,20 @@ def test_jaccard_join(stored):
     assert jaccard_join.near_duplicates(stored.limit(0)).count() == 0
 
 
+def test_jaccard_join_numbers_rows_once(spark, tmp_path, other_splits):
+    rng = random.Random(21)
+    base = [prose(rng, 60) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base + [t + " end" for t in base[:15]] + base[10:25])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
+    other_splits(jaccard_join)
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+    want = brute_components(rows)
+    assert sorted(rows_of(got), key=str) == want
+    other_splits(jaccard_join)
+    assert sorted(rows_of(jaccard_join.keep_first(docs))) == sorted(r for r in rows if r[0] in {c for _, _, c in want})
+
+
 def test_jaccard_join_divided_regions(spark, tmp_path, monkeypatch):
     """Groups larger than a block, with members outside the pivot's threshold."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
