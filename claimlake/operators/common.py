@@ -84,52 +84,45 @@ def php_int(value, default: int = 0) -> int:
     return int(m.group(1)) if m else 0
 
 
-# Inputs up to this many rows are numbered by a plain window (one task sorts at
-# most this many rows); larger ones take the distributed path below.
-SMALL_NUMBERING_ROWS = 100_000
-
-
 def number_rows(df: DataFrame, order_by: list[str], group_by: list[str] | None = None,
-                out: str = "row_no", num_partitions: int | None = None,
-                small_rows: int = SMALL_NUMBERING_ROWS) -> DataFrame:
-    """Exact 1-based ``row_number()`` in ``order_by`` order within ``group_by``.
+                out: str = "row_no", num_partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """Exact 1-based ``row_number()`` in ``order_by`` order within ``group_by``; one way for every size.
 
     ``order_by`` (ascending, NULLs first) must be unique within a group, so
-    that positions are repeatable.  An input proven to hold at most
-    ``small_rows`` rows is numbered by a plain ``row_number()`` window instead.  Unlike a
-    window, no task ever holds a whole group: rows are range-partitioned on
-    (group, order) so a large group spans many partitions, each row takes its
-    position inside its partition after a local sort, and one count per
-    (group, partition) piece supplies the offset of the earlier pieces.  With no
-    groups the piece table has at most ``num_partitions`` rows.
+    that positions are repeatable.  A two-pass prefix sum: rows are
+    range-partitioned on (group, order), so a large group spans many partitions
+    and no task holds a whole one; each row takes its position inside its
+    partition after a local sort; one count per (group, partition) piece gives
+    the offset of the earlier pieces.  With no groups the piece table has at
+    most ``num_partitions`` rows.  ``total`` names a further column for the
+    number of rows of the group.
     """
     group_by = list(group_by or [])
     keys = group_by + list(order_by)
-    spark = df.sparkSession
-    if small_rows > 0 and is_small(df, small_rows):
-        # proven small: no group (and no task) can hold more than small_rows rows
-        w = Window.partitionBy(*group_by).orderBy(*order_by) if group_by else Window.orderBy(*order_by)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Materialized once (reliable checkpoint in the shared folder): the piece
-    # counts and the rows must see the same partition of every row, and range
-    # bounds drawn from a sample are not repeatable when input order varies.
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once (reliable checkpoint in the shared folder): the piece counts
+    # and the rows must see the same partition of every row, and range bounds
+    # drawn from a sample are not repeatable when input order varies.
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_part", F.shiftright("_mid", 33))
               .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))))
     tagged = checkpointed(tagged)
-    before = Window.partitionBy(*group_by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group_by)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (tagged.groupBy(*group_by, "_part")
               .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-              .withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-              .drop("_cnt"))
+              .withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0))))
+    extra = []
+    if total is not None:
+        pieces = pieces.withColumn("_total", F.sum("_cnt").over(whole))
+        extra = [F.col("_total").alias(total)]
     pieces = pieces.select(*[F.col(g).alias(f"_pg{i}") for i, g in enumerate(group_by)],
-                           F.col("_part").alias("_pp"), "_first", "_before")
-    # without groups: one row per partition, bounded by n; with groups: size-checked
-    pieces = F.broadcast(pieces) if not group_by else broadcast_if_small(pieces)
+                           F.col("_part").alias("_pp"), "_first", "_before", *(["_total"] if extra else []))
+    # without groups: one row per partition, bounded by n; with groups: left to the planner, no key is hot on either side
+    pieces = F.broadcast(pieces) if not group_by else pieces
     cond = [F.col("_part") == F.col("_pp")]
     cond += [F.col(g).eqNullSafe(F.col(f"_pg{i}")) for i, g in enumerate(group_by)]
     numbered = tagged.join(pieces, cond, "inner")
     pos = (F.col("_pos") - F.col("_first") + F.col("_before") + 1).cast("long")
-    return numbered.select(*[F.col(c) for c in df.columns], pos.alias(out))
+    return numbered.select(*[F.col(c) for c in df.columns], pos.alias(out), *extra)

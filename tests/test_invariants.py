@@ -76,15 +76,14 @@ def test_number_rows_exact_under_a_hot_group(spark):
     df = spark.range(n).select(
         F.col("id").alias("seq"),
         F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 997).alias("g"))
-    # small_rows=0 forces the distributed path (the window path is exact by construction)
-    got = number_rows(df, ["seq"], ["g"], out="pos", num_partitions=16, small_rows=0)
+    got = number_rows(df, ["seq"], ["g"], out="pos", num_partitions=16)
     want = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("seq")))
     bad = got.join(want, ["seq", "g"]).where(F.col("pos") != F.col("want"))
     assert got.count() == n and bad.count() == 0
-    glob = number_rows(df, ["seq"], out="pos", num_partitions=16, small_rows=0)
+    glob = number_rows(df, ["seq"], out="pos", num_partitions=16)
     assert glob.where(F.col("pos") != F.col("seq") + 1).count() == 0
-    small = number_rows(df, ["seq"], ["g"], out="pos")
-    assert small.join(want, ["seq", "g"]).where(F.col("pos") != F.col("want")).count() == 0
+    default = number_rows(df, ["seq"], ["g"], out="pos")
+    assert default.join(want, ["seq", "g"]).where(F.col("pos") != F.col("want")).count() == 0
 
 
 def test_deep_pages_use_exact_fallback(spark, tables_small):
