@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import configure, read_table
 
@@ -125,3 +126,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import removal_summary
 
     return removal_summary(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by their likeness to the benchmark."""
+    from .importance_resampling import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_merkle_manifest")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaves, subroots and proofs of all documents; every fifth is checked with changed text."""
+    from .merkle_manifest import manifest
+
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest(read_table(spark, sf_dir, "documents"), tampered=changed)
