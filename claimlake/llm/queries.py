@@ -143,3 +143,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return manifest(read_table(spark, sf_dir, "documents"), tampered=changed)
+
+
+@query("op13_repeated_phrases")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in passages of 20 words that occur earlier in the corpus."""
+    from .repeated_phrases import removal_summary
+
+    return removal_summary(read_table(spark, sf_dir, "documents"))
