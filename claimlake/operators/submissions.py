@@ -39,7 +39,8 @@ def _normalized(submissions: DataFrame) -> DataFrame:
             .withColumn("in_claim_for", F.upper("in_claim_for")))
 
 
-def _employee_keys(employees: DataFrame) -> DataFrame:
+def employee_keys(employees: DataFrame) -> DataFrame:
+    """One employee per (number, NIC), as :func:`check_submissions` joins them."""
     return first_employee_per_key(
         employees, {"_k_cn": ci("computer_number"), "_k_nic": ci("nic")},
         ["e_id", "initials", "surname"])
@@ -59,10 +60,16 @@ def validate_submissions(submissions: DataFrame, employees: DataFrame,
     name is filled with the employee's name, and an OPD date after the day of
     submission is rejected as ``future_date``.
     """
+    asked = _normalized(submissions).select(ci("in_computer_number").alias("_asked"))
+    emp = employee_keys(restrict_to_keys(employees, ci("computer_number"), asked, "_asked",
+                                         keys_small=batch_small))
+    return check_submissions(submissions, emp, client_rules, ts_col)
+
+
+def check_submissions(submissions: DataFrame, emp: DataFrame, client_rules: bool = False,
+                      ts_col: str = "submitted_at") -> DataFrame:
+    """W1 against :func:`employee_keys`; runs no job, so ``submissions`` may be a stream."""
     s = _normalized(submissions)
-    asked = s.select(ci("in_computer_number").alias("_asked"))
-    emp = _employee_keys(restrict_to_keys(employees, ci("computer_number"), asked, "_asked",
-                                          keys_small=batch_small))
     s = s.join(emp, (ci(s["in_computer_number"]) == emp["_k_cn"]) & (ci(s["in_nic"]) == emp["_k_nic"]), "left")
     if client_rules:
         own_name = F.coalesce(labels.employee_name_strict("initials", "surname"), F.lit(""))
@@ -125,19 +132,27 @@ def ingest_submissions(submissions: DataFrame, claims: DataFrame, employees: Dat
     """
     batch_small = is_small(submissions)  # bounds every key set derived from the batch
     checked = validate_submissions(submissions, employees, client_rules, ts_col, batch_small)
-    valid = checked.where(F.col("outcome") == "ok")
-    first = (valid.groupBy(ci("v_reference").alias("_fk"))
+    first = (checked.where(F.col("outcome") == "ok").groupBy(ci("v_reference").alias("_fk"))
              .agg(F.min("seq").alias("_first_seq")))
+    return decide_submissions(checked, first, claims, claims.agg(F.max("r_id")).first()[0] or 0, batch_small)
+
+
+def decide_submissions(checked: DataFrame, first: DataFrame, claims: DataFrame, base_id: int,
+                       batch_small: bool | None = None) -> DataFrame:
+    """W2 on checked rows: ``first`` holds, per reference key ``_fk``, the ``_first_seq`` that may take it.
+
+    A valid row whose key is missing from ``first`` or taken by another row or
+    by a claim is a duplicate.  New ids start above ``base_id``.
+    """
     out = checked.join(first, ci(checked["v_reference"]) == first["_fk"], "left").drop("_fk")
     out = reference_exists(out, claims, "v_reference", keys_small=batch_small)
     outcome = (F.when(F.col("outcome") != "ok", F.col("outcome"))
-               .when(F.col("reference_exists") | (F.col("seq") != F.col("_first_seq")),
+               .when(F.col("reference_exists") | ~F.col("seq").eqNullSafe(F.col("_first_seq")),
                      F.lit("duplicate_reference"))
                .otherwise(F.lit("accepted")))
     # decided once (the duplicate check scans the claims table) and shared by the numbering and the result
     out = checkpointed(out.withColumn("outcome", outcome).drop("_first_seq", "reference_exists"))
     accepted = number_rows(out.where(F.col("outcome") == "accepted"), ["seq"], out="_n")
-    base_id = claims.agg(F.max("r_id")).first()[0] or 0
     ids = accepted.select(F.col("seq").alias("_aseq"), (F.lit(base_id) + F.col("_n")).cast("int").alias("claim_id"),
                           F.col("_n").alias("accept_no"))
     return out.join(ids, out["seq"] == ids["_aseq"], "left").drop("_aseq")
@@ -164,7 +179,11 @@ def new_claims(ingested: DataFrame, ts_col: str = "submitted_at") -> DataFrame:
 
 def submission_history(ingested: DataFrame, history: DataFrame, ts_col: str = "submitted_at") -> DataFrame:
     """One log row per accepted claim, ids above the log's largest id in ``seq`` order."""
-    base_log = history.agg(F.max("log_id")).first()[0] or 0
+    return log_rows(ingested, history.agg(F.max("log_id")).first()[0] or 0, ts_col)
+
+
+def log_rows(ingested: DataFrame, base_log: int, ts_col: str = "submitted_at") -> DataFrame:
+    """W3 with log ids above ``base_log``."""
     acc = ingested.where(F.col("outcome") == "accepted")
     return acc.select(
         (F.lit(base_log) + F.col("accept_no")).cast("long").alias("log_id"),

@@ -10,11 +10,16 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..operators import dashboard as D
+from ..operators import submissions as W2
 from ..operators import updates as W
+from ..operators.common import checkpointed
 from ..session import scratch_path
 from ..sources import requests as R
 from ..sources import sinks as K
+from ..sources import versions as V
 from ..sources.tables import SCHEMAS
 from ..streaming import jobs as T
 from .dashboard import STATUS_COUNTS_SQL
@@ -88,19 +93,84 @@ def _export_json(t):
     return t.spark.read.schema(result.schema).json(path)
 
 
+def _submission_stream(t) -> str:
+    """The submissions fed as four JSON files in ``seq`` order, one file per micro-batch; the store of the outputs."""
+    root = _scratch(t, "stream-submissions")
+    feed, state = os.path.join(root, "feed"), os.path.join(root, "state")
+    T.write_feed(t["submissions"], feed, "seq", chunks=4)
+    T.stream_submissions(t.spark, feed, state, os.path.join(root, "checkpoint"),
+                         t["claims"], t["employees"], t["history"])
+    return state
+
+
 @query("stream_submissions", "T1", f"""
 WITH {_ingested()}
 SELECT o.seq, o.final AS outcome, CAST((SELECT max(r_id) FROM fx_claims) + a.accept_no AS INTEGER) AS claim_id
 FROM o LEFT JOIN a ON a.seq = o.seq""", INGEST_FX)
 def _stream_submissions(t):
-    """The submissions fed as four JSON files in ``seq`` order; one file per micro-batch."""
-    root = _scratch(t, "stream-submissions")
-    feed = os.path.join(root, "feed")
-    T.write_feed(t["submissions"], feed, "seq", chunks=4)
-    state = os.path.join(root, "state")
-    T.stream_submissions(t.spark, feed, state, os.path.join(root, "checkpoint"),
-                         t["claims"], t["employees"], t["history"])
-    return T.read_state(t.spark, state, "outcomes").select("seq", "outcome", "claim_id")
+    """Outcomes of all micro-batches."""
+    return T.read_state(t.spark, _submission_stream(t), "outcomes").select("seq", "outcome", "claim_id")
+
+
+# a new claim with its log row; the ids of both follow from the number of the accepted row
+_ADDED_SQL = f"""
+WITH {_ingested()}
+SELECT CAST((SELECT max(r_id) FROM fx_claims) + accept_no AS INTEGER) AS r_id, in_reference AS reference,
+  CAST(strptime(in_opd_date, '%Y-%m-%d') AS DATE) AS opd_date, CAST(in_amount_requested AS DOUBLE) AS amount_requested,
+  in_claim_type AS claim_type, in_patient_name AS patient_name, submitted_at AS created_at, 'Submitted' AS status,
+  CAST((SELECT max(log_id) FROM fx_history) + accept_no AS BIGINT) AS log_id,
+  'Claim submitted by employee' AS remarks, 1 AS old_status_id, 1 AS new_status_id
+FROM a"""
+
+
+def _added(claims, history):
+    """New claims with their log rows, matched by claim id."""
+    log = history.select("log_id", "remarks", "old_status_id", "new_status_id", "claim_requests_id", F.col("updated_at").alias("_at"))
+    return (claims.join(log, (claims["r_id"] == log["claim_requests_id"]) & (claims["created_at"] == log["_at"]), "left")
+            .select("r_id", "reference", "opd_date", "amount_requested", "claim_type", "patient_name", "created_at", "status",
+                    "log_id", "remarks", "old_status_id", "new_status_id"))
+
+
+@query("stream_submission_rows", "T1", _ADDED_SQL, INGEST_FX + ("history",))
+def _stream_submission_rows(t):
+    """Claims and log rows that the stream wrote, from one commit of its store."""
+    state = _submission_stream(t)
+    last = V.read_commit(t.spark, state)
+    return _added(V.read_current(t.spark, state, "claims", last), V.read_current(t.spark, state, "history", last))
+
+
+@query("publish_submissions", "S3", _ADDED_SQL, INGEST_FX + ("history",))
+def _publish_submissions(t):
+    """W2 and W3 published together: claims and log are stored once, a batch commits only its new rows; read back."""
+    root = _scratch(t, "store")
+    V.publish_changes(t.spark, root, {"claims": t["claims"], "history": t["history"]}, {"claims": "r_id", "history": None})
+    before = V.read_commit(t.spark, root)
+    claims, history = V.read_current(t.spark, root, "claims"), V.read_current(t.spark, root, "history")
+    ingested = checkpointed(W2.ingest_submissions(t["submissions"], claims, t["employees"]))
+    V.publish_changes(t.spark, root, {"claims": W2.new_claims(ingested), "history": W2.submission_history(ingested, history)}, {}, batch=1)
+    now = V.read_commit(t.spark, root)
+    top = V.read_current(t.spark, root, "claims", before).agg(F.max("r_id")).first()[0] or 0
+    added = V.read_current(t.spark, root, "claims", now).where(F.col("r_id") > top)
+    return _added(added, V.read_current(t.spark, root, "history", now))
+
+
+@query("publish_claim_changes", "S3", DOCUMENT_C + _state_sql(
+    {"is_document_received": "received", "document_received_date": "dt", "invoice_number": "invoice"}),
+    ("document_updates", "claims"))
+def _publish_claim_changes(t):
+    """W4 as two batches that commit only the claims they changed, a compaction between; newest version of each claim."""
+    root = _scratch(t, "store")
+    V.publish_changes(t.spark, root, {"claims": t["claims"]}, {"claims": "r_id"})
+    half = F.col("claim_id") % 2
+    for part in (0, 1):
+        claims = V.read_current(t.spark, root, "claims")
+        batch = W.apply_document_updates(t["document_updates"].where(half == part), claims)
+        changed = batch.outcomes.where("outcome = 'accepted'").select(F.col("claim_id").alias("_id")).distinct()
+        rows = batch.claims.join(changed, batch.claims["r_id"] == changed["_id"], "left_semi")
+        V.publish_changes(t.spark, root, {"claims": rows}, {}, batch=part)
+        if part == 0:
+            V.compact(t.spark, root)
+    return V.read_current(t.spark, root, "claims")
 
 
 @query("stream_status_updates", "T2", STATUS_CTES + "\nSELECT seq, cid AS claim_id, outcome FROM v", STATUS_FX)
@@ -113,4 +183,3 @@ def _stream_status_updates(t):
     T.stream_status_updates(t.spark, feed, state, os.path.join(root, "checkpoint"),
                             t["claims"], t["statuses"], t["history"])
     return T.read_state(t.spark, state, "outcomes").select("seq", "claim_id", "outcome")
-

@@ -1,25 +1,23 @@
 """The request feeds as Structured Streaming jobs.
 
-Each micro-batch reuses the batch operators against the table state left by
-the earlier micro-batches.  ``foreachBatch`` is at-least-once, so every output
-of batch ``n`` goes to its own ``batch_id=n`` folder and is overwritten on a
-replay; state reads take only folders with a smaller batch id, which makes a
-replayed batch see exactly what it saw the first time.
+``foreachBatch`` is at-least-once.  All outputs of a micro-batch are one commit
+of a store (``sources.versions``) that carries the batch id, so a micro-batch
+that is replayed after its commit changes nothing, and readers see the outcomes,
+claims and log rows of a micro-batch together or not at all.  High-water marks
+(largest claim and log id) stand in the commit marker.
 """
 
 from __future__ import annotations
 
-import os
-import re
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.common import checkpointed
-from ..operators.submissions import ingest_submissions, new_claims, submission_history
+from ..functions.text import ci
+from ..operators.common import checkpointed, is_small, leading_int, restrict_to_keys
+from ..operators.submissions import check_submissions, decide_submissions, employee_keys, log_rows, new_claims
 from ..operators.updates import apply_status_updates
+from ..sources import versions as V
 
 SUBMISSION_SCHEMA = ("seq long, submitted_at timestamp_ntz, reference string, computer_number string, "
                      "nic string, opd_date string, amount_requested string, claim_type string, "
@@ -27,43 +25,33 @@ SUBMISSION_SCHEMA = ("seq long, submitted_at timestamp_ntz, reference string, co
 STATUS_UPDATE_SCHEMA = ("seq long, ts timestamp_ntz, claim_id int, new_status_id int, new_status_name string, "
                         "remarks string, updated_by int")
 
+# Streaming state (the references taken so far) is kept by RocksDB, outside the executors' heaps.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Rows written by micro-batches before ``batch_id`` (None when there are none)."""
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None  # nothing written yet
-    return df.where(F.col("batch_id") < batch_id).drop("batch_id")
-
-
-def _id_floor(spark: SparkSession, df: DataFrame, col: str) -> DataFrame:
-    """One row holding the largest ``col`` of ``df``: all a batch needs of a log table to number new rows."""
-    top = df.agg(F.max(col)).first()[0]
-    return spark.createDataFrame([(top,)], f"{col} long")
-
-
-def _write(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+SUBMISSION_TABLES = {"outcomes": None, "claims": None, "history": None}
+STATUS_TABLES = {"outcomes": None, "history": None, "claim_state": "claim_id", "status_state": None}
 
 
 def write_feed(df: DataFrame, folder: str, order_col: str, chunks: int) -> None:
-    """Write ``df`` as ``chunks`` JSON files of consecutive ``order_col`` ranges, oldest first.
+    """Write ``df`` as about ``chunks`` JSON files of consecutive ``order_col`` ranges.
 
-    A file source hands files to micro-batches by modification time, so each
-    range is written (as one file) only after the previous one.
+    All ranges are written at once, one task each.  A file source hands files
+    to micro-batches by modification time, so the times are then set in the
+    order of the ranges.
     """
-    df = checkpointed(df)  # evaluated once, then cut into ranges
-    bounds = df.agg(F.min(order_col), F.max(order_col)).first()
-    lo, hi = bounds[0], bounds[1]
-    if lo is None:
+    spark = df.sparkSession
+    (df.repartitionByRange(chunks, order_col).sortWithinPartitions(order_col).write.mode("overwrite")
+     .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(folder))  # the default cuts to milliseconds
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    if not files:
         return
-    step = (hi - lo) // chunks + 1
-    for i in range(chunks):
-        part = df.where((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("overwrite").json(os.path.join(folder, f"chunk={i:05d}"))
+    start = fs.getFileStatus(files[-1]).getModificationTime() // 1000 * 1000 - 1000 * len(files)
+    for k, file in enumerate(files):
+        fs.setTimes(file, start + 1000 * k, -1)
 
 
 def _run(source: DataFrame, process, checkpoint: str) -> StreamingQuery:
@@ -74,109 +62,121 @@ def _run(source: DataFrame, process, checkpoint: str) -> StreamingQuery:
     return query
 
 
+def _top(df: DataFrame, col: str) -> int:
+    return df.agg(F.max(col)).first()[0] or 0
+
+
+def first_uses(checked: DataFrame) -> DataFrame:
+    """``checked`` and, marked by ``_first_key``, one row for each reference key of a valid row never seen before.
+
+    ``dropDuplicates`` keeps the keys in the state store, partitioned by key: a
+    micro-batch looks up only its own.  Both branches read one source, so a
+    micro-batch holds the same requests in both.
+    """
+    seen = (checked.where(F.col("outcome") == "ok").select(ci("v_reference").alias("_first_key"))
+            .dropDuplicates(["_first_key"]))
+    return checked.unionByName(seen, allowMissingColumns=True)
+
+
 def stream_submissions(spark: SparkSession, source_dir: str, state_dir: str, checkpoint: str,
                        claims: DataFrame, employees: DataFrame, history: DataFrame,
                        max_files_per_trigger: int = 1) -> StreamingQuery:
     """JSON submissions → W1–W3 per micro-batch.
 
-    Reference uniqueness holds for all time: each micro-batch checks against the
-    claims table plus every claim accepted by earlier micro-batches.  Outputs
-    under ``state_dir``: ``outcomes``, ``claims`` (new rows), ``history`` (new rows).
+    Reference uniqueness holds for all time: a reference is free if no claim of
+    the table has it and the state store has not seen it on a valid row.  The
+    first row (by ``seq``) of a micro-batch gets a reference that is new to the
+    store; a micro-batch reads its own rows and keys, never the output of
+    earlier ones.  Employees are reduced to their keys once per start.
+    Outputs, as tables of the store ``state_dir``: ``outcomes``, ``claims`` (new
+    rows), ``history`` (new rows).  Files must come in ``seq`` order.
     """
     src = (spark.readStream.schema(SUBMISSION_SCHEMA)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
-    out = {k: os.path.join(state_dir, k) for k in ("outcomes", "claims", "history")}
-    history = _id_floor(spark, history, "log_id")  # new log ids only need the largest one
+    feed = first_uses(check_submissions(src, checkpointed(employee_keys(employees)))
+                      .withColumn("_first_key", F.lit(None).cast("string")))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        cur_claims, cur_history = claims, history
-        prev = _earlier(spark, out["claims"], batch_id)
-        if prev is not None:
-            cur_claims = claims.unionByName(prev)
-        prev = _earlier(spark, out["history"], batch_id)
-        if prev is not None:
-            cur_history = history.unionByName(prev.select("log_id"))
-        ingested = ingest_submissions(batch, cur_claims, employees)  # outcomes checkpointed inside
-        _write(ingested.select("seq", "outcome", "claim_id"), out["outcomes"], batch_id)
-        _write(new_claims(ingested), out["claims"], batch_id)
-        _write(submission_history(ingested, cur_history), out["history"], batch_id)
-
-    return _run(src, process, checkpoint)
-
-
-def _previous_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The state snapshot written by the latest micro-batch before ``batch_id``.
-
-    Only that one folder is read, so the cost does not grow with the number of
-    micro-batches; a replayed batch finds the same snapshot as the first time.
-    """
+        batch = checkpointed(batch)  # evaluated once, also when replayed: that moves the state store on
+        last = V.read_commit(spark, state_dir)
+        if V.is_committed(last, batch_id):
+            return
+        base_id = last.marks["claim_id"] if last.version else _top(claims, "r_id")
+        base_log = last.marks["log_id"] if last.version else _top(history, "log_id")
+        fresh = batch.where(F.col("_first_key").isNotNull()).select(F.col("_first_key").alias("_fk"))
+        checked = batch.where(F.col("_first_key").isNull()).drop("_first_key")
+        first = (checked.where(F.col("outcome") == "ok").groupBy(ci("v_reference").alias("_fk"))
+                 .agg(F.min("seq").alias("_first_seq")).join(fresh, "_fk", "left_semi"))
+        ingested = checkpointed(decide_submissions(checked, first, claims, base_id, is_small(checked)))
+        added = ingested.where(F.col("outcome") == "accepted").count()
+        tables = {"outcomes": ingested.select("seq", "outcome", "claim_id"), "claims": new_claims(ingested),
+                  "history": log_rows(ingested, base_log)}
+        V.publish_changes(spark, state_dir, {n: df.withColumn("batch_id", F.lit(batch_id)) for n, df in tables.items()}, SUBMISSION_TABLES,
+                          {"claim_id": base_id + added, "log_id": base_log + added}, batch_id)
+
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)  # read when the query starts
     try:
-        files = spark.read.parquet(path).inputFiles()
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None  # nothing written yet
-    ids = {int(m.group(1)) for f in files for m in [re.search(r"batch_id=(\d+)", f)] if m}
-    earlier = [i for i in ids if i < batch_id]
-    if not earlier:
-        return None
-    return spark.read.parquet(os.path.join(path, f"batch_id={max(earlier)}"))
+        return _run(feed, process, checkpoint)
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
+def _current_claims(spark: SparkSession, state_dir: str, last: V.Commit, batch: DataFrame, claims: DataFrame) -> DataFrame:
+    """The claims that the batch asks for, as the stream has left them."""
+    asked = batch.select(leading_int("claim_id").alias("_cid"))
+    small = is_small(batch)
+    mine = restrict_to_keys(claims, F.col("r_id"), asked, "_cid", keys_small=small)
+    if "claim_state" not in last.tables:
+        return mine
+    state = restrict_to_keys(V.read_current(spark, state_dir, "claim_state", last), F.col("claim_id"), asked, "_cid", keys_small=small)
+    state = state.select(F.col("claim_id").alias("_cc"), F.col("status").alias("_s_status"), F.col("updated_at").alias("_s_updated_at"))
+    hit = F.col("_cc").isNotNull()
+    return mine.join(state, mine["r_id"] == state["_cc"], "left").select(*[
+        F.when(hit, F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) if c in ("status", "updated_at") else F.col(c)
+        for c in claims.columns])
 
 
 def stream_status_updates(spark: SparkSession, source_dir: str, state_dir: str, checkpoint: str,
                           claims: DataFrame, statuses: DataFrame, history: DataFrame,
-                          max_files_per_trigger: int = 1) -> StreamingQuery:
+                          max_files_per_trigger: int = 1, compact_after: int = V.COMPACT_AFTER) -> StreamingQuery:
     """JSON status updates → W7–W9 per micro-batch.
 
-    State carried between micro-batches, as one cumulative snapshot per batch
-    (batch ``n`` reads snapshot ``n-1`` and writes snapshot ``n``): the latest
-    status of every claim changed so far, the statuses added so far and the
-    largest log id.  A status id created by one micro-batch is valid input for
-    the next ones.  Outputs: ``outcomes`` and ``history`` (new log rows) per batch.
+    State carried between micro-batches, in the store ``state_dir``: the latest
+    status of every changed claim (``claim_state``, keyed: a micro-batch adds
+    only the claims that it changed, and reads only those it asks for), the statuses added (``status_state``)
+    and the largest log id.  After ``compact_after`` change folders a table is
+    compacted, so what a micro-batch reads does not grow with the stream's age.
+    A status id created by one micro-batch is valid input for the next ones.
+    Other outputs: ``outcomes`` and ``history`` (new log rows).
+
+    Updates apply in the order of micro-batches and, inside one, of (ts, seq): an
+    update that comes in a later file than its ``ts`` says counts as made when
+    it comes, as the source's own clock would have it.
     """
     src = (spark.readStream.schema(STATUS_UPDATE_SCHEMA)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
-    out = {k: os.path.join(state_dir, k)
-           for k in ("outcomes", "history", "claim_state", "status_state", "log_floor")}
-    base_floor = _id_floor(spark, history, "log_id")  # new log ids only need the largest one
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        cur_claims, cur_statuses, cur_floor = claims, statuses, base_floor
-        state = _previous_snapshot(spark, out["claim_state"], batch_id)
-        if state is not None:
-            joined = claims.join(state.withColumnRenamed("claim_id", "_cc"), claims["r_id"] == F.col("_cc"), "left")
-            hit = F.col("_cc").isNotNull()
-            cur_claims = joined.select(*[
-                F.when(hit, F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) if c in ("status", "updated_at")
-                else F.col(c) for c in claims.columns])
-        added = _previous_snapshot(spark, out["status_state"], batch_id)
-        if added is not None:
-            cur_statuses = statuses.unionByName(added)
-        floor = _previous_snapshot(spark, out["log_floor"], batch_id)
-        if floor is not None:
-            cur_floor = floor
-        res = apply_status_updates(batch, cur_claims, cur_statuses, cur_floor)
-        _write(res.outcomes, out["outcomes"], batch_id)
-        _write(res.history, out["history"], batch_id)
-        # next snapshots: this batch's changes win over the previous state
-        changes = res.changes.select("claim_id", F.col("status").alias("_s_status"),
-                                     F.col("updated_at").alias("_s_updated_at"), F.lit(1).alias("_rank"))
-        if state is not None:
-            changes = changes.unionByName(state.withColumn("_rank", F.lit(0)))
-        snapshot = (changes.groupBy("claim_id")
-                    .agg(F.max_by(F.struct("_s_status", "_s_updated_at"), F.col("_rank")).alias("_v"))
-                    .select("claim_id", "_v._s_status", "_v._s_updated_at"))
-        _write(snapshot, out["claim_state"], batch_id)
-        new_statuses = res.new_statuses if added is None else added.unionByName(res.new_statuses)
-        _write(new_statuses, out["status_state"], batch_id)
-        # the floor comes from the log rows just written (a file scan, not a recomputation)
-        written = (spark.read.schema("log_id long")  # a batch with no accepted update may write no file
-                   .parquet(os.path.join(out["history"], f"batch_id={batch_id}")))
-        _write(cur_floor.unionByName(written).agg(F.max("log_id").alias("log_id")), out["log_floor"], batch_id)
+        last = V.read_commit(spark, state_dir)
+        if V.is_committed(last, batch_id):
+            return
+        batch = checkpointed(batch)
+        cur_statuses = statuses
+        if "status_state" in last.tables:
+            cur_statuses = statuses.unionByName(V.read_current(spark, state_dir, "status_state", last).drop("batch_id"))
+        base_log = last.marks["log_id"] if last.version else _top(history, "log_id")
+        floor = spark.createDataFrame([(base_log,)], "log_id long")
+        res = apply_status_updates(batch, _current_claims(spark, state_dir, last, batch, claims), cur_statuses, floor)
+        tables = {"outcomes": res.outcomes, "history": res.history, "claim_state": res.changes, "status_state": res.new_statuses}
+        tables = {n: df if STATUS_TABLES[n] else df.withColumn("batch_id", F.lit(batch_id)) for n, df in tables.items()}
+        added = res.outcomes.where(F.col("outcome") == "accepted").count()
+        V.publish_changes(spark, state_dir, tables, STATUS_TABLES, {"log_id": base_log + added}, batch_id)
+        V.compact(spark, state_dir, ["claim_state", "status_state"], compact_after)
 
     return _run(src, process, checkpoint)
 
 
 def read_state(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
-    """All rows of one stream output (every micro-batch), with its ``batch_id``."""
-    return spark.read.parquet(os.path.join(state_dir, name))
+    """One stream output as of the last commit (log tables with their ``batch_id``)."""
+    return V.read_current(spark, state_dir, name)
