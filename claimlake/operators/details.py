@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, js_trim, text_or_empty
-from .common import broadcast_if_small, first_employee_per_key, is_small, restrict_to_keys
+from .common import broadcast_if_small, checkpointed, first_employee_per_key, is_small, restrict_to_keys
 
+# A request for at most this many claims names them in the filter, which files, row groups and buckets are pruned by.
+LITERAL_IDS = 1000
+
+# Output columns of the detail, history and claim reports.
 DETAIL_COLUMNS = [
     "claim_id", "reference_no", "opd_date", "amount_requested", "claim_type", "patient_name",
     "computer_no", "is_document_received", "document_received_date", "invoice_number",
@@ -27,12 +31,15 @@ def claim_detail(requests: DataFrame, claims: DataFrame, employees: DataFrame,
     ``e_id`` is shown (the employee side is made unique by a partial
     aggregation before the join, so no per-request sort is needed).
     """
-    emp = first_employee_per_key(
-        employees, {"_emp_key": ci("computer_number")},
-        ["e_id", "nic", "initials", "surname", "division_code"])
     div = broadcast_if_small(divisions.select("div_code", "division_name"))
     asked = requests.select(F.col(id_col).alias("_asked"))
-    claims = restrict_to_keys(claims, F.col("r_id"), asked, "_asked", keys_small=is_small(requests))
+    small = is_small(requests)
+    claims = restrict_to_keys(claims, F.col("r_id"), asked, "_asked", keys_small=small)
+    # only the employees of these claims are reduced to one per number: at most one number a request
+    numbers = claims.select(ci("emp_computer_number").alias("_number"))
+    emp = first_employee_per_key(
+        restrict_to_keys(employees, ci("computer_number"), numbers, "_number", keys_small=small),
+        {"_emp_key": ci("computer_number")}, ["e_id", "nic", "initials", "surname", "division_code"])
     detail = (claims.withColumn("_emp_key", ci("emp_computer_number"))
               .join(emp, "_emp_key", "left")
               .join(div, F.col("division_code") == F.col("div_code"), "left")
@@ -53,6 +60,28 @@ def claim_detail(requests: DataFrame, claims: DataFrame, employees: DataFrame,
     return joined.select("request_id", "requested_id", outcome.alias("outcome"), *DETAIL_COLUMNS)
 
 
+def rows_of_claims(log: DataFrame, ids: DataFrame, id_col: str, small: bool | None = None) -> DataFrame:
+    """The log rows of the claims in ``ids[id_col]``.
+
+    Few ids become literals of the filter: a log stored by claim
+    (``sources.claim_log``) opens only their buckets, any other skips row groups.
+    More ids are a semi join, which leaves a log stored by claim in place.
+    """
+    found = [r[0] for r in ids.select(id_col).where(F.col(id_col) > 0).distinct().limit(LITERAL_IDS + 1).collect()]
+    if len(found) <= LITERAL_IDS:
+        return log.where(F.col("claim_requests_id").isin(found)) if found else log.where(F.lit(False))
+    return restrict_to_keys(log, F.col("claim_requests_id"), ids, id_col, keys_small=small)
+
+
+def claim_history_of(requests: DataFrame, log: DataFrame, statuses: DataFrame, users: DataFrame,
+                     id_col: str = "claim_id") -> DataFrame:
+    """J3 for the claims that are asked for: ``request_id`` and the admin form, oldest first within a request."""
+    asked = requests.select("request_id", F.col(id_col).alias("_asked")).where(F.col("_asked") > 0)
+    rows = claim_history_rows(rows_of_claims(log, asked, "_asked", is_small(requests)), statuses, users)
+    return (asked.join(rows, asked["_asked"] == rows["claim_id"], "inner").drop("_asked")
+            .sortWithinPartitions("request_id", "updated_at", "history_id"))
+
+
 def _history_names(history: DataFrame, statuses: DataFrame, users: DataFrame, user_cols) -> DataFrame:
     sts = broadcast_if_small(statuses.select("s_id", "status_name"))
     old = sts.select(F.col("s_id").alias("_old_id"), F.col("status_name").alias("old_status_name"))
@@ -66,13 +95,17 @@ def _history_names(history: DataFrame, statuses: DataFrame, users: DataFrame, us
 
 def claim_history_admin(history: DataFrame, statuses: DataFrame, users: DataFrame) -> DataFrame:
     """J3 (admin form): status names and the acting user's login name, oldest first."""
+    return claim_history_rows(history, statuses, users).orderBy("claim_id", "updated_at", "history_id")
+
+
+def claim_history_rows(history: DataFrame, statuses: DataFrame, users: DataFrame) -> DataFrame:
+    """The rows of J3 (admin form) as they come."""
     rows = _history_names(history, statuses, users, ["username"])
-    return (rows.select(F.col("claim_requests_id").alias("claim_id"),
-                        F.col("log_id").alias("history_id"),
-                        F.col("old_status_name").alias("old_status"),
-                        F.col("new_status_name").alias("new_status"), "remarks",
-                        F.col("username").alias("updated_by"), "updated_at")
-            .orderBy("claim_id", "updated_at", "history_id"))
+    return rows.select(F.col("claim_requests_id").alias("claim_id"),
+                       F.col("log_id").alias("history_id"),
+                       F.col("old_status_name").alias("old_status"),
+                       F.col("new_status_name").alias("new_status"), "remarks",
+                       F.col("username").alias("updated_by"), "updated_at")
 
 
 EMPLOYEE_HISTORY_COLUMNS = ["log_id", "remarks", "updated_at", "claim_requests_id", "updated_by",
@@ -168,12 +201,13 @@ def authorized_history(requests: DataFrame, employees: DataFrame, divisions: Dat
                        users: DataFrame) -> DataFrame:
     """J5 + J3: the history rows each authorized request may see.
 
-    The history is first cut down to the authorized claims (a broadcast semi join
-    when the request batch is small), so the log table is scanned, not shuffled.
+    The history is first cut down to the authorized claims (see
+    :func:`rows_of_claims`), so the log table is pruned or scanned, not shuffled.
     """
-    ok = (authorized_claim(requests, employees, divisions, claims)
-          .where(F.col("outcome") == "ok").select("request_id", F.col("claim_id").alias("_cid")))
-    mine = restrict_to_keys(history, F.col("claim_requests_id"), ok, "_cid", keys_small=is_small(requests))
+    # written once: the claim ids prune the log before they are joined with it
+    ok = checkpointed(authorized_claim(requests, employees, divisions, claims)
+                      .where(F.col("outcome") == "ok").select("request_id", F.col("claim_id").alias("_cid")))
+    mine = rows_of_claims(history, ok, "_cid", is_small(ok))
     hist = _employee_history_rows(mine, statuses, users)
     return (ok.join(hist, ok["_cid"] == hist["claim_requests_id"], "inner").drop("_cid")
             .orderBy("request_id", "updated_at", "log_id"))
@@ -186,7 +220,7 @@ def latest_remark(history: DataFrame, claims: DataFrame) -> DataFrame:
     """G1: last non-blank history remark (untrimmed), else the medical remark, else a fixed text.
 
     ``max_by`` is a partial aggregate, so a claim with a very long history is
-    folded on the map side before the shuffle.
+    folded on the map side before the shuffle.  A log stored by claim is not moved at all.
     """
     last = (history.where(js_trim("remarks") != "")
             .groupBy(F.col("claim_requests_id").alias("_cid"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from ..operators import details as X
+from ..session import scratch_path
+from ..sources.claim_log import write_claim_log
 from .registry import query
 from .sqltext import EMP_BY_CREDENTIALS, PEOPLE, SHOWN_DIVISION, SHOWN_NAME, ci, lookup, select_list, text_or_empty
 
@@ -49,6 +53,21 @@ def _claim_history_admin(t):
     return X.claim_history_admin(t["history"], t["statuses"], t["users"])
 
 
+def _stored_log(t):
+    """The log stored by claim id, in as many buckets as joins have partitions."""
+    name = f"claim_log_{uuid.uuid4().hex}"
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return write_claim_log(t["history"], name, scratch_path(t.spark, "claimlake", name), buckets)
+
+
+@query("claim_history_for_requests", "J3", f"""
+SELECT request_id, {select_list(ADMIN_HISTORY_COLUMNS, ADMIN_HISTORY_SOURCES)}
+FROM fx_access_requests JOIN fx_history ON claim_requests_id = claim_id WHERE claim_id > 0""", ("access_requests",) + HISTORY_FX)
+def _claim_history_for_requests(t):
+    """J3 for the claims of the requests, from a log stored by claim id."""
+    return X.claim_history_of(t["access_requests"], _stored_log(t), t["statuses"], t["users"])
+
+
 EMPLOYEE_HISTORY = select_list(X.EMPLOYEE_HISTORY_COLUMNS, EMPLOYEE_HISTORY_SOURCES)
 
 
@@ -106,18 +125,27 @@ def _authorized_history(t):
 JS_TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(65279)"
 
 
-@query("latest_remark", "G1", f"""
+LATEST_REMARK_SQL = f"""
 WITH last AS (
   SELECT claim_requests_id, remarks, row_number() OVER (
     PARTITION BY claim_requests_id ORDER BY updated_at DESC, log_id DESC) AS rn
   FROM fx_history WHERE trim(remarks, {JS_TRIM}) <> '')
 SELECT r.r_id AS claim_id,
   COALESCE(l.remarks, CASE WHEN r.medical_remark <> '' THEN r.medical_remark END, 'No remarks yet.') AS latest_remark
-FROM fx_claims r LEFT JOIN last l ON l.claim_requests_id = r.r_id AND l.rn = 1""", ("history", "claims"))
+FROM fx_claims r LEFT JOIN last l ON l.claim_requests_id = r.r_id AND l.rn = 1"""
+
+
+@query("latest_remark", "G1", LATEST_REMARK_SQL, ("history", "claims"))
 def _latest_remark(t):
     return X.latest_remark(t["history"], t["claims"])
 
 
+@query("latest_remark_stored", "G1", LATEST_REMARK_SQL, ("history", "claims"))
+def _latest_remark_stored(t):
+    """G1 from a log stored by claim id."""
+    return X.latest_remark(_stored_log(t), t["claims"])
+
+
 def _steps_values() -> str:
     return ", ".join(f"({i + 1}, '{s}')" for i, s in enumerate(X.PROGRESS_STEPS))
 
