@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, ci, is_numeric_text, php_trim, text_or_empty
@@ -161,6 +161,61 @@ def canonical_order(name: Column) -> Column:
     return expr.otherwise(F.lit(UNLISTED_ORDER))
 
 
+# Candidates (unknown names and the late updates before them) that the driver goes through.
+CANDIDATES_MAX = 100_000
+# Slices of time of a batch: a claim's updates are spread over up to so many tasks.
+TIME_SLICES = 64
+
+
+def introduction_times(candidates: list, top_id: int) -> list[tuple]:
+    """(id, ts, seq) of all introductions, one update at a time.
+
+    A candidate with ``nid`` null introduces its ``key`` in any case; one with an
+    id only if that id exists by then.
+    """
+    def place(c):
+        return (c.ts is not None, c.ts), c.seq  # a missing time is before all others, as in Spark's order
+
+    found, seen = [], set()
+    for c in sorted(candidates, key=lambda c: (*place(c), c.k)):
+        if c.key in seen:
+            continue
+        if c.nid is not None and not (c.nid <= top_id + len(found) and place(found[c.nid - top_id - 1]) < place(c)):
+            continue
+        seen.add(c.key)
+        found.append(c)
+    return [(top_id + n, c.ts, c.seq) for n, c in enumerate(found, 1)]
+
+
+def previous_value(df: DataFrame, key: str, ts: str, seq: str, value: str, out: str, first: str) -> DataFrame:
+    """``df`` with ``out``, the ``value`` of the row before in (ts, seq) order of the same ``key``, and ``first``.
+
+    Rows are dealt once, by (key, slice of time); the slices hold about equal
+    parts of all rows, so a key with very many rows is spread over as many
+    tasks.  The last value of each (key, slice), one row each, is carried to the key's next
+    slice.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    share = [i / TIME_SLICES for i in range(1, TIME_SLICES)]
+    bounds = df.agg(F.percentile_approx(micros, share, 1000)).first()[0] or []
+    bounds = sorted(set(bounds))
+    if bounds:
+        slices = F.array(*[F.lit(b).cast("long") for b in bounds])
+        df = df.withColumn("_slice", F.size(F.filter(slices, lambda b: b < micros)))
+    else:
+        df = df.withColumn("_slice", F.lit(0))
+    order = Window.partitionBy(key, "_slice").orderBy(ts, seq)
+    rows = df.withColumn("_own", F.lag(F.struct(value)).over(order))
+    ends = df.groupBy(key, "_slice").agg(F.max_by(F.struct(value), F.struct(ts, seq)).alias("_end"))
+    carry = ends.select(F.col(key).alias("_carry_key"), F.col("_slice").alias("_carry_slice"),
+                        F.lag("_end").over(Window.partitionBy(key).orderBy("_slice")).alias("_carried"))
+    carry = carry.where(F.col("_carried").isNotNull())
+    rows = rows.join(carry, F.col("_own").isNull() & (F.col(key) == F.col("_carry_key")) & (F.col("_slice") == F.col("_carry_slice")), "left")
+    before = F.coalesce("_own", "_carried")
+    return (rows.withColumn(out, before[value]).withColumn(first, before.isNull())
+            .drop("_own", "_carried", "_carry_key", "_carry_slice", "_slice"))
+
+
 class StatusBatch:
     """W7 with W8 (new statuses), G2 (old/new status per update) and W9 (log rows).
 
@@ -178,12 +233,11 @@ class StatusBatch:
     source, a name-only update logs the resolved id (not 0), and a NULL old
     status is inserted once (also over later batches), not once per update.
 
-    An update with an id above the table's is accepted when the introduction
-    that got this id comes before it; accepting it may introduce its claim's old
-    status.  So introductions and acceptances are computed in turn until the
-    list of introductions stays the same.  More acceptances only make
-    introductions earlier, and each depends on earlier rows only, so the result
-    is that of one update at a time.
+    An update with an id above the table's (a *late* one) is accepted when the
+    introduction that got this id comes before it; accepting it may introduce
+    its claim's old status.  Of each unknown name Spark finds the first update
+    that introduces it in any case; only late updates before that can
+    change anything.  These few candidates are gone through once, in order of (ts, seq).
 
     Later outputs are planned on first use.  The checked updates, the
     introductions and the accepted updates are checkpointed once and shared.
@@ -213,27 +267,54 @@ class StatusBatch:
         self.outcomes = self._validated.select("seq", F.col("_cid").alias("claim_id"), "outcome")
 
     def _in_turn(self) -> tuple[DataFrame, DataFrame | None]:
-        """The updates with their outcomes, and the introductions if these had to be found for that."""
-        decided, introduced, state = self._decide(None), None, None
-        late = F.col("_rejected").isNull() & (F.col("_nid") > self._top_sid)
-        if self._checked.where(late).isEmpty():
+        """The updates with their outcomes, and the introductions if all had to be found for that."""
+        decided = self._decide(None)
+        late = self._checked.where(F.col("_rejected").isNull() & (F.col("_nid") > self._top_sid))
+        if late.isEmpty():
             return decided, None
+        # what introduces a name in any case: names typed, and old statuses of claims with an update that is valid by itself
+        fixed = self._firsts(decided.where(F.col("outcome") == "accepted"))
+        known = self._by_name.select(F.col("_tk").alias("_kk"))
+        late = late.select("ts", "seq", "_nid", ci("_claim_status").alias("_key"))
+        late = late.join(known, late["_key"].eqNullSafe(known["_kk"]), "left_anti")
+        before = fixed.select(F.col("_nk").alias("_fk"), F.struct("ts", "seq").alias("_at"))
+        late = (late.join(before, late["_key"].eqNullSafe(before["_fk"]), "left")
+                .where(F.col("_at").isNull() | (F.struct("ts", "seq") < F.col("_at"))))
+        null = F.lit(None).cast("int")
+        candidates = (fixed.select("ts", "seq", "k", null.alias("nid"), F.col("_nk").alias("key"))
+                      .unionByName(late.select("ts", "seq", F.lit(1).alias("k"), F.col("_nid").alias("nid"), F.col("_key").alias("key")))
+                      .limit(CANDIDATES_MAX + 1).collect())
+        if len(candidates) > CANDIDATES_MAX:
+            return self._rounds(decided)
+        since = introduction_times(candidates, self._top_sid)
+        spark = self._checked.sparkSession
+        kinds = dict(self._checked.dtypes)
+        ids = spark.createDataFrame(since, f"_new_id int, ts {kinds['ts']}, seq {kinds['seq']}")
+        ids = ids.select("_new_id", F.lit(None).cast("string").alias("_new_name"), F.struct("ts", "seq").alias("_since"))
+        return self._decide(ids), None
+
+    def _rounds(self, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """For a list of candidates that the driver should not hold: introductions and acceptances in turn.
+
+        More acceptances only make introductions earlier, and each depends on
+        earlier rows only, so it ends with the result of one update at a time.
+        """
+        introduced, state = None, None
         while True:
             introduced = checkpointed(self._introductions(decided.where(F.col("outcome") == "accepted")))
             mark = F.xxhash64("s_id", "status_name", "ts", "seq").cast("decimal(38,0)")
             now = tuple(introduced.agg(F.count(F.lit(1)), F.sum(mark)).first())
             if now == state:
                 return decided, introduced
-            state, decided = now, self._decide(introduced)
+            state = now
+            decided = self._decide(introduced.select(
+                F.col("s_id").alias("_new_id"), F.col("status_name").alias("_new_name"), F.struct("ts", "seq").alias("_since")))
 
-    def _decide(self, introduced: DataFrame | None) -> DataFrame:
-        """Outcomes, given the introductions of new statuses (None: an id above the table's fails)."""
+    def _decide(self, since: DataFrame | None) -> DataFrame:
+        """Outcomes, given when new ids came to be (None: an id above the table's fails)."""
         v = self._checked
-        if introduced is not None:
-            new = broadcast_if_small(introduced.select(
-                F.col("s_id").alias("_new_id"), F.col("status_name").alias("_new_name"),
-                F.struct("ts", "seq").alias("_since")))
-            v = (v.join(new, (F.col("_nid") == F.col("_new_id")) & (F.col("_since") < F.struct("ts", "seq")), "left")
+        if since is not None:
+            v = (v.join(broadcast_if_small(since), (F.col("_nid") == F.col("_new_id")) & (F.col("_since") < F.struct("ts", "seq")), "left")
                  .withColumn("_sid", F.coalesce("_sid", "_new_id"))
                  .withColumn("_id_name", F.coalesce("_id_name", "_new_name")).drop("_new_id", "_new_name", "_since"))
         return v.withColumn("outcome", F.coalesce(
@@ -254,23 +335,27 @@ class StatusBatch:
     def _new_rows(self) -> DataFrame:
         return self._introduced if self._introduced is not None else checkpointed(self._introductions(self._accepted))
 
-    def _introductions(self, acc: DataFrame) -> DataFrame:
-        """Introductions of unknown names by accepted updates, first per case-insensitive name."""
+    def _firsts(self, acc: DataFrame) -> DataFrame:
+        """The first introduction of each unknown name by the accepted updates ``acc``."""
         from_new = (acc.where((F.col("_nid") <= 0) & F.col("_table_sid").isNull())
                     .select("ts", "seq", F.lit(0).alias("k"), F.col("_nname").alias("name"),
                             canonical_order(F.col("_nname")).alias("ord")))
-        first_per_claim = (acc.groupBy("_cid")
-                           .agg(F.min(F.struct("ts", "seq", "_claim_status")).alias("_f"))
-                           .select(F.col("_f.ts").alias("ts"), F.col("_f.seq").alias("seq"),
-                                   F.col("_f._claim_status").alias("name")))
+        # the first accepted update of any claim with that status: one row a status before the join
+        first_per_old = (acc.groupBy(ci("_claim_status").alias("_ok"))
+                         .agg(F.min(F.struct("ts", "seq", "_claim_status")).alias("_f"))
+                         .select("_ok", F.col("_f.ts").alias("ts"), F.col("_f.seq").alias("seq"),
+                                 F.col("_f._claim_status").alias("name")))
         known = self._by_name.select(F.col("_tk").alias("_kk"))
-        from_old = (first_per_claim.join(known, ci(first_per_claim["name"]).eqNullSafe(known["_kk"]), "left_anti")
+        from_old = (first_per_old.join(known, first_per_old["_ok"].eqNullSafe(known["_kk"]), "left_anti")
                     .select("ts", "seq", F.lit(1).alias("k"), "name", F.lit(UNLISTED_ORDER).alias("ord")))
-        firsts = (from_new.unionByName(from_old)
-                  .groupBy(ci("name").alias("_nk"))
-                  .agg(F.min(F.struct("ts", "seq", "k", "name", "ord")).alias("_f"))
-                  .select("_nk", "_f.ts", "_f.seq", "_f.k", "_f.name", "_f.ord"))
-        numbered = number_rows(firsts, ["ts", "seq", "k"], out="_n")
+        return (from_new.unionByName(from_old)
+                .groupBy(ci("name").alias("_nk"))
+                .agg(F.min(F.struct("ts", "seq", "k", "name", "ord")).alias("_f"))
+                .select("_nk", "_f.ts", "_f.seq", "_f.k", "_f.name", "_f.ord"))
+
+    def _introductions(self, acc: DataFrame) -> DataFrame:
+        """Introductions of unknown names by accepted updates, first per case-insensitive name."""
+        numbered = number_rows(self._firsts(acc), ["ts", "seq", "k"], out="_n")
         return numbered.select("_nk", (F.lit(self._top_sid) + F.col("_n")).cast("int").alias("s_id"), "ts", "seq",
                                F.col("name").alias("status_name"), F.col("ord").cast("int").alias("status_order"))
 
@@ -293,24 +378,24 @@ class StatusBatch:
     @cached_property
     def _resolved(self) -> DataFrame:
         """Each accepted update with its new status name (stored spelling) and id."""
-        res = self._accepted.join(self._fresh, (F.col("_nid") <= 0) & F.col("_table_sid").isNull()
-                                  & (ci(F.col("_nname")) == F.col("_fk")), "left")
+        by_id = broadcast_if_small(self._new_rows.select(F.col("s_id").alias("_late_id"), F.col("status_name").alias("_late_name")))
+        res = (self._accepted.join(self._fresh, (F.col("_nid") <= 0) & F.col("_table_sid").isNull()
+                                   & (ci(F.col("_nname")) == F.col("_fk")), "left")
+               .join(by_id, (F.col("_nid") > self._top_sid) & (F.col("_nid") == F.col("_late_id")), "left"))
         return res.select(
             "seq", "ts", "_cid", "_rem", "updated_by", "_claim_status",
-            F.when(F.col("_nid") > 0, F.col("_id_name")).when(F.col("_table_sid").isNotNull(), F.col("_table_name"))
+            F.when(F.col("_nid") > 0, F.coalesce("_id_name", "_late_name"))
+            .when(F.col("_table_sid").isNotNull(), F.col("_table_name"))
             .otherwise(F.col("_fresh_name")).alias("new_status"),
             F.when(F.col("_nid") > 0, F.col("_nid")).when(F.col("_table_sid").isNotNull(), F.col("_table_sid"))
             .otherwise(F.col("_fresh_sid")).alias("new_status_id"))
 
     @cached_property
     def _replayed(self) -> DataFrame:
-        """Old status = the previous accepted update's new status (exact positions, no per-claim window)."""
-        pos = number_rows(self._resolved, ["ts", "seq"], ["_cid"], out="_pos")
-        prev = pos.select(F.col("_cid").alias("_pc"), (F.col("_pos") + 1).alias("_pp"),
-                          F.col("new_status").alias("_prev_status"))
-        rep = pos.join(prev, (F.col("_cid") == F.col("_pc")) & (F.col("_pos") == F.col("_pp")), "left")
-        return rep.withColumn("old_status", F.when(F.col("_pos") == 1, F.col("_claim_status"))
-                              .otherwise(F.col("_prev_status")))
+        """Old status = the previous accepted update's new status, the claim's own for the first."""
+        rep = previous_value(self._resolved, "_cid", "ts", "seq", "new_status", "_prev_status", "_first")
+        return rep.withColumn("old_status", F.when(F.col("_first"), F.col("_claim_status"))
+                              .otherwise(F.col("_prev_status"))).drop("_first", "_prev_status")
 
     @property
     def replay(self) -> DataFrame:
