@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, like_contains_pattern, truthy_flag
-from .common import php_int
+from .common import broadcast_if_small, checkpointed, php_int, restrict_to_keys
+from .enrich import enrich_claims
+from .paging import SHALLOW, seek
 
 # Statuses that wait for an administrator.
 NEEDS_ACTION_STATUSES = ("Submitted", "Document Needed", "Payment Approved")
@@ -18,6 +20,7 @@ CLAIM_TYPES = ("opd", "specs")
 # Admin page size default and cap.
 ADMIN_DEFAULT_LIMIT, ADMIN_MAX_LIMIT = 10, 100
 
+# Columns of a search result row.
 SEARCH_COLUMNS = [
     "claim_id", "reference_no", "computer_no", "nic", "employee_name", "division",
     "opd_date", "amount_requested", "claim_type", "claim_for", "patient_name",
@@ -182,19 +185,53 @@ def newest_first(df: DataFrame) -> list[Column]:
             F.col("status_id").asc_nulls_first()]
 
 
-# Rows a page may skip; a deeper page (no one pages there) is empty.
-DEEPEST_OFFSET = 2**31 - 1 - 1000
+def _cut(rows: DataFrame, skipped: int, limit: int) -> DataFrame:
+    return rows.orderBy(*newest_first(rows)).offset(skipped).limit(limit).select(*SEARCH_COLUMNS)
 
 
 def search_page(enriched: DataFrame, filters: SearchFilters, page=1, limit=ADMIN_DEFAULT_LIMIT) -> DataFrame:
-    """L3: one page of the search, newest first (a single top-k with offset)."""
+    """L3: one page of the search over joined rows, newest first; deep pages are sought (``paging``)."""
     page, limit = clamp_admin_paging(page, limit)
     rows = search_projection(search_claims(enriched, filters))
-    skipped = (page - 1) * limit
-    if skipped > DEEPEST_OFFSET:
-        return rows.limit(0).select(*SEARCH_COLUMNS)
-    return (rows.orderBy(*newest_first(rows)).offset(skipped).limit(limit)
-            .select(*SEARCH_COLUMNS))
+    rows, skipped = seek(rows, labels.recent_activity_ts("created_at", "updated_at"), "claim_id", (page - 1) * limit, limit)
+    return _cut(rows, skipped, limit)
+
+
+def _list_rows(claims: DataFrame, employees: DataFrame, divisions: DataFrame, statuses: DataFrame) -> DataFrame:
+    """``claims`` with ``_rows``, the number of rows that each has in the joined list.
+
+    Only numbers, codes and names that are stored more than once take part.
+    """
+    codes = divisions.groupBy(F.col("div_code").alias("_dc")).agg(F.count(F.lit(1)).alias("_dn")).where("_dn > 1")
+    numbers = (employees.join(broadcast_if_small(codes), F.col("division_code") == F.col("_dc"), "left")
+               .groupBy(ci("computer_number").alias("_ek")).agg(F.sum(F.coalesce("_dn", F.lit(1))).alias("_en")).where("_en > 1"))
+    names = statuses.groupBy(ci("status_name").alias("_sk")).agg(F.count(F.lit(1)).alias("_sn")).where("_sn > 1")
+    return (claims.join(broadcast_if_small(numbers), ci(claims["emp_computer_number"]) == F.col("_ek"), "left")
+            .join(broadcast_if_small(names), ci(claims["status"]) == F.col("_sk"), "left")
+            .withColumn("_rows", F.coalesce("_en", F.lit(1)) * F.coalesce("_sn", F.lit(1)))
+            .drop("_ek", "_en", "_sk", "_sn"))
+
+
+def search_page_of(claims: DataFrame, employees: DataFrame, divisions: DataFrame, statuses: DataFrame,
+                   filters: SearchFilters, page=1, limit=ADMIN_DEFAULT_LIMIT) -> DataFrame:
+    """L3 from the tables: where the filters concern claims only, claims are cut to the page before any join.
+
+    The list's order starts with claim columns and each claim has at least one row, so
+    the first ``n`` rows belong to the first ``n`` claims.  Filters on employee,
+    division or status id columns need the joined rows (:func:`search_page`).
+    """
+    if _php_trim(filters.search) or _php_trim(filters.division) or php_int(filters.status_id) > 0:
+        return search_page(enrich_claims(claims, employees, divisions, statuses), filters, page, limit)
+    page, limit = clamp_admin_paging(page, limit)
+    found, skipped = search_claims(claims, filters), (page - 1) * limit
+    activity = labels.recent_activity_ts("created_at", "updated_at")
+    if skipped + limit > SHALLOW:
+        found, skipped = seek(_list_rows(found, employees, divisions, statuses), activity, "r_id", skipped, limit, F.col("_rows"))
+    first = found.orderBy(activity.desc_nulls_last(), F.col("r_id").desc()).limit(skipped + limit).select(*claims.columns)
+    first = checkpointed(first)  # few rows, used twice: they name the employees that are joined
+    numbers = first.select(ci("emp_computer_number").alias("_number"))
+    staff = restrict_to_keys(employees, ci("computer_number"), numbers, "_number", keys_small=True)
+    return _cut(search_projection(enrich_claims(first, staff, divisions, statuses)), skipped, limit)
 
 
 def search_count(enriched: DataFrame, filters: SearchFilters, page=1, limit=ADMIN_DEFAULT_LIMIT) -> DataFrame:
@@ -207,6 +244,6 @@ def search_count(enriched: DataFrame, filters: SearchFilters, page=1, limit=ADMI
         .alias("total_pages"))
 
 
-def newest_claim(enriched: DataFrame) -> DataFrame:
+def newest_claim(claims: DataFrame, employees: DataFrame, divisions: DataFrame, statuses: DataFrame) -> DataFrame:
     """Default detail target, the first row of page 1 with limit 1."""
-    return search_page(enriched, SearchFilters(), page=1, limit=1)
+    return search_page_of(claims, employees, divisions, statuses, SearchFilters(), page=1, limit=1)

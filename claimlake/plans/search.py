@@ -124,7 +124,28 @@ def _search_page(t):
 LIMIT 100 OFFSET 200""", ENRICH_FX)
 def _search_page_unfiltered(t):
     # limit 500 is clamped to 100
-    return S.search_page(_enriched(t), S.SearchFilters(), page=3, limit=500)
+    return S.search_page_of(*(t[x] for x in ENRICH_FX), S.SearchFilters(), page=3, limit=500)
+
+
+@query("search_page_deep", "L3", f"""
+{SEARCH_SQL}
+WHERE {WAITING} OR wide.claim_type IS NOT NULL
+{SEARCH_ORDER}
+LIMIT 100 OFFSET 9900""", ENRICH_FX)
+def _search_page_deep(t):
+    """A page that is sought by day; the claims side keeps its own predicate."""
+    claims = t["claims"].where(S.needs_action_predicate("1") | S.F.col("claim_type").isNotNull())
+    return S.search_page_of(claims, t["employees"], t["divisions"], t["statuses"], S.SearchFilters(), page=100, limit=100)
+
+
+@query("search_page_deep_text", "L3", f"""
+{SEARCH_SQL}
+WHERE {_contains('mc-1')}
+{SEARCH_ORDER}
+LIMIT 100 OFFSET 9000""", ENRICH_FX)
+def _search_page_deep_text(t):
+    """A deep page of a text search: sought over the joined rows."""
+    return S.search_page_of(*(t[x] for x in ENRICH_FX), S.SearchFilters(search="mc-1"), page=91, limit=100)
 
 
 @query("newest_claim", "L5", f"""
@@ -132,7 +153,7 @@ def _search_page_unfiltered(t):
 {SEARCH_ORDER}
 LIMIT 1""", ENRICH_FX)
 def _newest_claim(t):
-    return S.newest_claim(_enriched(t))
+    return S.newest_claim(*(t[x] for x in ENRICH_FX))
 
 
 @query("status_facets", "U1", f"""
