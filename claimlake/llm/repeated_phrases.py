@@ -11,13 +11,13 @@ document with a smaller doc_id, or before in the same document.
    passages share an anchor, parts of them may recur: their windows are
    dealt one by one likewise.
 2. *Sharded automata.*  Confirmed passages go to the shards (buckets of
-   documents) in which they occur, with one place each; the words are
-   taken from there.  A shard compiles them with pyahocorasick, AUTOMATON
-   passages an automaton, over words coded as characters, so no automaton grows with
+   documents) in which they occur again; overlapping ones are put together, up
+   to about RUN words.  A shard compiles them with pyahocorasick, AUTOMATON
+   words an automaton, over words coded as characters, so no automaton grows with
    the corpus and no document meets passages that it cannot hold.
 3. *All documents are streamed* through the automata of their shard, which
-   locate every occurrence of every passage; occurrences after the first lose
-   their words.
+   locate every occurrence of every passage; occurrences in documents after the
+   passage's first one lose their words.
 
 No task holds a whole group: a task of the first scan combines its occurrences of a passage
 to one row, of a hot anchor to one row beside its passages, so a passage that a
@@ -47,7 +47,9 @@ from .word_arrays import byte_set, byte_slices, coded, split_words
 WINDOW = 20             # words of a window
 SEED = 8                # words of an anchor
 REACH = WINDOW - SEED + 1
-AUTOMATON = 1 << 15     # passages compiled into one automaton
+AUTOMATON = 1 << 18     # words of the passages compiled into one automaton
+DIGIT = 64              # values of a character
+RUN = 512               # words after which overlapping passages are no longer put together
 BUCKET_BYTES = 8 << 20  # text of a shard
 FLUSH = 1 << 19         # occurrences combined at once
 CHUNK = 1 << 20         # window starts hashed at once, below 2 ** 24
@@ -56,7 +58,7 @@ LETTER = byte_set(lambda b: b != 32 and not 9 <= b <= 13)
 PLACE = [("doc", "<i8"), ("row", "<u4"), ("at", "<u4"), ("size", "u1")]  # words at .. at + size of a document
 PHRASE = [("key", "<u8"), ("check", "<u4"), *PLACE]
 ANCHOR = [("seed", "<u8"), ("key", "<u8"), ("many", "u1"), *PLACE]
-FOUND = [*PLACE, ("first", "<i8")]
+FOUND = [("doc", "<i8"), ("row", "<u4"), ("at", "<u4"), ("size", "<u4"), ("first", "<i8")]
 
 
 def spread(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -132,8 +134,8 @@ class Runs:
         return [np.concatenate(p) for p in zip(*out)]
 
 
-def combine(a: dict, buckets: int) -> tuple[dict, dict]:
-    """(first places, others): of each phrase the places in its smallest document, one a row, and for each shard one other place.
+def combine(a: dict) -> tuple[dict, dict]:
+    """(first places, others): of each phrase the places in its smallest document, one a row, and all other places.
 
     The others carry ``first``, the phrase's smallest document known here.
     """
@@ -152,9 +154,31 @@ def combine(a: dict, buckets: int) -> tuple[dict, dict]:
     group = np.cumsum(phrase) - 1
     least = a["doc"][phrase][group] if n else a["doc"]
     own = (a["doc"] == least) & differs("key", "check", "doc", "row")
-    others = _taken({**a, "first": least}, ~own)
-    _, one = np.unique(group[~own] * buckets + shard_of(others["doc"], others["row"], buckets), return_index=True)
-    return _taken(a, own), _taken(others, one)
+    return _taken(a, own), _taken({**a, "first": least}, ~own)
+
+
+def put_together(a: dict) -> dict:
+    """Overlapping places of phrases that smaller documents have become one, with the largest of their ``first``.
+
+    Every word of it lies in one of the phrases, so wherever its words occur in a
+    document after ``first``, all of them go.  Places that repeat within
+    their document only stay as they are.
+    """
+    again = a["first"] >= a["doc"]
+    rest = _taken(a, again)
+    a = _taken(a, ~again)
+    a = _taken(a, np.lexsort((a["at"], a["row"], a["doc"])))
+    at, end = a["at"].astype(np.int64), a["at"].astype(np.int64) + a["size"]
+    if not len(at):
+        return rest
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (a["doc"][1:] != a["doc"][:-1]) | (a["row"][1:] != a["row"][:-1]) | (at[1:] // RUN != at[:-1] // RUN)
+    far = (np.cumsum(new) - 1) << 33
+    reach = np.maximum.accumulate(end + far) - far
+    new[1:] |= at[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    out = _taken(a, first) | {"size": (np.maximum.reduceat(end, first) - at[first]).astype(np.uint32), "first": np.maximum.reduceat(a["first"], first)}
+    return {n: np.concatenate([out[n], rest[n].astype(out[n].dtype)]) for n, _ in FOUND}
 
 
 def _by_shard(kind: str, a: dict, layout: list, buckets: int) -> list[tuple]:
@@ -167,7 +191,7 @@ def _occurrences(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed phrases and anchors by hash, and what a task can tell by itself by shard."""
     def flush(held):
         a = _joined(held, ["key", "check", "seed", "doc", "row", "at", "size"])
-        own, others = combine(a, buckets)
+        own, others = combine(a)
         order = np.lexsort((own["key"], own["seed"]))
         own = _taken(own, order)
         n = len(order)
@@ -181,7 +205,7 @@ def _occurrences(docs: DataFrame, buckets: int) -> DataFrame:
         anchors = _taken({**own, "many": many.astype(np.uint8)}, ~many | seed)
         return _batch(_rows("phrase", blobs_by(spread(own["key"], buckets), own, PHRASE))
                       + _rows("anchor", blobs_by(spread(anchors["seed"], buckets), anchors, ANCHOR))
-                      + _by_shard("ask", _taken(own, many), PLACE, buckets) + _by_shard("found", others, FOUND, buckets))
+                      + _by_shard("ask", _taken(own, many), PLACE, buckets) + _by_shard("found", put_together(others), FOUND, buckets))
 
     def run(batches):
         held, size = [], 0
@@ -275,8 +299,8 @@ def _shards(batches, limit: int | None = None):
 def _windows(rows: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     """Packed windows, as phrases by hash, of the passages asked for."""
     def flush(held):
-        own, others = combine(_joined(held, ["key", "check", "doc", "row", "at", "size"]), buckets)
-        return _batch(_rows("phrase", blobs_by(spread(own["key"], buckets), own, PHRASE)) + _by_shard("found", others, FOUND, buckets))
+        own, others = combine(_joined(held, ["key", "check", "doc", "row", "at", "size"]))
+        return _batch(_rows("phrase", blobs_by(spread(own["key"], buckets), own, PHRASE)) + _by_shard("found", put_together(others), FOUND, buckets))
 
     def run(batches):
         import pyarrow as pa
@@ -331,32 +355,44 @@ class Shard:
         self.ids = np.array(ids, dtype=np.int64)
         self.rows = dict(reversed([((d, k), i) for i, (d, k) in enumerate(zip(ids, keys))]))
 
-    def text(self, used: np.ndarray) -> str:
-        """All words as characters, one line a document; words not ``used`` are one character."""
-        table = np.ones(int(self.codes.max()) + 1 if len(self.codes) else 1, dtype="<u4")
-        letters = np.arange(2, 2 + len(used), dtype="<u4")
-        table[used] = np.where(letters < 0xD800, letters, letters + 0x800)   # surrogates are no characters
-        out = np.zeros(len(self.codes) + len(self.counts), dtype="<u4")
-        out[np.arange(len(self.codes)) + np.repeat(np.arange(len(self.counts)), self.counts)] = table[self.codes]
-        return out.tobytes().decode("utf-32-le")
+    def text(self, used: np.ndarray) -> tuple[str, int]:
+        """(all words as characters, how many a word), one line a document.
+
+        A node of an automaton looks through its children one by one, so words
+        are written as digits of DIGIT values, each place with letters of its own;
+        all words that are not ``used`` are alike.
+        """
+        width = 1
+        while DIGIT ** width < len(used):
+            width += 1
+        number = np.full(int(self.codes.max()) + 1 if len(self.codes) else 1, -1, dtype=np.int64)
+        number[used] = np.arange(len(used))
+        number = number[self.codes]
+        out = np.zeros((len(self.codes) + len(self.counts), width), dtype="<u4")
+        place = np.arange(len(self.codes)) + np.repeat(np.arange(len(self.counts)), self.counts)
+        for k in range(width):
+            out[place, k] = np.where(number < 0, 1, 2 + k * DIGIT + number // DIGIT ** (width - 1 - k) % DIGIT)
+        return out.tobytes().decode("utf-32-le"), width
 
     def removed(self, found: dict) -> np.ndarray:
         """Whether each word lies in an occurrence of a passage after its first one."""
         import ahocorasick
 
+        found = put_together(found)
         cover = np.zeros(len(self.codes) + 1, dtype=np.int64)
         row = np.array([self.rows[k] for k in zip(found["doc"].tolist(), found["row"].tolist())], dtype=np.int64)
         place = self.starts[row] + found["at"]
         size = found["size"].astype(np.int64)
         line_starts = self.starts + np.arange(len(self.starts))
-        for low in range(0, len(place), AUTOMATON):
-            part = slice(low, low + AUTOMATON)
+        share = np.cumsum(size) // AUTOMATON
+        for k in np.unique(share):
+            part = share == k
             a, n, r = place[part], size[part], row[part]
             each = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            text = self.text(np.unique(self.codes[each]))
+            text, width = self.text(np.unique(self.codes[each]))
             automaton, firsts, sizes = ahocorasick.Automaton(), [], []
             for at, length, first in zip((a + r).tolist(), n.tolist(), found["first"][part].tolist()):
-                phrase = text[at:at + length]
+                phrase = text[at * width:(at + length) * width]
                 known = automaton.get(phrase, None)
                 if known is None:
                     automaton.add_word(phrase, len(firsts))
@@ -366,10 +402,10 @@ class Shard:
                     firsts[known] = first
             automaton.make_automaton()
             firsts, sizes = np.array(firsts, dtype=np.int64), np.array(sizes, dtype=np.int64)
-            for b, e in self._stretches(line_starts, len(text)):
-                hits = np.array(list(automaton.iter(text, b, e)), dtype=np.int64).reshape(-1, 2)
+            for b, e in self._stretches(line_starts, len(text) // width):
+                hits = np.array(list(automaton.iter(text, b * width, e * width)), dtype=np.int64).reshape(-1, 2)
                 phrase = hits[:, 1]
-                at = hits[:, 0] - sizes[phrase] + 1
+                at = hits[:, 0] // width - sizes[phrase] + 1
                 line = np.searchsorted(line_starts, at, side="right") - 1
                 doc, first = self.ids[line], firsts[phrase]
                 again = doc > first
@@ -386,7 +422,7 @@ class Shard:
 
     @staticmethod
     def _stretches(line_starts: np.ndarray, size: int):
-        """Ranges of whole lines, about CHUNK characters each."""
+        """Ranges of whole lines, about CHUNK words each."""
         low = 0
         while low < size:
             k = int(np.searchsorted(line_starts, low + CHUNK, side="left"))

@@ -224,13 +224,13 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("flush, automaton, chunk", [(1 << 19, 1 << 15, 1 << 20), (40, 3, 50)])
-def test_repeated_phrases(docs, rows, monkeypatch, flush, automaton, chunk):
+@pytest.mark.parametrize("flush, automaton, chunk, run", [(1 << 19, 1 << 18, 1 << 20, 512), (40, 60, 50, 30)])
+def test_repeated_phrases(docs, rows, monkeypatch, flush, automaton, chunk, run):
     from pyspark import cloudpickle
 
     # small limits reach every split: several flushes a task, several automata a shard, texts hashed in chunks
     cloudpickle.register_pickle_by_value(phrases)
-    for name, value in (("FLUSH", flush), ("AUTOMATON", automaton), ("CHUNK", chunk)):
+    for name, value in (("FLUSH", flush), ("AUTOMATON", automaton), ("CHUNK", chunk), ("RUN", run)):
         monkeypatch.setattr(phrases, name, value)
     try:
         got = phrases.removal_summary(docs).collect()
