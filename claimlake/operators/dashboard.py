@@ -1,9 +1,11 @@
 """Dashboard figures and lists.
 
-A1, A3, A4 and the claims side of A2 are all read from one pre-aggregate of
-the claims table, ``claims_summary`` (one row per status × claim type), so a
-dashboard load scans the claims once; everything after it works on a few
-dozen rows.
+A1–A7 are all read from one pre-aggregate of the claims table,
+``claims_summary`` (one row per status × claim type): each has a form over the
+claims and a form over the summary (``…_of``).  A stored summary follows the
+claims by differences: a batch of updates adds its new rows and takes off the old ones
+(``summary_change``, ``changed_summary``), so a dashboard load reads a few
+dozen rows and no claims at all.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.text import ci, money
+from .common import is_small, restrict_to_keys
 from .facets import CANONICAL_STATUSES
 from .search import NEEDS_ACTION_STATUSES
 
@@ -30,14 +33,55 @@ def claims_summary(claims: DataFrame) -> DataFrame:
                  .alias("payable")))
 
 
+SUMMARY_KEYS = ["status_key", "claim_type"]
+SUMMARY_SUMS = ["n_rows", "n_ids", "payable"]
+
+
+def _added_up(parts: DataFrame) -> DataFrame:
+    types = {"n_rows": "long", "n_ids": "long", "payable": "decimal(28,2)"}
+    return parts.groupBy(*SUMMARY_KEYS).agg(*[F.sum(c).cast(types[c]).alias(c) for c in SUMMARY_SUMS])
+
+
+def summary_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What claims that were ``before`` and are ``after`` now change in their summary (only changed claims are needed)."""
+    gone = claims_summary(before).select(*SUMMARY_KEYS, *[(-F.col(c)).alias(c) for c in SUMMARY_SUMS])
+    return _added_up(claims_summary(after).unionByName(gone))
+
+
+def changed_summary(summary: DataFrame, change: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """The summary after a change.
+
+    Groups without claims are left out, or kept with zeros for a store that
+    overwrites groups by key.
+    """
+    now = _added_up(summary.unionByName(change))
+    return now if keep_empty else now.where(F.col("n_rows") != 0)
+
+
+def batch_summary_change(outcomes: DataFrame, claims: DataFrame, new_claims: DataFrame) -> DataFrame:
+    """The change of the summary by an update batch: ``outcomes`` name the claims it accepted, ``new_claims`` is the table after it."""
+    hit = outcomes.where(F.col("outcome") == "accepted").select("claim_id")
+    small = is_small(hit)
+    return summary_change(restrict_to_keys(claims, F.col("r_id"), hit, "claim_id", keys_small=small),
+                          restrict_to_keys(new_claims, F.col("r_id"), hit, "claim_id", keys_small=small))
+
+
 def total_claims(claims: DataFrame) -> DataFrame:
     """A1: every claim row."""
     return claims.agg(F.count(F.lit(1)).alias("total_claims"))
 
 
+def total_claims_of(summary: DataFrame) -> DataFrame:
+    return summary.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).cast("long").alias("total_claims"))
+
+
 def status_counts(statuses: DataFrame, claims: DataFrame) -> DataFrame:
     """A2: claims per status-table row, zero included, in display order."""
-    per_key = claims_summary(claims).groupBy("status_key").agg(F.sum("n_ids").alias("_n"))
+    return status_counts_of(statuses, claims_summary(claims))
+
+
+def status_counts_of(statuses: DataFrame, summary: DataFrame) -> DataFrame:
+    per_key = summary.groupBy("status_key").agg(F.sum("n_ids").alias("_n"))
     sts = statuses.select("s_id", "status_name", "status_order")
     # per_key is one row per status spelling; AQE broadcasts it from its runtime size
     joined = sts.join(per_key, ci(sts["status_name"]) == per_key["status_key"], "left")
@@ -53,7 +97,11 @@ def _sum_where(keys: tuple[str, ...]):
 
 def payment_summary(claims: DataFrame) -> DataFrame:
     """A3: paid, awaiting payment, and approved amounts (0 on empty input)."""
-    return claims_summary(claims).agg(
+    return payment_summary_of(claims_summary(claims))
+
+
+def payment_summary_of(summary: DataFrame) -> DataFrame:
+    return summary.agg(
         _sum_where((PAID,)).alias("total_paid_amount"),
         _sum_where((PAYMENT_APPROVED,)).alias("pending_payment_amount"),
         _sum_where(APPROVED_STATUSES).alias("total_approved_amount"))
@@ -64,6 +112,10 @@ def claim_type_counts(claims: DataFrame) -> DataFrame:
     return claims.groupBy("claim_type").agg(F.count(F.lit(1)).alias("total"))
 
 
+def claim_type_counts_of(summary: DataFrame) -> DataFrame:
+    return summary.groupBy("claim_type").agg(F.sum("n_rows").alias("total"))
+
+
 def _kpi_name(status: str) -> str:
     return status.lower().replace(" ", "_")
 
@@ -78,7 +130,10 @@ def status_kpis(statuses: DataFrame, claims: DataFrame) -> DataFrame:
     table shows 0 even if claims carry it); of duplicate names the last in
     display order wins.
     """
-    summary = claims_summary(claims)
+    return status_kpis_of(statuses, claims_summary(claims))
+
+
+def status_kpis_of(statuses: DataFrame, summary: DataFrame) -> DataFrame:
     per_key = summary.groupBy("status_key").agg(F.sum("n_ids").alias("_n"))
     sts = statuses.select("s_id", "status_name", "status_order")
     counted = (sts.join(per_key, ci(sts["status_name"]) == per_key["status_key"], "left")
@@ -98,7 +153,11 @@ def status_kpis(statuses: DataFrame, claims: DataFrame) -> DataFrame:
 
 def status_bars(statuses: DataFrame, claims: DataFrame) -> DataFrame:
     """Bar width per status, round(total / max(max total, 1) * 100) half up."""
-    counts = status_counts(statuses, claims)
+    return status_bars_of(statuses, claims_summary(claims))
+
+
+def status_bars_of(statuses: DataFrame, summary: DataFrame) -> DataFrame:
+    counts = status_counts_of(statuses, summary)
     # keyless window on the status list (one row per status), never on claims
     top = F.greatest(F.max("total").over(Window.partitionBy()), F.lit(1))
     return counts.withColumn(
@@ -107,7 +166,14 @@ def status_bars(statuses: DataFrame, claims: DataFrame) -> DataFrame:
 
 def type_share(claims: DataFrame) -> DataFrame:
     """Opd and specs counts, their total, and the opd share in percent."""
-    counts = claim_type_counts(claims)
+    return _share(claim_type_counts(claims))
+
+
+def type_share_of(summary: DataFrame) -> DataFrame:
+    return _share(claim_type_counts_of(summary))
+
+
+def _share(counts: DataFrame) -> DataFrame:
     kind = F.lower(F.col("claim_type"))
     opd = F.coalesce(F.sum(F.when(kind == "opd", F.col("total"))), F.lit(0)).cast("long")
     specs = F.coalesce(F.sum(F.when(kind == "specs", F.col("total"))), F.lit(0)).cast("long")
@@ -118,6 +184,7 @@ def type_share(claims: DataFrame) -> DataFrame:
                       .alias("opd_pct"))
 
 
+# Columns of the dashboard lists.
 LIST_COLUMNS = ["claim_id", "reference_no", "computer_no", "employee_name", "opd_date",
                 "amount_requested", "claim_type", "status_name", "created_at", "updated_at"]
 

@@ -22,10 +22,10 @@ from ..sources import sinks as K
 from ..sources import versions as V
 from ..sources.tables import SCHEMAS
 from ..streaming import jobs as T
-from .dashboard import STATUS_COUNTS_SQL
+from .dashboard import STATUS_COUNTS_SQL, _kpi_sql
 from .registry import query
 from .submissions import INGEST_FX, _ingested
-from .updates import DOCUMENT_C, STATUS_CTES, STATUS_FX, _state_sql
+from .updates import DOCUMENT_C, MEDICAL_C, PAYMENT_C, STATUS_CTES, STATUS_FX, _state_sql
 
 DOCUMENT_FIELDS = ["claim_id", "is_document_received", "document_received_date", "invoice_number"]
 DOCUMENT_ALIASES = {"is_document_received": ["physical_document_received"],
@@ -58,6 +58,51 @@ def _parse_requests(t):
     return R.parse_requests(t["document_bodies"], "body", DOCUMENT_FIELDS, DOCUMENT_ALIASES, keep=["seq"])
 
 
+# the field updates as JSON bodies, read back as VARIANT and applied: what came in decides as if it had come typed
+@query("document_body_outcomes", "S2", DOCUMENT_C.replace("FROM fx_document_updates", "FROM fx_document_updates WHERE seq % 13 <> 0 AND seq % 17 <> 0 AND seq % 19 <> 0") + """
+SELECT seq, cid AS claim_id, outcome FROM c
+UNION ALL SELECT seq, CASE WHEN seq % 13 = 0 THEN 0 END, CASE WHEN seq % 13 = 0 THEN 'invalid_input' ELSE 'invalid_body' END
+FROM fx_document_bodies WHERE seq % 13 = 0 OR seq % 17 = 0 OR seq % 19 = 0""", ("document_updates", "document_bodies", "claims"))
+def _document_body_outcomes(t):
+    """W4 from request bodies."""
+    parsed = R.read_bodies(t["document_bodies"], "body", DOCUMENT_FIELDS, DOCUMENT_ALIASES, keep=["seq", "ts"])
+    return R.body_outcomes(parsed, lambda u: W.apply_document_updates(u, t["claims"]).outcomes)
+
+
+NUMBER_FIELDS = ("approved_amount", "claim_id", "new_status_id")
+
+
+def _bodies(updates, fields):
+    """JSON bodies of update rows: all values as text, or in every other row, where they can be read so, numbers as JSON numbers."""
+    number = {f: F.col(f).try_cast("double") for f in fields if f in NUMBER_FIELDS}
+    text = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
+    typed = F.struct(*[number.get(f, F.col(f).cast("string")).alias(f) for f in fields])
+    readable = F.col("seq") % 2 == 0
+    for c in number.values():
+        readable = readable & c.isNotNull()
+    body = F.when(readable, F.to_json(typed, {"ignoreNullFields": "false"})).otherwise(F.to_json(text, {"ignoreNullFields": "false"}))
+    return updates.withColumn("body", body)
+
+
+def _register_bodies(name, op_id, sql, fixtures, source, fields, apply):
+    @query(name, op_id, sql, fixtures)
+    def _run(t):
+        parsed = R.read_bodies(_bodies(t[source], fields), "body", fields, keep=["seq", "ts", *(["updated_by"] if source == "status_updates" else [])])
+        return R.body_outcomes(parsed, lambda u: apply(u, t))
+    _run.__doc__ = f"{op_id}: outcomes from request bodies."
+
+
+_register_bodies("medical_body_outcomes", "S2", MEDICAL_C + "\nSELECT seq, cid AS claim_id, outcome FROM c", ("medical_updates", "claims"),
+                 "medical_updates", ["claim_id", "medical_recommendation", "medical_remark", "doctor_approved_date"],
+                 lambda u, t: W.apply_medical_updates(u, t["claims"]).outcomes)
+_register_bodies("payment_body_outcomes", "S2", PAYMENT_C + "\nSELECT seq, cid AS claim_id, outcome FROM c", ("payment_updates", "claims"),
+                 "payment_updates", ["claim_id", "approved_amount", "payment_approved_date", "paid_date"],
+                 lambda u, t: W.apply_payment_updates(u, t["claims"]).outcomes)
+_register_bodies("status_body_outcomes", "S2", STATUS_CTES + "\nSELECT seq, cid AS claim_id, outcome FROM v", STATUS_FX,
+                 "status_updates", ["claim_id", "new_status_id", "new_status_name", "remarks"],
+                 lambda u, t: W.apply_status_updates(u, t["claims"], t["statuses"], t["history"]).outcomes)
+
+
 @query("publish_claims", "S3", DOCUMENT_C + _state_sql(
     {"is_document_received": "received", "document_received_date": "dt", "invoice_number": "invoice"}),
     ("document_updates", "claims"))
@@ -173,6 +218,35 @@ def _publish_claim_changes(t):
     return V.read_current(t.spark, root, "claims")
 
 
+_PAID_STATE = PAYMENT_C + _state_sql({"approved_amount": "amount", "payment_approved_date": "pa", "paid_date": "paid"})
+
+
+@query("dashboard_after_updates", "A5", f"WITH paid AS ({_PAID_STATE}),\n" + _kpi_sql().replace("fx_claims", "paid").strip()[5:],
+       ("payment_updates", "claims", "statuses"))
+def _dashboard_after_updates(t):
+    """A5 from a stored summary that followed two batches of payment updates; claims and summary change in one commit."""
+    root = _scratch(t, "store")
+    keys = {"claims": "r_id", "summary": "group_key"}
+    V.publish_changes(t.spark, root, {"claims": t["claims"], "summary": _keyed(D.claims_summary(t["claims"]))}, keys)
+    half = F.col("claim_id") % 2
+    for part in (0, 1):
+        claims, summary = (V.read_current(t.spark, root, n) for n in keys)
+        batch = W.apply_payment_updates(t["payment_updates"].where(half == part), claims)
+        outcomes = checkpointed(batch.outcomes)
+        changed = outcomes.where("outcome = 'accepted'").select(F.col("claim_id").alias("_id")).distinct()
+        rows = checkpointed(batch.claims.join(changed, batch.claims["r_id"] == changed["_id"], "left_semi"))
+        change = D.batch_summary_change(outcomes, claims, rows)
+        totals = _keyed(D.changed_summary(summary.drop("group_key"), change, keep_empty=True))
+        V.publish_changes(t.spark, root, {"claims": rows, "summary": totals}, {}, batch=part)
+    return D.status_kpis_of(t["statuses"], V.read_current(t.spark, root, "summary").where("n_rows <> 0"))
+
+
+def _keyed(summary):
+    """A summary with one key column, as a store wants it."""
+    key = F.concat_ws(":", *[F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in D.SUMMARY_KEYS])
+    return summary.select(key.alias("group_key"), *D.SUMMARY_KEYS, *[F.col(c).cast(k).alias(c) for c, k in zip(D.SUMMARY_SUMS, ("long", "long", "decimal(28,2)"))])
+
+
 @query("stream_status_updates", "T2", STATUS_CTES + "\nSELECT seq, cid AS claim_id, outcome FROM v", STATUS_FX)
 def _stream_status_updates(t):
     """Status updates fed as four JSON files in ``seq`` order; one file per micro-batch."""
