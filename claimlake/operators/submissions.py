@@ -26,6 +26,10 @@ SUBMISSION_REMARK = "Claim submitted by employee"
 REFERENCE_PREFIX = "MC"
 REFERENCE_PATTERN = r"^MC-([0-9]{4})-([0-9]{1,18})$"
 
+# The normalised reference of stored claims, and how many references are looked up by name.
+REFERENCE_KEY = "reference_key"
+LITERAL_REFERENCES = 500
+
 TEXT_FIELDS = ["reference", "computer_number", "nic", "opd_date", "amount_requested",
                "claim_type", "claim_for", "patient_name"]
 
@@ -110,12 +114,20 @@ def reference_exists(requests: DataFrame, claims: DataFrame, ref_col: str = "ref
 
     The claims side is first cut down to the references the batch asks about
     (broadcast semi join when that key set is small), then made distinct (no
-    fan-out when the table holds a reference twice).
+    fan-out when the table holds a reference twice).  Claims stored with their
+    normalised reference (``sinks.write_claims``) are asked by literals for up to
+    LITERAL_REFERENCES references: row groups whose Bloom filter holds none of them are not read.
     """
     asked = requests.select(ci(ref_col).alias("_asked"))
-    known = (restrict_to_keys(claims.select(ci("reference").alias("_ref_key")), F.col("_ref_key"),
-                              asked, "_asked", keys_small=keys_small)
-             .distinct())
+    stored = REFERENCE_KEY in claims.columns
+    taken = claims.select((F.col(REFERENCE_KEY) if stored else ci("reference")).alias("_ref_key"))
+    few = None
+    if stored:
+        few = [r[0] for r in asked.where(F.col("_asked").isNotNull()).distinct().limit(LITERAL_REFERENCES + 1).collect()]
+    if few is not None and len(few) <= LITERAL_REFERENCES:
+        known = taken.where(F.col("_ref_key").isin(few) if few else F.lit(False)).distinct()
+    else:
+        known = restrict_to_keys(taken, F.col("_ref_key"), asked, "_asked", keys_small=keys_small).distinct()
     out = requests.join(known, ci(requests[ref_col]) == known["_ref_key"], "left")
     return out.withColumn("reference_exists", F.col("_ref_key").isNotNull()).drop("_ref_key")
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import NUMERIC_PATTERN
 from ..operators import submissions as W
+from ..session import scratch_path
+from ..sources.sinks import read_claims, write_claims
+from ..sources.tables import SCHEMAS
 from .registry import query
 from .sqltext import EMP_BY_CREDENTIALS, text_or_empty
 
@@ -105,14 +110,26 @@ def _submission_history(t):
     return W.submission_history(ingested, t["history"])
 
 
-@query("reference_exists", "J7", """
+REFERENCE_EXISTS_SQL = """
 WITH x AS (SELECT DISTINCT lower(rtrim(reference)) AS k FROM fx_claims WHERE reference IS NOT NULL)
 SELECT s.seq, s.reference, x.k IS NOT NULL AS reference_exists
-FROM fx_submissions s LEFT JOIN x ON x.k = lower(rtrim(s.reference))""", ("submissions", "claims"))
+FROM fx_submissions s LEFT JOIN x ON x.k = lower(rtrim(s.reference))"""
+
+
+@query("reference_exists", "J7", REFERENCE_EXISTS_SQL, ("submissions", "claims"))
 def _reference_exists(t):
     return W.reference_exists(t["submissions"].select("seq", "reference"), t["claims"])
 
 
+@query("reference_exists_stored", "J7", REFERENCE_EXISTS_SQL, ("submissions", "claims"))
+def _reference_exists_stored(t):
+    """J7 against claims stored with a Bloom filter of the reference."""
+    path = scratch_path(t.spark, "claimlake", "claims-by-year", uuid.uuid4().hex)
+    write_claims(t["claims"], path)
+    stored = read_claims(t.spark, path, SCHEMAS["claims"], keep_key=True)
+    return W.reference_exists(t["submissions"].select("seq", "reference"), stored)
+
+
 _PAT = "^MC-([0-9]{4})-([0-9]{1,18})$"
 
 

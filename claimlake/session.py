@@ -20,6 +20,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # lists of up to so many values are pushed to Parquet value by value, where Bloom filters can answer them
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
     # of a key that a JSON body repeats the last value counts
     "spark.sql.variant.allowDuplicateKeys": "true",
     # top-k per group (paging) is planned as a partial limit before the shuffle

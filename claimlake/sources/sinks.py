@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from ..functions.text import ci
 from ..operators.common import checkpointed
+from ..operators.submissions import REFERENCE_KEY
 
 COMMITS = "_commits"
 
@@ -68,26 +70,43 @@ def read_published(spark: SparkSession, root: str, name: str, version: int | Non
 # Claims are stored partitioned by the year of the OPD date: a batch of updates
 # mostly touches recent claims, and date-range reads can skip whole years.
 CLAIM_PARTITION = "opd_year"
+# Distinct references expected in a row group of claims (about 128 MB): sizes its Bloom filter.
+REFERENCES_PER_GROUP = 1_000_000
 
 
 def with_claim_partition(claims: DataFrame) -> DataFrame:
     return claims.withColumn(CLAIM_PARTITION, F.year("opd_date"))
 
 
-def write_claims(claims: DataFrame, path: str) -> None:
-    """The whole claims table, one folder per OPD year."""
-    with_claim_partition(claims).write.mode("overwrite").partitionBy(CLAIM_PARTITION).parquet(path)
+def with_reference_key(claims: DataFrame) -> DataFrame:
+    """Claims with the normalised reference as a column of its own, so that lookups by it reach the files."""
+    return claims.withColumn(REFERENCE_KEY, ci("reference"))
 
 
-def read_claims(spark: SparkSession, path: str, schema, keep_partition: bool = False) -> DataFrame:
+def _writer(claims: DataFrame, distinct_references: int):
+    """A writer that adds a Bloom filter of the normalised reference to every row group."""
+    return (claims.write.option(f"parquet.bloom.filter.enabled#{REFERENCE_KEY}", "true")
+            .option(f"parquet.bloom.filter.expected.ndv#{REFERENCE_KEY}", str(distinct_references)))
+
+
+def write_claims(claims: DataFrame, path: str, distinct_references: int = REFERENCES_PER_GROUP) -> None:
+    """The whole claims table, one folder per OPD year; ``distinct_references`` sizes the Bloom filter of a row group."""
+    rows = with_reference_key(with_claim_partition(claims))
+    _writer(rows, distinct_references).mode("overwrite").partitionBy(CLAIM_PARTITION).parquet(path)
+
+
+def read_claims(spark: SparkSession, path: str, schema, keep_partition: bool = False, keep_key: bool = False) -> DataFrame:
     """Claims written by :func:`write_claims`, with the declared columns.
 
     With ``keep_partition`` the ``opd_year`` column stays, so OPD-date filters
-    (F5) can also prune whole year folders.
+    (F5) can also prune whole year folders.  With ``keep_key`` the normalised
+    reference stays, by which J7 skips row groups.
     """
     cols = [F.col(f.name).cast(f.dataType) for f in schema.fields]
     if keep_partition:
         cols.append(F.col(CLAIM_PARTITION))
+    if keep_key:
+        cols.append(F.col(REFERENCE_KEY))
     return spark.read.parquet(path).select(*cols)
 
 
@@ -102,7 +121,7 @@ def rewrite_changed_partitions(new_claims: DataFrame, changed_ids: DataFrame, pa
     dynamic partition overwrite, so every other year's files stay as they are.
     Returns the rewritten years.
     """
-    staged = with_claim_partition(new_claims)
+    staged = with_reference_key(with_claim_partition(new_claims))
     ids = changed_ids.select(F.col(id_col).alias("_changed")).distinct()
     years = (staged.join(ids, staged["r_id"] == ids["_changed"], "left_semi")
              .select(CLAIM_PARTITION).distinct())
@@ -113,7 +132,7 @@ def rewrite_changed_partitions(new_claims: DataFrame, changed_ids: DataFrame, pa
     if None in touched:
         cond = cond | F.col(CLAIM_PARTITION).isNull()
     part = checkpointed(staged.where(cond))
-    (part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_writer(part, REFERENCES_PER_GROUP).mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(CLAIM_PARTITION).parquet(path))
     return touched
 
