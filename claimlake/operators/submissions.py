@@ -8,7 +8,7 @@ duplicate check (last) looks at earlier rows and at the claims table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -232,3 +232,53 @@ def assign_references(submissions: DataFrame, claims: DataFrame, ts_col: str = "
     out = s.join(made, s["seq"] == made["_bseq"], "left")
     return out.select("seq", F.coalesce(F.col("_new"), F.col("_ref")).alias("reference"),
                       (F.col("_ref") == "").alias("assigned"))
+
+
+# The five-digit numbers of a year's references.
+FIRST_NUMBER, LAST_NUMBER = 10_000, 99_999
+FIVE_DIGITS = r"^MC-([0-9]{4})-([1-9][0-9]{4})$"
+PLACES = 64     # places of free numbers that are joined at once
+
+
+def free_numbers(used: DataFrame, years: DataFrame) -> DataFrame:
+    """The free numbers of each year as gaps: ``_y``, ``_from`` (first number), ``_place`` (free numbers before it), ``_size``.
+
+    ``used`` are (``_y``, ``_n``).  A gap lies between two used numbers that follow one another, so a
+    year has at most as many gaps as used numbers, and never more than half of all numbers.
+    """
+    edge = years.select("_y", F.lit(LAST_NUMBER + 1).alias("_n"))
+    order = Window.partitionBy("_y").orderBy("_n")
+    gaps = (used.where(F.col("_n").between(FIRST_NUMBER, LAST_NUMBER)).join(F.broadcast(years), "_y", "left_semi").distinct()
+            .unionByName(edge)
+            .withColumn("_from", F.coalesce(F.lag("_n").over(order) + 1, F.lit(FIRST_NUMBER)))
+            .withColumn("_size", F.col("_n") - F.col("_from")).where(F.col("_size") > 0))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return gaps.withColumn("_place", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_n")
+
+
+def assign_free_references(submissions: DataFrame, claims: DataFrame, ts_col: str = "submitted_at") -> DataFrame:
+    """W10 within five digits: the n-th blank reference of a year (by ``seq``) gets the year's n-th free number.
+
+    Free are numbers that neither a claim nor the batch has.  Numbers are not listed
+    but kept as gaps, and places of requests fall into gaps by an interval join on
+    (year, stretch of PLACES places), so a year in which all requests fall is split.
+    ``outcome``: ``given``, ``assigned``, or ``none_free`` (reference NULL) when
+    the year has no free number left.
+    """
+    s = submissions.select("seq", text_or_empty("reference").alias("_ref"), F.year(ts_col).alias("_year"))
+    taken = (claims.select(F.upper(F.rtrim("reference")).alias("_r"))
+             .unionByName(s.select(F.upper(F.rtrim("_ref")).alias("_r"))).where(F.col("_r").rlike(FIVE_DIGITS)))
+    used = taken.select(F.regexp_extract("_r", FIVE_DIGITS, 1).try_cast("int").alias("_y"), F.regexp_extract("_r", FIVE_DIGITS, 2).try_cast("int").alias("_n"))
+    blanks = s.where(F.col("_ref") == "").select(F.col("seq").alias("_bseq"), F.col("_year").alias("_y"))
+    years = blanks.select("_y").where(F.col("_y").isNotNull()).distinct()  # at most one row a calendar year
+    gaps = free_numbers(used, years)
+    last = F.col("_place") + F.col("_size") - 1
+    gaps = gaps.withColumn("_part", F.explode(F.sequence((F.col("_place") / PLACES).cast("int"), (last / PLACES).cast("int"))))
+    places = (number_rows(blanks, ["_bseq"], ["_y"], out="_k").withColumn("_k", F.col("_k") - 1)
+              .where(F.col("_k") <= LAST_NUMBER - FIRST_NUMBER).withColumn("_part", (F.col("_k") / PLACES).cast("int")))
+    hit = places.join(gaps, ["_y", "_part"]).where((F.col("_k") >= F.col("_place")) & (F.col("_k") <= last))
+    made = hit.select("_bseq", F.format_string(f"{REFERENCE_PREFIX}-%04d-%05d", F.col("_y"), (F.col("_from") + F.col("_k") - F.col("_place")).cast("int")).alias("_new"))
+    out = s.join(made, s["seq"] == made["_bseq"], "left")
+    blank = F.col("_ref") == ""
+    return out.select("seq", F.when(blank, F.col("_new")).otherwise(F.col("_ref")).alias("reference"),
+                      F.when(~blank, F.lit("given")).when(F.col("_new").isNotNull(), F.lit("assigned")).otherwise(F.lit("none_free")).alias("outcome"))

@@ -146,3 +146,23 @@ SELECT s.seq, CASE WHEN s.ref = '' THEN printf('MC-%d-%05d', b.y, COALESCE(mx.m,
 FROM s LEFT JOIN b ON b.seq = s.seq LEFT JOIN mx ON mx.y = b.y""", ("submissions", "claims"))
 def _assign_references(t):
     return W.assign_references(t["submissions"], t["claims"])
+
+
+# claims whose references use up most of two years' five-digit numbers here and there
+_FIVE_DIGIT_CLAIMS = "'MC-' || CAST(2024 + r_id % 2 AS VARCHAR) || '-' || CAST(10000 + (r_id * 7) % 600 AS VARCHAR)"
+
+
+@query("assign_free_references", "W10", f"""
+WITH s AS (SELECT seq, year(submitted_at) AS y, {text_or_empty('reference')} AS ref FROM fx_submissions),
+taken AS (SELECT upper(rtrim({_FIVE_DIGIT_CLAIMS})) AS r FROM fx_claims UNION SELECT upper(rtrim(ref)) FROM s),
+free AS (SELECT y, n, row_number() OVER (PARTITION BY y ORDER BY n) AS k
+  FROM (SELECT DISTINCT y FROM s WHERE ref = '') years, range(10000, 100000) numbers(n)
+  WHERE 'MC-' || printf('%04d', y) || '-' || CAST(n AS VARCHAR) NOT IN (SELECT r FROM taken)),
+b AS (SELECT seq, y, row_number() OVER (PARTITION BY y ORDER BY seq) AS k FROM s WHERE ref = '')
+SELECT s.seq, CASE WHEN s.ref <> '' THEN s.ref WHEN n IS NOT NULL THEN 'MC-' || printf('%04d', s.y) || '-' || CAST(n AS VARCHAR) END AS reference,
+  CASE WHEN s.ref <> '' THEN 'given' WHEN n IS NOT NULL THEN 'assigned' ELSE 'none_free' END AS outcome
+FROM s LEFT JOIN b ON b.seq = s.seq LEFT JOIN free ON free.y = b.y AND free.k = b.k""", ("submissions", "claims"))
+def _assign_free_references(t):
+    claims = t["claims"].withColumn("reference", F.format_string(
+        "MC-%d-%d", 2024 + F.col("r_id") % 2, (10000 + (F.col("r_id") * 7) % 600).cast("int")))
+    return W.assign_free_references(t["submissions"], claims)
