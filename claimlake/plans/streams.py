@@ -20,7 +20,7 @@ from ..session import scratch_path
 from ..sources import requests as R
 from ..sources import sinks as K
 from ..sources import versions as V
-from ..sources.tables import SCHEMAS
+from ..sources.tables import SCHEMAS, read_tables
 from ..streaming import jobs as T
 from .dashboard import STATUS_COUNTS_SQL, _kpi_sql
 from .registry import query
@@ -129,6 +129,16 @@ def _publish_claim_partitions(t):
     return K.read_claims(t.spark, path, SCHEMAS["claims"])
 
 
+@query("read_tables", "S1", STATUS_COUNTS_SQL, ("statuses", "claims"))
+def _read_tables(t):
+    """A2 over tables written as Parquet folders and read by the typed source."""
+    root = _scratch(t, "tables")
+    for name in ("claims", "statuses"):
+        t[name].write.parquet(os.path.join(root, name))
+    tables = read_tables(t.spark, root, ["claims", "statuses"])
+    return D.status_counts(tables["statuses"], tables["claims"])
+
+
 @query("export_json", "S4", STATUS_COUNTS_SQL, ("statuses", "claims"))
 def _export_json(t):
     """A2 written as JSON lines and read back with its schema."""
