@@ -30,15 +30,19 @@ import uuid
 from array import array
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Generations, crc32, file_system, materialize, scratch_dir, shuffle_partitions, text_or_empty
+from .common import BATCH_ROWS, Generations, crc32, file_system, materialize, scratch_dir, shuffle_partitions, text_or_empty
+from .word_arrays import batches_of, byte_set, byte_slices, coded, split_words
 
 MAGIC = b"FRV1"
 HEADER = struct.Struct("<4sIQQ")
 BLOCK_TOKENS = 1 << 20
 CACHE_WORDS = 300_000
+ENCODE_BYTES = 1 << 24  # text encoded at once; a longer text is encoded by itself
+CHUNK_BYTE = byte_set(lambda b: b not in (10, 32))
 LENGTHS = np.array([[1 + (c >> (2 * k) & 3) for k in range(4)] for c in range(256)], dtype=np.int64)
 
 
@@ -49,21 +53,28 @@ class WordEncoder:
 
     The tokenizer's normalizer maps white space to blanks and its
     pre-tokenizer drops them, so no piece crosses a blank or line feed: the ids
-    of a text are those of its chunks in turn.  A chunk of printable ASCII needs
-    only lower case and the pre-tokenizer's split before the library's model;
-    any other chunk passes through the library's own normalizer and
-    pre-tokenizer.
+    of a text are those of its chunks in turn.  *Simple* chunks (printable ASCII
+    without apostrophes, and Latin-1 letters) are put into lower case and split into
+    pieces with numpy: runs of letters, single digits, runs of other signs.  Of
+    other chunks those of Latin letters take a pattern in Python, and all others the
+    library's own normalizer and pre-tokenizer.  Distinct pieces go through the
+    library's model.  A text with the string of an added token goes through the
+    library's ``encode`` as a whole.
     """
 
     # the ASCII form of the tokenizer file's split pattern (fixed value)
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
     PLAIN = re.compile(r"[!-~]*").fullmatch
+    LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u01c3\u01cd-\u01f0\u01f4-\u024f]*").fullmatch  # no title case, no letter that lower case makes two
+    LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        self.latin_pieces = regex.compile(self.LATIN_PIECES).findall
+        self.byte_letters = byte_letters()
+        self.added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.pieces = Generations(CACHE_WORDS)  # piece -> ids as bytes
@@ -72,25 +83,114 @@ class WordEncoder:
     def _split(self, chunk: str) -> list[str]:
         if self.PLAIN(chunk):
             return self.PIECES.findall(chunk.lower())
+        if self.LATIN(chunk):
+            return [p.encode("utf-8").decode("latin-1").translate(self.byte_letters) for p in self.latin_pieces(chunk.lower())]
         text = self.tokenizer.normalizer.normalize_str(chunk)
         return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Fill the caches for all of ``chunks``."""
-        split = self._split
-        new = {chunk: split(chunk) for chunk in self.chunks.missing(chunks)}
-        pieces = self.pieces.missing({piece for found in new.values() for piece in found})
+    def _learn(self, items: list[bytes]) -> list[bytes]:
+        """The ids of each distinct item: a piece of a simple chunk, or a whole other chunk."""
+        simple = [SIMPLE(i) is not None for i in items]
+        pieces = [i.decode("latin-1").translate(self.byte_letters) if s else None for i, s in zip(items, simple)]
+        chunks = {i.decode("utf-8") for i, s in zip(items, simple) if not s}
+        new = {chunk: self._split(chunk) for chunk in self.chunks.missing(chunks)}
+        wanted = {piece for found in new.values() for piece in found}
+        wanted.update(p for p in pieces if p is not None)
         tokenize, code = self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
-        self.pieces.now.update((p, array(code, [t.id for t in tokenize(p)]).tobytes()) for p in pieces)
+        missing = self.pieces.missing(wanted)
         ids = self.pieces.now
-        self.chunks.now.update((chunk, ids[found[0]] if len(found) == 1 else b"".join([ids[p] for p in found])) for chunk, found in new.items())
+        for p in missing:
+            ids[p] = array(code, [t.id for t in tokenize(p)]).tobytes()
+        known = self.chunks.now
+        for chunk, found in new.items():
+            known[chunk] = b"".join([ids[p] for p in found])
+        return [ids[p] if p is not None else known[i.decode("utf-8")] for i, p in zip(items, pieces)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of ``self.dtype``."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        self._learn(set().union(*split))
-        ids = self.chunks.now
-        return [b"".join([ids[chunk] for chunk in chunks]) for chunks in split]
+        import pyarrow as pa
+
+        return [ids for part in self.encode_column(pa.array(texts, pa.string())) for ids in part]
+
+    def encode_column(self, column):
+        """Lists of the ids of the texts of an Arrow array, slice by slice.
+
+        The pieces of a slice are coded by an Arrow dictionary; only distinct
+        ones are looked up, and the ids of all are gathered by their codes.
+        """
+        for first, end in byte_slices(column, ENCODE_BYTES):
+            part = column.slice(first, end - first)
+            items, counts = pieces_of(*split_words(part, CHUNK_BYTE))
+            codes, distinct = coded(items)
+            ids = self._learn(distinct)
+            flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
+            size = np.array([len(i) for i in ids], dtype=np.int64) // self.width
+            starts = (np.cumsum(size) - size)[codes]
+            size = size[codes]
+            ends = np.cumsum(size)
+            out = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + size, size)]
+            edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            found = [out[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+            for i in self._with_added_tokens(part):
+                text = part[i].as_py()
+                found[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+            yield found
+
+    def _with_added_tokens(self, column) -> list[int]:
+        """Rows whose text holds the string of an added token, which the library cuts out before it splits."""
+        import pyarrow.compute as pc
+
+        rows: set[int] = set()
+        for token in self.added:
+            texts = column
+            if token.normalized:  # looked for in the normalized text
+                import pyarrow as pa
+
+                texts = pa.array([self.tokenizer.normalizer.normalize_str(t) for t in column.to_pylist()], pa.string())
+            rows.update(np.flatnonzero(pc.match_substring(texts, token.content).to_numpy(zero_copy_only=False)).tolist())
+        return sorted(rows)
+
+
+# classes of bytes in simple chunks: 0 letters (with the two bytes of a Latin-1 letter), 1 digits, 2 other signs
+_KIND = np.array([1 if 48 <= b <= 57 else 0 if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 2 for b in range(256)], dtype=np.uint8)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+_PLAIN = byte_set(lambda b: 33 <= b <= 126 and b != 39)
+SIMPLE = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*").fullmatch
+
+
+def pieces_of(chunks, counts: np.ndarray):
+    """(items, counts): the pieces of simple chunks in lower case and all other chunks whole, and how many each row has."""
+    import pyarrow as pa
+
+    n = len(chunks)
+    offsets = np.frombuffer(chunks.buffers()[1], dtype=np.int64, count=n + 1)
+    data = np.frombuffer(chunks.buffers()[2], dtype=np.uint8)
+    if not n:
+        return chunks, counts
+    lead = data == 0xC3
+    after = np.zeros(len(data), dtype=bool)
+    after[1:] = lead[:-1]
+    odd = ~_PLAIN[data] & ~lead & ~(after & (data >= 0x80) & (data != 0x97) & (data != 0xB7))
+    simple = ~np.logical_or.reduceat(odd, offsets[:-1])
+    inside = np.repeat(simple, np.diff(offsets))
+    small = np.where(inside, _LOWER[data], data)
+    small[inside & after & (data <= 0x9E)] += 32
+    kind = _KIND[data]
+    starts = np.zeros(len(data), dtype=bool)
+    starts[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 1))
+    starts[offsets[:-1]] = True
+    each = np.add.reduceat(starts, offsets[:-1], dtype=np.int64)
+    places = np.append(np.flatnonzero(starts), len(data))
+    items = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64).tobytes()), pa.py_buffer(small.tobytes())])
+    edges = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
+    return items, np.diff(edges)
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be seen, else one from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -111,10 +211,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
 
         enc = encoder(tokenizer_path)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
-        for batch in batches:
-            ids = [b + end for b in enc.encode(batch.column(1).to_pylist())]
-            counts = [len(b) // enc.width for b in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        # words repeat: the more text is coded at once, the fewer distinct words are looked up
+        for held in batches_of(batches, 1, ENCODE_BYTES):
+            keys, texts = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+            ids = [b + end for part in enc.encode_column(texts) for b in part]
+            for low in range(0, len(ids), BATCH_ROWS):
+                part = ids[low:low + BATCH_ROWS]
+                counts = [len(b) // enc.width for b in part]
+                yield pa.RecordBatch.from_arrays([keys.slice(low, len(part)), pa.array(counts, pa.int64()), pa.array(part, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")

@@ -20,6 +20,20 @@ def byte_slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         first = end
 
 
+def batches_of(batches, column: int, limit: int) -> Iterator[list]:
+    """Lists of consecutive Arrow batches with about ``limit`` bytes of texts in ``column``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        offsets = _offsets(batch.column(column))
+        size += int(offsets[-1] - offsets[0])
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _offsets(column) -> np.ndarray:
     wide = str(column.type) in ("large_string", "large_binary")
     raw = column.buffers()[1]

@@ -52,7 +52,8 @@ def test_token_files(spark, stored):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
+    planted = ["a <|endoftext|> b", "<|endoftext|><|startoftext|>x", "<|EndOfText|> <|end oftext|>", "n<|startoftext|>\n<|endoftext", "<|endoftext|>"]
+    stored = stored.unionByName(spark.createDataFrame([(900 + i, t) for i, t in enumerate(planted)], "doc_id long, text string"), allowMissingColumns=True)
     manifest, id_of = token_files.write_token_files(stored, WORDS, end_id=2)
     got = sorted(rows_of(token_files.read_token_files(manifest, id_of).select("doc_id", "n_tokens", "ids")), key=str)
     want = [(r.doc_id, tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in stored.collect()]
