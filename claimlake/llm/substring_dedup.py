@@ -15,9 +15,12 @@ suffixes that can matter are sorted:
    none is.  Where only the anchor is shared, the contexts differ somewhere,
    e.g. at the edge of a copied passage; their bytes are fetched.
 3. *Suffixes* of the fetched contexts are put into suffix order by deep-shallow
-   sorting: a multikey quicksort, eight bytes a key, to a shallow depth of 24
+   sorting: a multikey quicksort, eight bytes a key, to a shallow depth of 40
    bytes, then a blind trie for every group that is still tied.  Windows that
-   end in one leaf are equal, and repeats of the smallest document there.
+   end in one leaf are equal, and repeats of the smallest document there.  A
+   seed with more than HOT contexts (the edges of a passage that very many
+   documents share) is split: its windows are combined within a task and dealt
+   by their own bytes.
 4. The marks go back to the texts, which yield the removed runs.
 
 Marks and contexts travel as packed blobs, keyed by a bucket of documents or of
@@ -44,15 +47,16 @@ from .shingles import _BASE, _INVERSE, mix, powers
 LENGTH = 50             # bytes of a string that counts
 SEED = 20               # bytes of an anchor
 SIDE = LENGTH - SEED    # bytes a window can reach to either side of its anchor
-SHALLOW = 24            # bytes sorted by multikey quicksort before the tries
+SHALLOW = 40            # bytes sorted by multikey quicksort before the tries
 DOCS_PER_BUCKET = 4000
 SLICE = 1 << 22         # bytes hashed at once
 FLUSH = 1 << 19         # anchors packed at once
+HOT = 1 << 15           # contexts of a seed that are compared in one task; beyond, its windows are dealt by their bytes
 LAST = np.int64(2 ** 63 - 1)
 
 ANCHOR = [("seed", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("at", "<u4")]
 MARK = [("doc", "<i8"), ("text", "<u4"), ("at", "<u4"), ("mask", "<u4")]  # bit o: the window that begins o before ``at``
-ASK = [("doc", "<i8"), ("text", "<u4"), ("at", "<u4"), ("seed", "<u8")]
+ASK = [("doc", "<i8"), ("text", "<u4"), ("at", "<u4"), ("seed", "<u8"), ("hot", "u1")]
 ALL = np.uint32((1 << (SIDE + 1)) - 1)
 
 
@@ -251,7 +255,9 @@ def _decide(rows: DataFrame, buckets: int) -> DataFrame:
             # a seed with contexts of several documents: fetch them all
             least = first_of((rest["seed"],), rest["doc"])
             most = -first_of((rest["seed"],), -rest["doc"])
-            asks = {n: v[least < most] for n, v in rest.items()}
+            several = least < most
+            _, seed, n = np.unique(rest["seed"], return_inverse=True, return_counts=True)
+            asks = {n: v[several] for n, v in rest.items()} | {"hot": (n[seed] > HOT)[several].astype(np.uint8)}
             return _batch(_rows("mark", blobs_by(doc_bucket(marks["doc"], marks["text"], buckets), marks, MARK))
                           + _rows("ask", blobs_by(doc_bucket(asks["doc"], asks["text"], buckets), asks, ASK)))
 
@@ -338,41 +344,116 @@ class BlindTrie:
         return out
 
 
+def row_hash(windows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of a byte matrix."""
+    padded = np.zeros((len(windows), -(-windows.shape[1] // 8) * 8), dtype=np.uint8)
+    padded[:, :windows.shape[1]] = windows
+    out = np.zeros(len(windows), dtype=np.uint64)
+    for column in padded.view("<u8").T:
+        out = mix(out * _BASE + column)
+    return out
+
+
+def distinct_rows(windows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, inverse): the first of each group of equal rows (of equal ``keys``), and the group of each row.
+
+    Groups are found by hashes; rows that differ from their group's first one
+    become groups of their own, so a collision only costs work.
+    """
+    hashes = row_hash(windows)
+    for k in keys:
+        hashes = mix(hashes ^ mix(k.astype(np.uint64)))
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    same = (windows == windows[first[inverse]]).all(axis=1)
+    for k in keys:
+        same &= k == k[first[inverse]]
+    odd = np.flatnonzero(~same)
+    inverse[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate([first, odd]), inverse
+
+
 def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, class) of the rows of a byte matrix by deep-shallow sorting; equal rows share a class."""
+    """(order, class) of the rows of a byte matrix by deep-shallow sorting; equal rows share a class.
+
+    Equal rows are sorted once: however often a window occurs, it is one key in
+    the quicksort and one leaf in a trie.
+    """
+    first, inverse = distinct_rows(windows)
+    order, same = _order_distinct(windows[first])
+    rank = np.empty(len(first), dtype=np.int64)
+    rank[order] = same
+    rank = rank[inverse]
+    order = np.argsort(rank, kind="stable")
+    return order, rank[order]
+
+
+def _order_distinct(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order, group = shallow_sort(windows)
-    final = np.zeros(len(order), dtype=np.int64)
     _, first, n = np.unique(group, return_index=True, return_counts=True)
-    rest = [w.tobytes() for w in np.ascontiguousarray(windows[order, SHALLOW:])]
-    number = 0
-    for a, size in zip(first.tolist(), n.tolist()):
-        if size == 1:
-            final[a] = number
-            number += 1
-            continue
-        leaves = BlindTrie(rest[a:a + size]).leaves()
-        flat = [i for leaf in leaves for i in leaf]
-        order[a:a + size] = order[a:a + size][flat]
-        final[a:a + size] = number + np.repeat(np.arange(len(leaves)), [len(leaf) for leaf in leaves])
-        number += len(leaves)
-    return order, final
+    classes = np.zeros(len(order), dtype=np.int64)  # by position: a new class begins here
+    classes[first] = 1
+    for a, size in zip(first[n > 1].tolist(), n[n > 1].tolist()):
+        rest = np.ascontiguousarray(windows[order[a:a + size], SHALLOW:])
+        leaves = BlindTrie([r.tobytes() for r in rest]).leaves()
+        order[a:a + size] = order[a:a + size][[i for leaf in leaves for i in leaf]]
+        at = a
+        for leaf in leaves:
+            classes[at] = 1
+            at += len(leaf)
+    return order, np.cumsum(classes) - 1
 
 
 CONTEXT = [("seed", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("at", "<u4"), ("left", "u1"), ("size", "u1"), *[(f"b{i}", "u1") for i in range(SIDE + LENGTH)]]
 
 
+def _context_windows(raw: np.ndarray, left: np.ndarray, size: np.ndarray):
+    """(owner, place of the window's first byte, bytes from there to the anchor, window) of all windows of contexts, in parts."""
+    for low in range(0, len(raw), FLUSH >> 5):
+        part = slice(low, low + (FLUSH >> 5))
+        n = size[part].astype(np.int64) - LENGTH + 1
+        owner = np.repeat(np.arange(len(n)), n)
+        begin = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        yield owner + low, begin, left[part].astype(np.int64)[owner] - begin, raw[part][owner[:, None], begin[:, None] + np.arange(LENGTH)]
+
+
+def _hot_windows(c: dict, raw: np.ndarray, buckets: int) -> list[tuple]:
+    """Windows of contexts of hot seeds, as contexts of their own, dealt by their bytes.
+
+    A task sends a window once, with the smallest document that has it; its places in
+    other documents are marked here.
+    """
+    out = []
+    for owner, _, before, windows in _context_windows(raw, c["left"], c["size"]):
+        doc, seed = c["doc"][owner], c["seed"][owner]
+        _, same = distinct_rows(windows, seed, before)
+        least = np.full(int(same.max()) + 1, LAST, dtype=np.int64)
+        np.minimum.at(least, same, doc)
+        later = doc > least[same]
+        at = np.flatnonzero(later)
+        marks = {"doc": doc[at], "text": c["text"][owner[at]], "at": c["at"][owner[at]], "mask": np.uint32(1) << before[at].astype(np.uint32)}
+        out += _rows("mark", blobs_by(doc_bucket(marks["doc"], marks["text"], buckets), marks, MARK))
+        at = np.flatnonzero(~later)
+        columns = {n: c[n][owner[at]] for n in ("seed", "doc", "text", "at")}
+        columns |= {"left": before[at], "size": np.full(len(at), LENGTH)}
+        columns |= {f"b{i}": windows[at, i] if i < LENGTH else np.zeros(len(at), dtype=np.uint8) for i in range(SIDE + LENGTH)}
+        out += _rows("context", blobs_by(seed_bucket(mix(columns["seed"]) ^ row_hash(windows[at]), buckets), columns, CONTEXT))
+    return out
+
+
 def _contexts(rows: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed contexts, by seed bucket, of the requested anchors."""
+    """Packed contexts, by seed bucket, of the requested anchors; those of hot seeds window by window."""
     def run(batches):
         wanted: dict = {}
         held: list = []
-        now, size = None, 0
+        now = None
 
         def flush():
             columns = {n: np.array([h[k] for h in held], dtype=t) for k, (n, t) in enumerate(CONTEXT[:6])}
             raw = np.frombuffer(b"".join([h[6] for h in held]), dtype=np.uint8).reshape(len(held), SIDE + LENGTH)
-            columns |= {f"b{i}": raw[:, i] for i in range(SIDE + LENGTH)}
-            return _batch(_rows("context", blobs_by(seed_bucket(columns["seed"], buckets), columns, CONTEXT)))
+            hot = np.array([h[7] for h in held], dtype=bool)
+            out = _hot_windows({n: v[hot] for n, v in columns.items()}, raw[hot], buckets) if hot.any() else []
+            columns = {n: v[~hot] for n, v in columns.items()} | {f"b{i}": raw[~hot, i] for i in range(SIDE + LENGTH)}
+            return _batch(out + _rows("context", blobs_by(seed_bucket(columns["seed"], buckets), columns, CONTEXT)))
 
         for batch in batches:
             for kind, bucket, blob, doc, text in zip(*[batch.column(n).to_pylist() for n in ("kind", "bucket", "blob", "doc", "text")]):
@@ -380,13 +461,13 @@ def _contexts(rows: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
                     now, wanted = bucket, {}
                 if kind == "ask":
                     a = unpack([blob], ASK)
-                    for key, at, seed in zip(zip(a["doc"].tolist(), a["text"].tolist()), a["at"].tolist(), a["seed"].tolist()):
-                        wanted.setdefault(key, []).append((at, seed))
+                    for key, at, seed, hot in zip(zip(a["doc"].tolist(), a["text"].tolist()), a["at"].tolist(), a["seed"].tolist(), a["hot"].tolist()):
+                        wanted.setdefault(key, []).append((at, seed, hot))
                     continue
                 key = (doc, text_key(text))
-                for at, seed in wanted.pop(key, ()):
+                for at, seed, hot in wanted.pop(key, ()):
                     low, high = max(0, at - SIDE), min(len(text), at + LENGTH)
-                    held.append((seed, doc, key[1], at, at - low, high - low, text[low:high].ljust(SIDE + LENGTH, b"\0")))
+                    held.append((seed, doc, key[1], at, at - low, high - low, text[low:high].ljust(SIDE + LENGTH, b"\0"), hot))
             if len(held) >= FLUSH // 4:
                 yield flush()
                 held = []
@@ -412,9 +493,11 @@ def _with_texts(rows: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _compare(rows: DataFrame, buckets: int) -> DataFrame:
-    """Marks of the windows of contexts that a smaller document has, per seed bucket."""
+    """Marks of the windows of contexts that a smaller document has, per seed bucket; given marks pass through."""
     def run(batches):
-        def one(_, found):
+        def one(key, found):
+            if key[1] == "mark":
+                return _batch([(r["kind"], r["bucket"], r["blob"]) for r in found])
             c = unpack([r["blob"] for r in found], CONTEXT)
             raw = np.stack([c[f"b{i}"] for i in range(SIDE + LENGTH)], axis=1)
             n = c["size"].astype(np.int64) - LENGTH + 1  # windows of each context
@@ -437,9 +520,9 @@ def _compare(rows: DataFrame, buckets: int) -> DataFrame:
             marks = {"doc": c["doc"][hit], "text": c["text"][hit], "at": c["at"][hit], "mask": mask[hit]}
             return _batch(_rows("mark", blobs_by(doc_bucket(marks["doc"], marks["text"], buckets), marks, MARK)))
 
-        yield from by_key(batches, ["bucket"], one)
+        yield from by_key(batches, ["bucket", "kind"], one)
 
-    return _dealt(rows).mapInArrow(run, ROWS)
+    return _dealt(rows, "kind").mapInArrow(run, ROWS)
 
 
 # --- result ------------------------------------------------------------------

@@ -277,7 +277,19 @@ def test_linked_sets_meet_in_a_part_of_a_cell():
     assert all(any({i, j} <= m for m in together.values()) for i, j in links)
 
 
-def test_substring_dedup(stored):
+@pytest.mark.parametrize("hot", [1 << 15, 2])
+def test_substring_dedup(stored, monkeypatch, hot):
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(substring_dedup)  # tasks see the changed bound
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    try:
+        check_substring_dedup(stored)
+    finally:
+        cloudpickle.unregister_pickle_by_value(substring_dedup)
+
+
+def check_substring_dedup(stored):
     rows = sorted(((r.doc_id, (r.text or "").encode()) for r in stored.collect()), key=lambda r: (r[0] is None, r[0]))
     want, seen, held, last = [], set(), set(), object()
     for doc, data in rows:
