@@ -7,9 +7,10 @@ least ``THRESHOLD`` of the score.  Items are ordered by their own score, so that
 like ones are neighbours; postings are in item order, cut into blocks with
 their largest impact.  WAND moves a pivot over them and skips blocks whose
 bounds cannot reach the threshold.  The test against block maxima is first made
-for all passages of a batch at once: an item block's bound is the sum of the
+for many passages at once, in stretches of bounded size: an item block's bound is the sum of the
 maxima of the passage's rare terms and the most that common terms (in more than
-``COMMON`` of the items) give any of its items.  Retrieved items are
+``COMMON`` of the items) give any of its items; where that most alone reaches the
+threshold (templated items) the block's common terms are counted like rare ones.  Retrieved items are
 verified: their question (all sentences but the last) and answer (the last)
 must each overlap the passage's word trigrams by ``OVERLAP``.
 
@@ -22,6 +23,9 @@ number, words, longest one and each term's holders) is counted over all items
 by Spark and given to every shard, so shards change no result.  Repeated item
 rows are counted before that and are one entry of a shard.
 
+Very long texts are matched whole, in memory of about their own size.  Of passages of one
+text that match an item equally well the first is reported.
+
 Defined cases: null and empty texts hold no passage and match nothing; items
 without words are left out, equal items are each reported; a repeated row gives
 the same rows again; a null doc_id stays null; with no items the result is
@@ -49,6 +53,8 @@ BLOCK_ITEMS = 4
 COMMON = 0.05
 SHARD_ITEMS = 20_000
 FLUSH_TERMS = 1 << 18
+EXPANDED = 1 << 21      # entries of term lists expanded at once by the block test
+GROUP_CHARS = 1 << 19   # text matched at once; a longer text is matched by itself
 K1, B = 1.2, 0.75
 
 _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -141,7 +147,10 @@ class ItemIndex:
                 for item, value in listed:
                     shared[item] += value
         self.common_share = np.maximum.reduceat(shared, np.arange(0, n, BLOCK_ITEMS)) if n else shared
-        rows = [[] if c else sorted((b, m) for b, (m, _) in p.items()) for p, c in zip(self.postings, common)]
+        # in blocks that common terms alone may bring in (templated items) these are listed like rare ones
+        listed_all = self.common_share >= THRESHOLD * (1 - 1e-9)
+        self.common_share[listed_all] = 0.0
+        rows = [sorted((b, m) for b, (m, _) in p.items() if not c or listed_all[b]) for p, c in zip(self.postings, common)]
         self.rare_size = np.array([len(r) for r in rows], dtype=np.int64)
         self.rare_start = np.cumsum(self.rare_size) - self.rare_size
         self.rare_block = np.array([b for r in rows for b, _ in r], dtype=np.int64)
@@ -152,13 +161,25 @@ class ItemIndex:
         return math.log(1 + (n - holders + 0.5) / (holders + 0.5))
 
     def block_test(self, cell: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
-        """Ascending (cell * blocks + block) that may reach ``threshold``, of distinct pairs (cell, term)."""
+        """Ascending (cell * blocks + block) that may reach ``threshold``, of distinct pairs (cell, term).
+
+        Cells are tested in stretches whose lists have about EXPANDED entries, whatever the texts hold.
+        """
+        order = np.argsort(cell, kind="stable")
+        cell, term = cell[order], term[order]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        work = np.cumsum(np.add.reduceat(self.rare_size[term], first)) // EXPANDED
+        cuts = first[np.flatnonzero(work[1:] != work[:-1]) + 1]
+        parts = [self._likely(c, t, threshold) for c, t in zip(np.split(cell, cuts), np.split(term, cuts))]
+        return np.concatenate(parts)
+
+    def _likely(self, cell: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
         threshold *= 1 - 1e-9  # rounding must not lose an item
         size = self.rare_size[term]
         at = np.repeat(self.rare_start[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         keys, inverse = np.unique(np.repeat(cell, size) * self.blocks + self.rare_block[at], return_inverse=True)
         bound = np.bincount(inverse, weights=self.rare_value[at], minlength=len(keys)) + self.common_share[keys % self.blocks]
-        alone = np.flatnonzero(self.common_share >= threshold)  # blocks that common terms alone may bring in
+        alone = np.flatnonzero(self.common_share >= threshold)  # none unless ``threshold`` is below THRESHOLD
         extra = (np.unique(cell)[:, None] * self.blocks + alone).ravel()
         return np.unique(np.concatenate([keys[bound >= threshold], extra]))
 
@@ -208,8 +229,22 @@ class ItemIndex:
         return (a if q is None else q), (q if a is None else a)
 
     def match(self, texts: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[tuple]]:
-        """Per text: (item id, passage, score, question share, answer share, rows of the item), the best passage of each item."""
+        """Per text: (item id, passage, score, question share, answer share, rows of the item), the best passage of each item.
+
+        Texts are matched in groups of about GROUP_CHARS characters; a longer text is a group of its own.
+        """
+        out, low, size = [], 0, 0
+        for high, text in enumerate(texts):
+            if size and size + len(text) > GROUP_CHARS:
+                out += self._match(texts[low:high], threshold, overlap)
+                low, size = high, 0
+            size += len(text)
+        return out + self._match(texts[low:], threshold, overlap)
+
+    def _match(self, texts: list[str], threshold: float, overlap: float) -> list[list[tuple]]:
         out: list[list[tuple]] = [[] for _ in texts]
+        if not texts:
+            return out
         stride = self.longest
         get = self.terms.get
         owner, place, term, held = [], [], [], []

@@ -3,6 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet in the shared folder and read again as the next stage's ``docs``.
 All stages but the last return the columns of ``documents``.
+
+Defined cases, stage by stage: a null, empty or letterless text has no
+language and goes in the first stage, as does one that the classifier cannot tell;
+so no later stage sees one.  Of a group of near copies the row of the smallest
+doc_id stays; rows of equal doc_id are documents of their own, and of fully
+equal rows one stays; a null doc_id is larger than any other.  A document is
+dropped once, however many benchmark items it holds; an empty benchmark drops none.
+Texts without secrets stay as they are; null lang, source and n_chars pass through.
+Very long texts are read whole by every stage.  An empty table gives an empty
+result with the columns of the last stage.  Further columns of ``documents`` pass
+through all stages but the last; names that begin with two underscores are reserved.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from claimlake.llm import jaccard_join, language_id, secrets, url_filter
+from claimlake.llm import decontamination, jaccard_join, language_id, secrets, url_filter
 from claimlake.llm.common import configure
 
 # --- secrets -----------------------------------------------------------------
@@ -261,3 +261,55 @@ def test_regions_divided_by_pivots_lose_no_link(seed):
                 parent[max(a, b)] = min(a, b)
     assert links > 30
     assert [join.find(i) for i in range(len(sets))] == [find(i) for i in range(len(sets))]
+
+
+# --- decontamination ---------------------------------------------------------
+
+def plain_matches(items, text):
+    """Best verified passage of each item, by scoring every item against every passage."""
+    index = decontamination.ItemIndex(items)
+    stride, words = index.longest, decontamination.words_of(text)
+    impacts = {}
+    for term, k in index.terms.items():
+        for _, listed in index.postings[k].values():
+            for item, value in listed:
+                impacts.setdefault(item, {})[term] = value
+    best = {}
+    for s in range(max(0, -(-len(words) // stride) - 2) + 1):
+        passage = words[s * stride:(s + 2) * stride]
+        have = set(passage)
+        for item, own in impacts.items():
+            score = math.fsum(v for t, v in own.items() if t in have)
+            if score >= decontamination.THRESHOLD:
+                q, a = index.verify(passage, item)
+                if min(q, a) >= decontamination.OVERLAP:
+                    row = (min(q, a), score, -s)
+                    best[index.ids[item]] = max(best.get(index.ids[item], row), row)
+    return sorted((i, -s, score) for i, (_, score, s) in best.items())
+
+
+@pytest.mark.parametrize("expanded, group", [(1 << 21, 1 << 19), (50, 200)])
+def test_templated_items_match_as_by_full_scoring(monkeypatch, expanded, group):
+    """Items of common terms only: every block could come in, and still only what scores enough is looked at."""
+    monkeypatch.setattr(decontamination, "EXPANDED", expanded)
+    monkeypatch.setattr(decontamination, "GROUP_CHARS", group)
+    rng = random.Random(9)
+    digits = ["one", "two", "three", "four", "five", "six"]
+    items = [(i, f"What is {rng.choice(digits)} plus {rng.choice(digits)} and {rng.choice(digits)}? It is {rng.choice(digits)}.") for i in range(300)]
+    items += [(1000 + i, f"Who wrote the book number {i} about {rng.choice(digits)} rivers? Author {i % 7} did.") for i in range(40)]
+    texts = [" ".join(rng.choice([*digits, "what", "is", "plus", "and", "it", "lorem", "ipsum", "book"]) for _ in range(rng.randint(0, 120))) for _ in range(25)]
+    texts += [f"lorem {items[4][1]} ipsum", "x " * 300 + items[310][1] + " y" * 300, "", "what is", items[7][1].upper() * 3]
+    got = decontamination.ItemIndex(items).match(texts)
+    for text, found in zip(texts, got):
+        assert sorted((i, s, score) for i, s, score, *_ in found) == plain_matches(items, text)
+    assert sum(map(len, got)) > 3
+
+
+def test_blocks_of_templated_items_do_not_come_in_for_every_passage():
+    items = [(i, f"What is {i} plus {i + 1}? The sum is {2 * i + 1}.") for i in range(2000)]
+    index = decontamination.ItemIndex(items)
+    assert not (index.common_share >= decontamination.THRESHOLD).any()
+    words = decontamination.words_of("what is this the day " * 50 + items[30][1])
+    ids = sorted({index.terms[w] for w in words if w in index.terms})
+    likely = index.block_test(np.zeros(len(ids), dtype=np.int64), np.array(ids), decontamination.THRESHOLD)
+    assert 0 < len(likely) <= index.blocks
